@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import regex, text
-from .base import query, table
+from .base import query, table, texts
 
 # White space class of the SQL dialect, and the trim set behind it.
 SQL_SPACE = (
@@ -49,17 +49,17 @@ HTML_HINT_SQL = rf"(?i)</?(?:{'|'.join(text.HTML_HINT_TAGS)})\b[^>]*>"
     rf"""SELECT doc_id, lower(regexp_replace("text", '{SQL_SPACE}+', '', 'g')) AS norm_text FROM documents""",
 )
 def norm_key(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.norm_key(F.col("text")).alias("norm_text"))
+    return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", text.norm_key(F.col("text")).alias("norm_text"))
 
 
 @query("normalize_content", f"""SELECT doc_id, {sql_normalize('"text"')} AS clean FROM documents""")
 def normalize_content(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalize_content(F.col("text")).alias("clean"))
+    return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", text.normalize_content(F.col("text")).alias("clean"))
 
 
 @query("html_to_text", f"SELECT page_id, {sql_flatten('html')} AS flat FROM pages")
 def html_to_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("flat"))
+    return texts(spark, sf, "pages", "page_id", "html").select("page_id", text.html_to_text(F.col("html")).alias("flat"))
 
 
 @query(
@@ -70,7 +70,7 @@ def html_to_text(spark, sf):
 )
 def looks_like_html(spark, sf):
     def pick(name, key, col):
-        return table(spark, sf, name).select(
+        return texts(spark, sf, name, key, col).select(
             F.lit(name[:-1]).alias("kind"), F.col(key).alias("id"), text.looks_like_html(F.col(col)).alias("is_html")
         )
 
@@ -90,7 +90,7 @@ def looks_like_html(spark, sf):
 def text_search(spark, sf):
     from ..operators.clean import text_search as search
 
-    return search(table(spark, sf, "documents"), "doc_id", "text", "the")
+    return search(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", "the")
 
 
 @query(
@@ -109,7 +109,7 @@ def text_search(spark, sf):
 def text_search_segments(spark, sf):
     from ..operators.clean import text_segments
 
-    return text_segments(table(spark, sf, "documents"), "doc_id", "text", "the")
+    return text_segments(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", "the")
 
 
 @query(
@@ -123,7 +123,7 @@ def text_search_segments(spark, sf):
        FROM b""",
 )
 def text_excerpt(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.excerpt(F.col("text"), "und").alias("excerpt"))
+    return texts(spark, sf, "documents", "doc_id", "text").select("doc_id", text.excerpt(F.col("text"), "und").alias("excerpt"))
 
 
 @query(
@@ -156,7 +156,7 @@ def chapter_number(spark, sf):
 )
 def regex_chain(spark, sf):
     ops = [(r"(?s)<script\b[^>]*>.*?</script>", ""), ("(broken", "x"), ('<a href="([^"]*)">', "[$1] ")]
-    return table(spark, sf, "pages").select("page_id", regex.regex_chain(F.col("html"), ops).alias("cleaned"))
+    return texts(spark, sf, "pages", "page_id", "html").select("page_id", regex.regex_chain(F.col("html"), ops).alias("cleaned"))
 
 
 @query(
@@ -181,7 +181,7 @@ def regex_only_one(spark, sf):
 def regex_all_in_one(spark, sf):
     hits = regex.regex_all_in_one(F.col("html"), "<p>([^<]*)")
     return (
-        table(spark, sf, "pages").select("page_id", F.posexplode(hits).alias("pos", "v"))
+        texts(spark, sf, "pages", "page_id", "html").select("page_id", F.posexplode(hits).alias("pos", "v"))
         .select("page_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "v")
     )
 
@@ -194,7 +194,7 @@ def regex_all_in_one(spark, sf):
 def source_replace_regex(spark, sf):
     """Cleaning lines as data: leading ##, pair, trailing ##; a line without ## is no rule."""
     rules = F.lit("##the\n(\\w)ing\\b##$1ed\n[0-9]{4,}##\nnot a rule")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", regex.source_replace_regex(F.col("text"), rules).alias("cleaned")
     )
 
@@ -217,7 +217,7 @@ def host_pages(spark, sf):
     clean = text.content_text(F.col("html"))
     title = text.web_trim(F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1))
     return (
-        table(spark, sf, "pages")
+        texts(spark, sf, "pages", "page_id", "url", "html")
         .select(host_of(F.col("url")).alias("host"), title.alias("title"), clean.alias("clean"))
         .groupBy("host")
         .agg(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
+
 INT = r"^\s*-?\d+\s*$"
 
 
@@ -45,7 +47,10 @@ def picked_positions(n: Column, spec: Column | str) -> Column:
     that runs backwards, ``1,3`` a list, ``!0,2`` or ``!0:2`` everything but these. A spec without a
     number keeps every item.
     """
-    s = F.trim(_as_column(spec))
+    return let(n, lambda size: let(F.trim(_as_column(spec)), lambda s: _positions(size, s)))
+
+
+def _positions(n: Column, s: Column) -> Column:
     every = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(
         F.array().cast("array<int>")
     )
@@ -56,17 +61,23 @@ def picked_positions(n: Column, spec: Column | str) -> Column:
 
     def one_range(part: Column) -> Column:
         bits = F.split(part, ":")
-        start = F.coalesce(_from_end(_number(F.get(bits, F.lit(0))), n), F.lit(0))
-        stop = F.coalesce(_from_end(_number(F.get(bits, F.lit(1))), n), n - 1)
-        step = F.coalesce(
-            _number(F.get(bits, F.lit(2))), F.when(start <= stop, F.lit(1)).otherwise(F.lit(-1))
-        )
-        up = F.filter(every, lambda i: (i >= start) & (i <= stop) & (F.pmod(i - start, step) == 0))
-        down = F.filter(every, lambda i: (i <= start) & (i >= stop) & (F.pmod(start - i, -step) == 0))
-        return F.when(step > 0, up).when(step < 0, F.reverse(down)).otherwise(
-            F.array().cast("array<int>")
+        ends = F.struct(
+            F.coalesce(_from_end(_number(F.get(bits, F.lit(0))), n), F.lit(0)).alias("start"),
+            F.coalesce(_from_end(_number(F.get(bits, F.lit(1))), n), n - 1).alias("stop"),
+            _number(F.get(bits, F.lit(2))).alias("step"),
         )
 
+        def within(r: Column) -> Column:
+            start, stop = r["start"], r["stop"]
+            step = F.coalesce(r["step"], F.when(start <= stop, F.lit(1)).otherwise(F.lit(-1)))
+            up = F.filter(every, lambda i: (i >= start) & (i <= stop) & (F.pmod(i - start, step) == 0))
+            down = F.filter(every, lambda i: (i <= start) & (i >= stop) & (F.pmod(start - i, -step) == 0))
+            return F.when(step > 0, up).when(step < 0, F.reverse(down)).otherwise(
+                F.array().cast("array<int>")
+            )
+
+        return let(ends, within)
+
     def one_part(part: Column) -> Column:
         at = _from_end(_number(part), n)
         return F.when(part.contains(":"), one_range(part)).otherwise(
@@ -83,8 +94,10 @@ def picked_positions(n: Column, spec: Column | str) -> Column:
 
 def pick_index(values: Column, spec: Column | str) -> Column:
     """Items of a list at the positions of ``spec``."""
-    items = _strings(values)
-    return F.transform(picked_positions(F.size(items), spec), lambda i: F.get(items, i))
+    return let(
+        _strings(values),
+        lambda items: F.transform(picked_positions(F.size(items), spec), lambda i: F.get(items, i)),
+    )
 
 
 def reverse_list(values: Column) -> Column:
@@ -108,7 +121,7 @@ def combine_interleave(*lists: Column) -> Column:
     """``%%``: first values of all parts, then second values, and so on; gaps are skipped."""
     names = [f"p{i}" for i in range(len(lists))]
     zipped = F.arrays_zip(*[_strings(c).alias(n) for c, n in zip(lists, names)])
-    rows = F.transform(zipped, lambda z: F.array(*[z[str(i)] for i in range(len(lists))]))
+    rows = F.transform(zipped, lambda z: F.array(*[z[n] for n in names]))
     return F.filter(F.flatten(rows), lambda v: v.isNotNull())
 
 

@@ -13,7 +13,12 @@ from .text import SPACE
 
 
 def base64_encode(c: Column) -> Column:
-    return F.base64(F.encode(c, "utf-8"))
+    return plain_base64(F.encode(c, "utf-8"))
+
+
+def plain_base64(c: Column) -> Column:
+    """Base64 in one line (Spark breaks it into lines of 76)."""
+    return F.replace(F.base64(c), F.lit("\r\n"), F.lit(""))
 
 
 def base64_decode(c: Column) -> Column:
@@ -66,7 +71,7 @@ def digest_hex(c: Column, algorithm: str) -> Column:
 
 
 def digest_base64(c: Column, algorithm: str) -> Column:
-    return F.base64(F.unhex(digest_hex(c, algorithm)))
+    return plain_base64(F.unhex(digest_hex(c, algorithm)))
 
 
 def hmac_hex(c: Column, key: str, algorithm: str) -> Column:
@@ -82,12 +87,12 @@ def hmac_hex(c: Column, key: str, algorithm: str) -> Column:
 
 
 def hmac_base64(c: Column, key: str, algorithm: str) -> Column:
-    return F.base64(F.unhex(hmac_hex(c, key, algorithm)))
+    return plain_base64(F.unhex(hmac_hex(c, key, algorithm)))
 
 
 def aes_encrypt_base64(c: Column, key: Column, mode: str = "CBC", iv: Column | None = None) -> Column:
     args = [F.lit(mode), F.lit("PKCS")] + ([iv] if iv is not None else [])
-    return F.base64(F.aes_encrypt(F.encode(c, "utf-8"), key, *args))
+    return plain_base64(F.aes_encrypt(F.encode(c, "utf-8"), key, *args))
 
 
 def aes_decrypt_base64(c: Column, key: Column, mode: str = "CBC") -> Column:

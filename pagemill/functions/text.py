@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
+
 # --- fixed values -----------------------------------------------------------------------------
 # White space as scripts on the web see it (wider than Java's \s and Spark's trim).
 SPACE_CHARS = (
@@ -63,16 +65,11 @@ def collapse_space(c: Column) -> Column:
 
 
 def normalize_content(c: Column) -> Column:
-    """LF line ends, one blank for tab/NBSP/wide-space runs, trimmed lines, no blank lines.
-
-    Trimming lines and dropping blank ones is the same as turning each white-space run that holds
-    a line feed into one line feed; the look-behind lets a match start only at the start of a run,
-    so long runs without a line feed stay linear.
-    """
-    unix = F.regexp_replace(c, r"\r\n?", "\n")
+    """LF line ends, one blank for tab/NBSP/wide-space runs, trimmed lines, no blank lines."""
+    unix = let(c, lambda v: F.when(v.contains("\r"), F.regexp_replace(v, r"\r\n?", "\n")).otherwise(v))
     spaced = F.regexp_replace(unix, r"[\t\u00a0\u3000]+", " ")
-    lines = F.regexp_replace(spaced, f"(?<!{SPACE})[{SPACE_SET}&&[^\n]]*+\n{SPACE}*+", "\n")
-    return web_trim(lines)
+    lines = F.transform(F.split(spaced, "\n"), web_trim)
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def looks_like_html(c: Column) -> Column:
@@ -81,6 +78,10 @@ def looks_like_html(c: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Numeric references and the named set above; a reference is decoded once, never twice."""
+    return let(c, lambda v: F.when(v.contains("&"), _decoded(v)).otherwise(v))
+
+
+def _decoded(c: Column) -> Column:
     numeric = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
 
     def code_point(e: Column) -> Column:
@@ -98,7 +99,7 @@ def decode_entities(c: Column) -> Column:
     ).otherwise(c)
     for name, char in NAMED_ENTITIES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return F.when(c.contains("&"), out).otherwise(c)
+    return out
 
 
 def html_to_text(c: Column) -> Column:
@@ -120,7 +121,7 @@ def html_to_text(c: Column) -> Column:
 
 def content_text(c: Column) -> Column:
     """Last step of a text chapter: flatten only what looks like HTML, then normalise."""
-    return normalize_content(F.when(looks_like_html(c), html_to_text(c)).otherwise(c))
+    return normalize_content(let(c, lambda v: F.when(looks_like_html(v), html_to_text(v)).otherwise(v)))
 
 
 def quote_literal(text: str) -> str:
@@ -138,8 +139,11 @@ def search_count(c: Column, query: str) -> Column:
 
 def excerpt(c: Column, query: str, radius: int = 40) -> Column:
     """Text around the first hit with ellipses; without a hit the first 2 * radius characters."""
-    plain = collapse_space(F.coalesce(c, F.lit("")))
     needle = query.strip(SPACE_CHARS)
+    return let(collapse_space(F.coalesce(c, F.lit(""))), lambda plain: _excerpt(plain, needle, radius))
+
+
+def _excerpt(plain: Column, needle: str, radius: int) -> Column:
     head = F.substring(plain, 1, radius * 2)
     if needle == "":
         return head
@@ -176,6 +180,10 @@ def chapter_number(c: Column) -> Column:
     waiting for its unit. A unit without a digit counts as one of it. Titles without a positive
     number stay as they are.
     """
+    return let(c, _chapter_number)
+
+
+def _chapter_number(c: Column) -> Column:
     letters = "".join([*NUMERAL_DIGITS, *NUMERAL_UNITS]) + TEN_THOUSANDS + HUNDRED_MILLIONS
     word = F.regexp_extract(c, f"[{letters}]+", 0)
     digit_of, unit_of = _number_table(NUMERAL_DIGITS), _number_table(NUMERAL_UNITS)

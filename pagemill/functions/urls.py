@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
 from .text import web_trim
 
 _PARTS = r"(?is)^(https?):/*([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -12,70 +13,90 @@ _PARTS = r"(?is)^(https?):/*([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 OPTIONS_AT = r"(?<!<),\s*\{"
 
 
-def _percent_encode(c: Column, unsafe: str) -> Column:
+def _percent_encode(value: Column, unsafe: str) -> Column:
     """Percent-encode single characters of the class ``unsafe`` (UTF-8, upper-case digits)."""
-    chars = F.array_distinct(F.regexp_extract_all(c, F.lit(unsafe), F.lit(0)))
-
     def encoded(ch: Column) -> Column:
         return F.regexp_replace(F.hex(F.encode(ch, "utf-8")), "(..)", r"%$1")
 
-    return F.when(
-        c.rlike(unsafe), F.aggregate(chars, c, lambda acc, ch: F.replace(acc, ch, encoded(ch)))
-    ).otherwise(c)
+    def all_encoded(c: Column) -> Column:
+        chars = F.array_distinct(F.regexp_extract_all(c, F.lit(unsafe), F.lit(0)))
+        return F.when(
+            c.rlike(unsafe), F.aggregate(chars, c, lambda acc, ch: F.replace(acc, ch, encoded(ch)))
+        ).otherwise(c)
+
+    return let(value, all_encoded)
 
 
 def _drop_dots(path: Column) -> Column:
     """Remove ``.`` and ``..`` segments."""
-    segments = F.split(F.substr(path, F.lit(2)), "/")
-    folded = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
+    def fold(segments: Column) -> Column:
+        folded = F.aggregate(
+            segments,
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc)
+            .otherwise(F.concat(acc, F.array(s))),
+        )
+        tail = F.when(F.element_at(segments, -1).isin("..", "."), F.array(F.lit(""))).otherwise(
+            F.array().cast("array<string>")
+        )
+        return F.concat(F.lit("/"), F.array_join(F.concat(folded, tail), "/"))
+
+    return let(
+        path,
+        lambda p: F.when(p.contains("/."), let(F.split(F.substr(p, F.lit(2)), "/"), fold)).otherwise(p),
     )
-    last = F.element_at(segments, -1)
-    tail = F.when(last.isin("..", ".") & (F.size(folded) > 0), F.lit("/")).otherwise("")
-    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(folded, "/"), tail)).otherwise(path)
 
 
-def canonical_url(u: Column) -> Column:
-    """Canonical form of an absolute http(s) address."""
+def _canonical(u: Column) -> Column:
     scheme = F.lower(F.regexp_extract(u, _PARTS, 1))
     host = F.lower(F.regexp_extract(u, _PARTS, 2))
-    port = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(
-        F.regexp_replace(host, ":443$", "")
-    )
+    default_port = F.when(scheme == "http", F.lit(":80$")).otherwise(F.lit(":443$"))
     path = F.replace(F.regexp_extract(u, _PARTS, 3), F.lit("\\"), F.lit("/"))
-    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    clean = _percent_encode(_drop_dots(rooted), r'[^\x21-\x7e]|["<>`{}^]')
-    query = _percent_encode(F.regexp_extract(u, _PARTS, 4), r"""[^\x21-\x7e]|["<>']""")
-    fragment = _percent_encode(F.regexp_extract(u, _PARTS, 5), r'[^\x21-\x7e]|["<>`]')
-    return F.concat(scheme, F.lit("://"), port, clean, query, fragment)
+    rooted = let(path, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
+    return F.concat(
+        scheme, F.lit("://"), F.regexp_replace(host, default_port, ""),
+        _percent_encode(_drop_dots(rooted), r'[^\x21-\x7e]|["<>`{}^]'),
+        _percent_encode(F.regexp_extract(u, _PARTS, 4), r"""[^\x21-\x7e]|["<>']"""),
+        _percent_encode(F.regexp_extract(u, _PARTS, 5), r'[^\x21-\x7e]|["<>`]'),
+    )
 
 
-def resolve_url(value: Column, base: Column) -> Column:
-    """A relative address made absolute; anything that cannot be resolved is returned as it is."""
-    v = F.regexp_replace(web_trim(F.coalesce(value, F.lit(""))), r"[\t\n\r]", "")
-    is_http = v.rlike(r"(?i)^https?:")
-    has_scheme = v.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    base_ok = base.rlike(r"(?i)^https?://[^/?#]")
+def canonical_url(u: Column) -> Column:
+    """Canonical form of an absolute http(s) address."""
+    return let(u, _canonical)
+
+
+def _join(v: Column, base: Column) -> Column:
+    """``v`` set against the parts of ``base``, dots and spelling still as they are."""
     scheme = F.lower(F.regexp_extract(base, _PARTS, 1))
     origin = F.concat(scheme, F.lit("://"), F.regexp_extract(base, _PARTS, 2))
-    base_path = F.regexp_extract(base, _PARTS, 3)
-    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_extract(base_path, r"(?s)^(.*/)", 1))
-    joined = (
-        F.when(v.rlike(r"^[/\\]{2}"), F.concat(scheme, F.lit("://"), F.substr(v, F.lit(3))))
+    path = F.regexp_extract(base, _PARTS, 3)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    return (
+        F.when(v.rlike(r"(?i)^https?:"), v)
+        .when(v.rlike(r"^[/\\]{2}"), F.concat(scheme, F.lit("://"), F.substr(v, F.lit(3))))
         .when(v.rlike(r"^[/\\]"), F.concat(origin, v))
-        .when(v.startswith("?"), F.concat(origin, base_path, v))
+        .when(v.startswith("?"), F.concat(origin, path, v))
         .when(v.startswith("#"), F.concat(F.regexp_replace(base, "(?s)#.*$", ""), v))
         .otherwise(F.concat(origin, folder, v))
     )
-    target = F.when(is_http, v).otherwise(joined)
-    usable = (is_http | (~has_scheme & base_ok)) & target.rlike(r"(?i)^https?:/*[^/?#\s]")
-    return F.when(v == "", F.lit("")).when(usable, canonical_url(target)).otherwise(
-        web_trim(F.coalesce(value, F.lit("")))
-    )
+
+
+def resolve_url(value: Column, base: Column) -> Column:
+    """A relative address made absolute; anything that cannot be resolved is returned as it is."""
+    def resolved(raw: Column) -> Column:
+        v = F.regexp_replace(raw, r"[\t\n\r]", "")
+        free = v.rlike(r"(?i)^https?:") | (
+            ~v.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & base.rlike(r"(?i)^https?://[^/?#]")
+        )
+        target = let(
+            F.when(free, let(v, lambda w: _join(w, base))),
+            lambda t: F.when(t.rlike(r"(?i)^https?:/*[^/?#\s]"), _canonical(t)),
+        )
+        return F.when(raw == "", raw).otherwise(F.coalesce(target, raw))
+
+    return let(web_trim(F.coalesce(value, F.lit(""))), resolved)
 
 
 def has_options(c: Column) -> Column:
@@ -93,9 +114,11 @@ def options_part(c: Column) -> Column:
 
 def resolve_address(value: Column, base: Column) -> Column:
     """Resolve the address part only and keep the option block untouched."""
-    v = F.coalesce(value, F.lit(""))
-    resolved = resolve_url(address_part(v), base)
-    return F.when(has_options(v), F.concat(resolved, F.lit(","), options_part(v))).otherwise(resolved)
+    def resolved(v: Column) -> Column:
+        address = resolve_url(address_part(v), base)
+        return F.when(has_options(v), F.concat(address, F.lit(","), options_part(v))).otherwise(address)
+
+    return let(F.coalesce(value, F.lit("")), resolved)
 
 
 # --- fixed values: the repairs a sloppy JSON text gets before it is read again -----------------
@@ -118,9 +141,10 @@ def is_json(c: Column) -> Column:
 
 def loose_json_text(c: Column) -> Column:
     """The JSON text itself when it parses, the repaired one when only that parses, else NULL."""
-    text = web_trim(c)
-    fixed = repair_json(text)
-    return F.when(is_json(text), text).when(is_json(fixed), fixed)
+    return let(
+        web_trim(c),
+        lambda t: F.when(is_json(t), t).otherwise(let(repair_json(t), lambda f: F.when(is_json(f), f))),
+    )
 
 
 def loose_json(c: Column) -> Column:
@@ -130,8 +154,13 @@ def loose_json(c: Column) -> Column:
 
 def split_url_options(c: Column) -> Column:
     """STRUCT<url, method, charset, headers, body, valid>; an object body brings its content type."""
-    raw = web_trim(F.coalesce(c, F.lit("")))
-    text = loose_json_text(options_part(raw))
+    return let(
+        web_trim(F.coalesce(c, F.lit(""))),
+        lambda raw: let(loose_json_text(options_part(raw)), lambda text: _options(raw, text)),
+    )
+
+
+def _options(raw: Column, text: Column) -> Column:
     body = F.get_json_object(text, "$.body")
     headers = F.coalesce(
         F.from_json(F.get_json_object(text, "$.headers"), "map<string,string>"),
@@ -156,7 +185,10 @@ def split_url_options(c: Column) -> Column:
 
 def first_address(c: Column) -> Column:
     """First address of a value of several lines; a balanced option block keeps its lines."""
-    text = web_trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"))
+    return let(web_trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")), _first_of_lines)
+
+
+def _first_of_lines(text: Column) -> Column:
     opened = F.regexp_extract(text, r"(?s)^(.*?(?<!<),\s*)\{", 1)
     rest = F.substr(text, F.length(opened) + 1)
     # Strings first, then braces: depth after each token tells where the block closes.

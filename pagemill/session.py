@@ -59,3 +59,12 @@ def estimated_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Broadcast hint only below the limit; above it the join shuffles (AQE splits skewed keys)."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core when a small input comes in fewer splits than there are cores.
+
+    Inputs of cluster size already come in many splits and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
