@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cookies, library
 from ..operators.throttle import login_throttle as throttle
+from ..session import cut_lineage
 from ..sources import backup, exports
 from .base import query, table
 from .derive import derived, with_tables
@@ -232,7 +233,7 @@ def _reading(spark, sf):
 @query(
     "normalize_marks",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-              CASE WHEN l_suppkey % 9 = 0 THEN 'missing chapter_url' WHEN l_suppkey % 10 = 1 THEN 'source_id is over 2048 characters' END AS error,
+              CASE WHEN l_suppkey % 10 = 1 THEN 'source_id is over 2048 characters' WHEN l_suppkey % 9 = 0 THEN 'missing chapter_url' END AS error,
               CASE WHEN l_suppkey % 9 = 0 OR l_suppkey % 10 = 1 THEN NULL ELSE repeat(l_returnflag, 120) END AS excerpt,
               CASE WHEN l_suppkey % 9 = 0 OR l_suppkey % 10 = 1 THEN NULL ELSE greatest(0, l_linenumber - 4) END AS chapter_index,
               CASE WHEN l_suppkey % 9 = 0 OR l_suppkey % 10 = 1 THEN NULL ELSE least(1, greatest(0, round(l_discount * 20 - 0.5, 6))) END AS percent
@@ -608,7 +609,10 @@ def validate_backup(spark, sf):
 def import_backup(spark, sf):
     """Documents of every owner into a library that has half of it; what was added and kept."""
     state = _state(spark, sf)
-    docs = backup.export_backup(**state, now=NOW).select("owner", F.concat_ws("/", "owner", "part").alias("doc_id"), "doc")
+    # Documents normally come from storage; the cut keeps the export from running once per list.
+    docs = cut_lineage(
+        backup.export_backup(**state, now=NOW).select("owner", F.concat_ws("/", "owner", "part").alias("doc_id"), "doc")
+    )
     shift = F.when(F.col("chapter_index") % 3 == 0, 5).when(F.col("chapter_index") % 3 == 1, 0).otherwise(-5)
     held = {
         "shelf": state["shelf"].where(F.regexp_extract("book_url", "[0-9]+$", 0).cast("bigint") % 2 == 0),

@@ -70,19 +70,25 @@ def _positions(n: Column, s: Column) -> Column:
         def within(r: Column) -> Column:
             start, stop = r["start"], r["stop"]
             step = F.coalesce(r["step"], F.when(start <= stop, F.lit(1)).otherwise(F.lit(-1)))
-            up = F.filter(every, lambda i: (i >= start) & (i <= stop) & (F.pmod(i - start, step) == 0))
-            down = F.filter(every, lambda i: (i <= start) & (i >= stop) & (F.pmod(start - i, -step) == 0))
-            return F.when(step > 0, up).when(step < 0, F.reverse(down)).otherwise(
-                F.array().cast("array<int>")
+            # First position inside the list that the range reaches, and where it ends.
+            size = F.abs(step)
+            up = F.when(start >= 0, start).otherwise(F.pmod(start, size))
+            down = F.when(start < n, start).otherwise(n - 1 - F.pmod(n - 1 - start, size))
+            high, low = F.least(stop, n - 1), F.greatest(stop, F.lit(0))
+            return (
+                F.when((step > 0) & (up <= high), F.sequence(up.cast("int"), high, step))
+                .when((step < 0) & (down >= low), F.sequence(down.cast("int"), low, step))
+                .otherwise(F.array().cast("array<int>"))
             )
 
         return let(ends, within)
 
     def one_part(part: Column) -> Column:
-        at = _from_end(_number(part), n)
-        return F.when(part.contains(":"), one_range(part)).otherwise(
-            F.filter(every, lambda i: i == at)
+        one = let(
+            _from_end(_number(part), n),
+            lambda at: F.when((at >= 0) & (at < n), F.array(at)).otherwise(F.array().cast("array<int>")),
         )
+        return F.when(part.contains(":"), one_range(part)).otherwise(one)
 
     picked = F.flatten(F.transform(F.split(s, ","), one_part))
     return (
