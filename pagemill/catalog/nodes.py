@@ -62,7 +62,7 @@ def html_tokens(spark, sf):
 def html_nodes(spark, sf):
     """Elements per page; the pages write html, head and body out, so each opening tag is one element."""
     pages = _pages(spark, sf).withColumn("html", F.regexp_replace("html", "(?s)<!--.*?-->", "<script></script>"))
-    elements = N.html_nodes(pages).where("kind = 'e' AND node_id > 0")
+    elements = N.html_nodes(pages).where("node_id > 0")
     return elements.groupBy("page_id").agg(F.count("*").alias("opened"))
 
 

@@ -1,10 +1,13 @@
-"""The node table: captured pages as rows, one per element and text node.
+"""The node table: captured pages as rows, one per element.
 
-nodes: page_id, node_id (pre-order, 0 is the document), last_desc, parent_id, depth, sib_ord (place
-among element siblings), kind ('e' or 't'), tag, attrs MAP, text, anc ARRAY (ids of all ancestors),
-outer_start, inner_start, inner_end, outer_end (offsets in the page source).
+nodes: page_id, node_id (pre-order, 0 is the document), last_desc, parent_id, depth, sib_ord and sib_n
+(place among and number of element siblings), tag, attrs MAP, anc ARRAY (ids of all ancestors),
+own_text (own text nodes with NUL between), page_text (document row only: all text nodes of the page
+with NUL between), and spans: text_start..text_end in page_text, inner_start..inner_end and
+outer_start..outer_end in the page source.
 
-Parsing is the one Python stage; selecting and reading values afterwards is joins and windows.
+With spans a subtree's text or markup is a substring, so reading values needs no join below the
+page. Parsing is the one Python stage; selecting and reading values are joins and windows.
 """
 
 from __future__ import annotations
@@ -38,9 +41,24 @@ MAX_DEPTH = 512  # deeper elements become siblings, as browsers do it
 # ------------------------------------------------------------------------------------------------
 
 NODE_SCHEMA = (
-    "node_id int, last_desc int, parent_id int, depth int, sib_ord int, kind string, tag string, "
-    "attrs map<string,string>, text string, anc array<int>, outer_start int, inner_start int, inner_end int, outer_end int"
+    "node_id int, last_desc int, parent_id int, depth int, sib_ord int, sib_n int, tag string, attrs map<string,string>, "
+    "anc array<int>, own_text string, page_text string, text_start int, text_end int, "
+    "inner_start int, inner_end int, outer_start int, outer_end int"
 )
+SPANS = ("text_start", "text_end", "inner_start", "inner_end", "outer_start", "outer_end")
+NUL = "\0"
+
+
+class _Node:
+    """An element while its page is being read."""
+
+    __slots__ = ("id", "last", "parent", "depth", "sib", "tag", "attrs", "anc", "own", "count", "text", "text_end", "inner", "inner_end", "outer", "outer_end")
+
+    def __init__(self, id_, parent, depth, sib, tag, attrs, anc, text, outer, inner):
+        self.id, self.last, self.parent, self.depth, self.sib, self.tag = id_, id_, parent, depth, sib, tag
+        self.attrs, self.anc, self.own, self.count = attrs, anc, [], 0
+        self.text = self.text_end = text
+        self.outer, self.inner, self.inner_end, self.outer_end = outer, inner, inner, inner
 
 
 class _Builder(HTMLParser):
@@ -54,54 +72,59 @@ class _Builder(HTMLParser):
             self.lines.append(at + 1)
             at = html.find("\n", at + 1)
         self.html, self.size = html, len(html)
-        # node: [id, last, parent, depth, sib, kind, tag, attrs, text, anc, outer_start, inner_start, inner_end, outer_end]
-        self.rows = [[0, 0, None, 0, 0, "e", "#document", [], None, [], 0, 0, self.size, self.size]]
-        self.stack = [0]
-        self.children = [0]
+        self.nodes = [_Node(0, None, 0, 0, "#document", [], [], 0, 0, 0)]
+        self.stack = [self.nodes[0]]
+        self.texts: list[str] = []
+        self.length = 0  # of page_text so far
+        self.text_owner: tuple | None = None
         self.body = False
         self.feed(html)
         self.close()
         self._body(self.size)
-        while len(self.stack) > 1:
+        while self.stack:
             self._pop(self.size)
-        self.rows[0][1] = len(self.rows) - 1
+
+    def rows(self) -> list[tuple]:
+        siblings = [1 if n.parent is None else self.nodes[n.parent].count for n in self.nodes]
+        text = NUL.join(self.texts)
+        return [
+            (n.id, n.last, n.parent, n.depth, n.sib, count, n.tag, n.attrs, n.anc, NUL.join(n.own), text if n.id == 0 else None,
+             n.text, n.text_end, n.inner, n.inner_end, n.outer, n.outer_end)
+            for n, count in zip(self.nodes, siblings)
+        ]
 
     def _at(self) -> int:
         line, column = self.getpos()
         return self.lines[line - 1] + column
 
-    def _tags(self) -> list[str]:
-        return [self.rows[i][6] for i in self.stack]
-
     def _push(self, tag: str, attrs: list, start: int, inner: int) -> None:
         if len(self.stack) > MAX_DEPTH:
             self._pop(start)
         parent = self.stack[-1]
-        node = len(self.rows)
-        self.rows.append([
-            node, node, parent, len(self.stack), self.children[-1], "e", tag, attrs, None, self.stack[:], start, inner, inner, inner,
-        ])
-        self.children[-1] += 1
+        node = _Node(
+            len(self.nodes), parent.id, len(self.stack), parent.count, tag, attrs, [n.id for n in self.stack], self.length, start, inner
+        )
+        parent.count += 1
+        self.nodes.append(node)
         self.stack.append(node)
-        self.children.append(0)
 
     def _pop(self, inner_end: int, outer_end: int | None = None) -> None:
-        row = self.rows[self.stack.pop()]
-        self.children.pop()
-        row[1] = len(self.rows) - 1
-        row[12], row[13] = inner_end, inner_end if outer_end is None else outer_end
+        node = self.stack.pop()
+        node.last = len(self.nodes) - 1
+        node.text_end = max(node.text, self.length)
+        node.inner_end, node.outer_end = inner_end, inner_end if outer_end is None else outer_end
 
     def _head(self, at: int) -> None:
-        if len(self.rows) == 1:
+        if len(self.nodes) == 1:
             self._push("html", [], at, at)
-        if not self.body and self._tags()[-1] == "html" and self.children[-1] == 0:
+        if not self.body and self.stack[-1].tag == "html" and self.stack[-1].count == 0:
             self._push("head", [], at, at)
 
     def _body(self, at: int) -> None:
         if self.body:
             return
         self._head(at)
-        while self._tags()[-1] != "html":
+        while self.stack[-1].tag != "html":
             self._pop(at)
         self._push("body", [], at, at)
         self.body = True
@@ -109,7 +132,7 @@ class _Builder(HTMLParser):
     def _end_open(self, ends: frozenset | set, stops: frozenset | set, at: int) -> None:
         """Close the innermost open tag of ``ends`` unless one of ``stops`` is met first."""
         for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.rows[self.stack[depth]][6]
+            tag = self.stack[depth].tag
             if tag in ends:
                 while len(self.stack) > depth:
                     self._pop(at)
@@ -125,20 +148,19 @@ class _Builder(HTMLParser):
             first.setdefault(name, value or "")
         pairs = list(first.items())
         if tag == "html":
-            if len(self.rows) == 1:
+            if len(self.nodes) == 1:
                 self._push("html", pairs, start, inner)
             return
         if tag == "head":
-            if len(self.rows) == 1:
+            if len(self.nodes) == 1:
                 self._push("html", [], start, start)
-            if not self.body and self._tags()[-1] == "html" and self.children[-1] == 0:
+            if not self.body and self.stack[-1].tag == "html" and self.stack[-1].count == 0:
                 self._push("head", pairs, start, inner)
             return
         if tag == "body":
             if not self.body:
                 self._body(start)
-                row = self.rows[self.stack[-1]]
-                row[7], row[11] = pairs, inner
+                self.stack[-1].attrs, self.stack[-1].inner = pairs, inner
             return
         if not self.body:
             if tag in HEAD_ONLY:
@@ -161,7 +183,7 @@ class _Builder(HTMLParser):
         if tag in ("html", "body") or tag in VOID:
             return
         at = self._at()
-        tags = self._tags()
+        tags = [n.tag for n in self.stack]
         for depth in range(len(tags) - 1, 0, -1):
             if tags[depth] == tag:
                 while len(self.stack) > depth + 1:
@@ -175,32 +197,37 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.body and self._tags()[-1] in ("#document", "html", "head"):
+        if not self.body and self.stack[-1].tag in ("#document", "html", "head"):
             if not data.strip():
                 return
             self._body(self._at())
-        last = self.rows[-1]
-        if last[5] == "t" and last[2] == self.stack[-1]:
-            last[8] += data
+        data, owner = data.replace(NUL, ""), self.stack[-1]
+        # Pieces of one text node arrive in a row when no element came between.
+        if self.text_owner == (owner.id, len(self.nodes)):
+            self.texts[-1] += data
+            owner.own[-1] += data
+            self.length += len(data)
             return
-        node, at = len(self.rows), self._at()
-        self.rows.append([node, node, self.stack[-1], len(self.stack), None, "t", None, [], data, self.stack[:], at, at, at, at])
+        self.text_owner = (owner.id, len(self.nodes))
+        if self.texts:
+            self.length += 1
+        self.texts.append(data)
+        owner.own.append(data)
+        self.length += len(data)
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
     """``pages``: page_id, html → node table."""
     key_type = pages.schema["page_id"].dataType.simpleString()
-    types = [
-        pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()),
-        pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.int32(),
-    ]
+    text, whole = pa.string(), pa.int32()
+    types = [whole] * 6 + [text, pa.map_(text, text), pa.list_(whole), text, text] + [whole] * 6
     names = [field.split()[0] for field in NODE_SCHEMA.replace("map<string,string>", "map").split(", ")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows = [], []
             for key, html in zip(batch.column("page_id"), batch.column("html")):
-                found = _Builder(html.as_py() or "").rows
+                found = _Builder(html.as_py() or "").rows()
                 keys.extend([key.as_py()] * len(found))
                 rows.extend(found)
                 if len(rows) > 20_000:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import rulesyntax
 from ..functions.lists import is_index_spec, picked_positions
 from ..functions.text import web_trim
+from .nodes import NUL, SPANS
 
 _WS = r"[ \t\n\f\r]+"
 
@@ -47,20 +48,35 @@ def _term_of(step: Column) -> Column:
     )
 
 
-def edges(nodes: DataFrame, terms: DataFrame) -> DataFrame:
+# What a run keeps of the node it stands on: enough to go on from it and to read its values.
+NODE_COLUMNS = ("parent_id", "sib_ord", "attrs", "own_text", *SPANS)
+
+
+def edges(nodes: DataFrame, terms: DataFrame, parents: bool = False) -> DataFrame:
     """Every element under each of its ancestors, by lookup key; only keys some step asks for.
 
-    ``terms``: the distinct keys of the steps.
+    ``terms``: the distinct keys of the steps. With ``parents`` also every element under its child,
+    by the key ``^``.
     """
-    elements = nodes.where("kind = 'e' AND node_id > 0").select(
-        "page_id", "node_id", "parent_id", "sib_ord", "tag", "attrs", "anc",
-        F.explode(_terms(F.col("tag"), F.col("attrs"))).alias("term"),
-    )
-    asked = elements.join(terms, "term", "left_semi")
-    return asked.select(
-        "page_id", F.explode("anc").alias("anc_id"), "term", F.col("node_id").alias("hit_id"),
-        F.col("parent_id").alias("hit_parent"), F.col("sib_ord").alias("hit_sib"), F.col("tag").alias("hit_tag"), F.col("attrs").alias("hit_attrs"),
+    elements = nodes.where("node_id > 0").select(
+        "page_id", "node_id", "tag", "sib_n", "anc", *NODE_COLUMNS, F.explode(_terms(F.col("tag"), F.col("attrs"))).alias("term")
     )
+    hit = F.struct("node_id", "tag", "sib_n", *NODE_COLUMNS).alias("hit")
+    out = elements.join(terms, "term", "left_semi").select("page_id", F.explode("anc").alias("anc_id"), "term", hit)
+    if parents:
+        above = nodes.where("node_id > 0").select("page_id", F.col("node_id").alias("parent_id"), hit)
+        up = nodes.select("page_id", F.col("node_id").alias("anc_id"), "parent_id").join(above, ["page_id", "parent_id"])
+        out = out.unionByName(up.select("page_id", "anc_id", F.lit("^").alias("term"), "hit"))
+    return out
+
+
+def with_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows with page_id and node_id plus the NODE_COLUMNS of their nodes."""
+    return rows.join(nodes.select("page_id", "node_id", *NODE_COLUMNS), ["page_id", "node_id"])
+
+
+def page_texts(nodes: DataFrame) -> DataFrame:
+    return nodes.where("node_id = 0").select("page_id", "page_text")
 
 
 def _attr_holds(attrs: Column, test: Column) -> Column:
@@ -90,32 +106,27 @@ def _matches(step: Column, tag: Column, attrs: Column) -> Column:
     )
 
 
-def subtree_text(nodes: DataFrame, wanted: DataFrame, own: bool = False) -> DataFrame:
-    """``wanted``: distinct page_id, node_id → + txt, the text below (or directly in) each node."""
-    texts = nodes.where("kind = 't'")
-    if own:
-        owner = texts.select("page_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("t_id"), "text")
-    else:
-        owner = texts.select("page_id", F.explode("anc").alias("node_id"), F.col("node_id").alias("t_id"), "text")
-    found = owner.join(wanted, ["page_id", "node_id"], "left_semi")
-    return found.groupBy("page_id", "node_id").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY t_id)").alias("txt"))
+def _between(text: Column, start: Column, end: Column) -> Column:
+    return F.substr(text, start + 1, end - start)
 
 
 def _keep_by_text(nodes: DataFrame, hits: DataFrame, run: list[str]) -> DataFrame:
     """Steps that ask for text: ``contains`` in the subtree; ``own`` in the node itself, else anywhere below."""
-    plain = hits.where(F.col("step.own").isNull() & F.col("step.contains").isNull())
-    asked = hits.where(F.col("step.own").isNotNull() | F.col("step.contains").isNotNull())
-    ids = asked.select("page_id", F.col("hit_id").alias("node_id")).dropDuplicates()
-    below = subtree_text(nodes, ids).withColumnsRenamed({"node_id": "hit_id", "txt": "below"})
-    direct = subtree_text(nodes, ids, own=True).withColumnsRenamed({"node_id": "hit_id", "txt": "direct"})
-    known = asked.join(below, ["page_id", "hit_id"], "left").join(direct, ["page_id", "hit_id"], "left")
-    strict = F.coalesce(F.col("direct").contains(F.col("step.own")), F.lit(False))
-    loose = F.coalesce(F.col("below").contains(F.coalesce("step.own", "step.contains")), F.lit(False))
+    below = F.replace(_between(F.col("page_text"), F.col("hit.text_start"), F.col("hit.text_end")), F.lit(NUL), F.lit(""))
+    strict = F.coalesce(F.replace(F.col("hit.own_text"), F.lit(NUL), F.lit("")).contains(F.col("step.own")), F.lit(False))
+    loose = F.coalesce(below.contains(F.coalesce("step.own", "step.contains")), F.lit(False))
+    asks = F.col("step.own").isNotNull() | F.col("step.contains").isNotNull()
     context = Window.partitionBy("page_id", *run, "seg", "node_id")
-    kept = known.withColumn("strict", strict).withColumn("any_strict", F.max("strict").over(context)).where(
-        F.when(F.col("step.own").isNotNull() & F.col("any_strict"), F.col("strict")).otherwise(loose)
+    return (
+        hits.join(page_texts(nodes), "page_id")
+        .withColumn("strict", strict).withColumn("loose", loose).drop("page_text")
+        .withColumn("any_strict", F.max("strict").over(context))
+        .where(
+            F.when(~asks | F.col("step").isNull(), F.lit(True))
+            .when(F.col("step.own").isNotNull() & F.col("any_strict"), F.col("strict")).otherwise(F.col("loose"))
+        )
+        .drop("strict", "loose", "any_strict")
     )
-    return plain.unionByName(kept.drop("below", "direct", "strict", "any_strict"))
 
 
 def _in_position(pos: Column, place: Column, size: Column, sib: Column, siblings: Column) -> Column:
@@ -166,71 +177,60 @@ class StepShapes:
 
 
 def run_steps(nodes: DataFrame, runs: DataFrame, run: list[str], terms: DataFrame, shapes: StepShapes) -> DataFrame:
-    """All runs to their end: rows page_id, *run, node_id, ord (place in the run's result list).
+    """All runs to their end: page_id, *run, node_id, ord (place in the run's result list), NODE_COLUMNS.
 
-    ``runs``: page_id, *run, node_id, ord, steps. Runs with fewer steps finish earlier and wait.
+    ``runs``: page_id, *run, node_id, ord, steps, NODE_COLUMNS. A run that has no step left stays as
+    it is, so every round is one join whatever the lengths of the rules.
     """
-    candidates = edges(nodes, terms)
-    places = nodes.where("kind = 'e'").select("page_id", "node_id", "parent_id", "sib_ord")
-    counts = places.groupBy("page_id", F.col("parent_id").alias("hit_parent")).agg(F.count("*").alias("siblings"))
+    candidates = edges(nodes, terms, shapes.parents)
     keys = ["page_id", *run]
-    current = runs.select(*keys, "node_id", "ord", F.col("ord").alias("seg"), "steps")
-    done = None
+    here = F.struct("node_id", F.lit(None).cast("string").alias("tag"), F.lit(None).cast("int").alias("sib_n"), *NODE_COLUMNS)
+    current = runs.select(*keys, "node_id", "ord", F.col("ord").alias("seg"), "steps", *NODE_COLUMNS)
     for k in range(shapes.longest):
-        finished = current.where(F.size("steps") <= k).select(*keys, "node_id", "ord")
-        done = finished if done is None else done.unionByName(finished)
-        step = F.get("steps", F.lit(k))
-        going = current.where(F.size("steps") > k).withColumn("step", step).withColumn(
-            "seg", F.when(F.col("step.start"), F.col("ord")).otherwise(F.col("seg"))
-        ).withColumn("term", _term_of(F.col("step")))
-        if shapes.siblings or shapes.parents:
-            going = going.join(places, ["page_id", "node_id"], "left")
-        sideways = F.col("step.axis").isin("next", "later", "earlier")
-        base = F.when(sideways, F.col("parent_id")).otherwise(F.col("node_id")) if shapes.siblings else F.col("node_id")
-        hits = going.withColumn("anc_id", base).join(candidates, ["page_id", "anc_id", "term"])
-        near = F.col("step.axis") == "child"
-        if shapes.siblings:
-            near = near | sideways
-            hits = hits.where(
-                ~sideways
-                | F.when(F.col("step.axis") == "next", F.col("hit_sib") == F.col("sib_ord") + 1)
-                .when(F.col("step.axis") == "later", F.col("hit_sib") > F.col("sib_ord"))
-                .otherwise(F.col("hit_sib") < F.col("sib_ord"))
-            )
-        hits = hits.where((~near | (F.col("hit_parent") == F.col("anc_id"))) & _matches(F.col("step"), F.col("hit_tag"), F.col("hit_attrs")))
-        columns = [*keys, "seg", "steps", "step", "node_id", "hit_id", "hit_parent", "hit_sib"]
-        hits = hits.where("step.axis <> 'parent'").select(*columns) if shapes.parents else hits.select(*columns)
-        if shapes.parents:
-            up = going.where((F.col("step.axis") == "parent") & (F.col("parent_id") > 0)).select(
-                *keys, "seg", "steps", "step", "node_id", F.col("parent_id").alias("hit_id"), F.lit(None).cast("int").alias("hit_parent"),
-                F.lit(None).cast("int").alias("hit_sib"),
-            )
-            hits = hits.unionByName(up)
+        axis = F.col("step.axis")
+        sideways = axis.isin("next", "later", "earlier")
+        going = (
+            current.withColumn("step", F.get("steps", F.lit(k)))
+            .withColumn("seg", F.when(F.col("step").isNull() | F.col("step.start"), F.col("ord")).otherwise(F.col("seg")))
+            .withColumn("term", F.when(axis == "parent", "^").when(F.col("step").isNotNull(), _term_of(F.col("step"))))
+            .withColumn("anc_id", F.when(sideways, F.col("parent_id")).otherwise(F.col("node_id")))
+        )
+        joined = going.join(candidates, ["page_id", "anc_id", "term"], "left")
+        side = F.col("hit.sib_ord") - F.col("sib_ord")
+        placed_right = (
+            F.when(axis == "child", F.col("hit.parent_id") == F.col("anc_id"))
+            .when(sideways, (F.col("hit.parent_id") == F.col("anc_id")) & F.when(axis == "next", side == 1).when(axis == "later", side > 0).otherwise(side < 0))
+            .otherwise(True)
+        )
+        found = F.col("hit").isNotNull() & placed_right & _matches(F.col("step"), F.col("hit.tag"), F.col("hit.attrs"))
+        hits = joined.withColumn("hit", F.when(F.col("step").isNull(), here).otherwise(F.col("hit"))).where(
+            F.col("step").isNull() | found
+        ).select(*keys, "seg", "steps", "step", "node_id", "hit")
         if shapes.texts:
             hits = _keep_by_text(nodes, hits, run)
         if shapes.positions:
             # Positions are counted among the hits of one parent, from one start.
-            backwards = F.when(F.col("step.axis") == "earlier", -F.col("hit_id")).otherwise(F.col("hit_id"))
-            group = Window.partitionBy(*keys, "seg", "node_id", "hit_parent")
+            direction = F.when(F.col("step.axis") == "earlier", -F.col("hit.node_id")).otherwise(F.col("hit.node_id"))
+            group = Window.partitionBy(*keys, "seg", "node_id", "hit.parent_id")
             hits = (
-                hits.join(counts, ["page_id", "hit_parent"], "left")
-                .withColumn("place", F.row_number().over(group.orderBy(backwards)))
+                hits.withColumn("place", F.row_number().over(group.orderBy(direction)))
                 .withColumn("size", F.count("*").over(group))
-                .where(_in_position(F.col("step.pos"), F.col("place"), F.col("size"), F.col("hit_sib"), F.col("siblings")))
-                .drop("place", "size", "siblings")
+                .where(_in_position(F.col("step.pos"), F.col("place"), F.col("size"), F.col("hit.sib_ord"), F.col("hit.sib_n")))
+                .drop("place", "size")
             )
-        unique = hits.select(*keys, "seg", "steps", "step", F.col("hit_id").alias("node_id")).dropDuplicates([*keys, "seg", "node_id"])
-        order = Window.partitionBy(*keys).orderBy("seg", "node_id")
-        placed = unique.withColumn("ord", (F.row_number().over(order) - 1).cast("bigint"))
+        # A node reached twice in one segment counts once; order is by segment start, then by page.
+        order = Window.partitionBy(*keys).orderBy("seg", "hit.node_id")
+        placed = (
+            hits.withColumn("twin", F.lag("hit.node_id").over(order)).withColumn("twin_seg", F.lag("seg").over(order))
+            .where(~((F.col("twin") == F.col("hit.node_id")) & (F.col("twin_seg") == F.col("seg"))) | F.col("twin").isNull())
+            .withColumn("ord", (F.row_number().over(order) - 1).cast("bigint"))
+        )
         if shapes.picks:
             whole = Window.partitionBy(*keys)
             counted = placed.withColumn("n", F.count("*").over(whole).cast("int"))
-            placed = counted.withColumn("spots", _output_spots(F.col("ord"), F.col("n"), F.col("step.pick"))).select(
-                *keys, "seg", "steps", "node_id", F.explode("spots").alias("ord")
-            )
-        current = placed.select(*keys, "node_id", "ord", "seg", "steps")
-    last = current.select(*keys, "node_id", "ord")
-    return last if done is None else done.unionByName(last)
+            placed = counted.withColumn("ord", F.explode(_output_spots(F.col("ord"), F.col("n"), F.col("step.pick"))))
+        current = placed.select(*keys, "ord", "seg", "steps", "hit.node_id", *[F.col(f"hit.{c}").alias(c) for c in NODE_COLUMNS])
+    return current.select(*keys, "node_id", "ord", *NODE_COLUMNS)
 
 
 def _output_spots(ord_: Column, n: Column, spec: Column) -> Column:
@@ -259,7 +259,7 @@ def _terms_of(steps: list[dict]) -> list[str]:
 def select_steps(nodes: DataFrame, ctx: DataFrame, steps: list[dict]) -> DataFrame:
     """``ctx``: page_id, ctx_id, node_id, ord → hits of the same shape."""
     terms = F.broadcast(nodes.sparkSession.createDataFrame([(t,) for t in _terms_of(steps)], "term string"))
-    runs = ctx.withColumn("steps", _steps_column(steps))
+    runs = with_nodes(nodes, ctx.select("page_id", "ctx_id", "node_id", "ord")).withColumn("steps", _steps_column(steps))
     return run_steps(nodes, runs, ["ctx_id"], terms, StepShapes.of_steps(steps))
 
 
@@ -291,58 +291,52 @@ def pick_hits(hits: DataFrame, spec: str) -> DataFrame:
     numbered = hits.withColumn("i", (F.row_number().over(group.orderBy("ord")) - 1).cast("bigint")).withColumn(
         "n", F.count("*").over(group).cast("int")
     )
-    return numbered.withColumn("spot", F.explode(_output_spots(F.col("i"), F.col("n"), F.lit(spec)))).select(
-        "page_id", "ctx_id", "node_id", F.col("spot").alias("ord")
-    )
+    return numbered.withColumn("ord", F.explode(_output_spots(F.col("i"), F.col("n"), F.lit(spec)))).drop("i", "n")
 
 
 # --- values ---------------------------------------------------------------------------------------
-def node_values(nodes: DataFrame, hits: DataFrame, run: list[str], pages: DataFrame | None = None) -> DataFrame:
-    """Values of hits: rows page_id, *run, ord, sub, value.
+TEXT_KINDS = ("text", "textNodes", "xtextNodes")
+HTML_KINDS = ("html", "outerHtml", "all")
+
+
+def value_lists(hits: DataFrame, texts: DataFrame | None, pages: DataFrame | None) -> DataFrame:
+    """``hits`` (NODE_COLUMNS and ``extract``) with ``values``: one value per node, or one per text node.
 
-    ``hits``: page_id, *run, node_id, ord, extract. ``pages`` (page_id, html) is needed for html kinds.
+    ``texts`` (page_id, page_text) serves the text kinds and ``pages`` (page_id, html) the markup
+    kinds; leave out what no rule asks for.
     """
-    keys = ["page_id", *run]
     kind = F.col("extract")
-    ids = hits.select("page_id", "node_id", "extract").dropDuplicates()
-    whole = subtree_text(nodes, ids.where(kind == "text").select("page_id", "node_id"))
-    own = subtree_text(nodes, ids.where(kind == "ownText").select("page_id", "node_id"), own=True)
-    single = [whole.select("page_id", "node_id", F.lit("text").alias("extract"), "txt"),
-              own.select("page_id", "node_id", F.lit("ownText").alias("extract"), "txt")]
-    html_kinds = ("html", "outerHtml", "all")
-    # One value per text node: of the whole subtree, or of the node's own texts (an XPath text()).
-    listed = ("textNodes", "xtextNodes", "xownText")
-    attr_ids = ids.where(~kind.isin("text", "ownText", *html_kinds, *listed))
-    attrs = nodes.where("kind = 'e'").select("page_id", "node_id", "attrs")
-    single.append(
-        attr_ids.join(attrs, ["page_id", "node_id"]).select(
-            "page_id", "node_id", "extract", F.try_element_at("attrs", F.lower("extract")).alias("txt")
-        )
-    )
+    rows = hits
+    none = F.lit(None).cast("string")
+    below = markup = none
+    if texts is not None:
+        rows = rows.join(texts, "page_id")
+        below = _between(F.col("page_text"), F.col("text_start"), F.col("text_end"))
     if pages is not None:
-        spans = nodes.where("kind = 'e'").select("page_id", "node_id", "outer_start", "inner_start", "inner_end", "outer_end")
-        marked = ids.where(kind.isin(*html_kinds)).join(spans, ["page_id", "node_id"]).join(pages.select("page_id", "html"), "page_id")
-        inner = F.substr(F.col("html"), F.col("inner_start") + 1, F.col("inner_end") - F.col("inner_start"))
-        outer = F.substr(F.col("html"), F.col("outer_start") + 1, F.col("outer_end") - F.col("outer_start"))
-        single.append(marked.select("page_id", "node_id", "extract", F.when(kind == "html", inner).otherwise(outer).alias("txt")))
-    values = single[0]
-    for more in single[1:]:
-        values = values.unionByName(more)
-    one = (
-        hits.where(~kind.isin(*listed)).join(values, ["page_id", "node_id", "extract"], "left")
-        .select(*keys, "ord", F.lit(0).alias("sub"), web_trim(F.coalesce("txt", F.lit(""))).alias("value"))
+        rows = rows.join(pages.select("page_id", "html"), "page_id")
+        inner = _between(F.col("html"), F.col("inner_start"), F.col("inner_end"))
+        markup = F.when(kind == "html", inner).otherwise(_between(F.col("html"), F.col("outer_start"), F.col("outer_end")))
+
+    def joined(text: Column) -> Column:
+        return F.array(web_trim(F.replace(text, F.lit(NUL), F.lit(""))))
+
+    def single(text: Column) -> Column:
+        return F.filter(F.transform(F.split(text, NUL), web_trim), lambda v: v != "")
+
+    attr = F.coalesce(F.try_element_at("attrs", F.lower(kind)), F.lit(""))
+    values = (
+        F.when(kind == "text", joined(below)).when(kind == "ownText", joined(F.col("own_text")))
+        .when(kind.isin("textNodes", "xtextNodes"), single(below)).when(kind == "xownText", single(F.col("own_text")))
+        .when(kind.isin(*HTML_KINDS), F.array(web_trim(markup))).otherwise(F.array(web_trim(attr)))
     )
-    texts = nodes.where("kind = 't'").select(
-        "page_id", F.explode("anc").alias("node_id"), F.col("node_id").alias("sub"), "parent_id", web_trim(F.col("text")).alias("value")
-    ).where("value <> ''")
-    many = hits.where(kind.isin(*listed)).join(texts, ["page_id", "node_id"]).where(
-        (kind != "xownText") | (F.col("parent_id") == F.col("node_id"))
-    ).select(*keys, "ord", "sub", "value")
-    return one.unionByName(many)
+    return rows.withColumn("values", values).drop("page_text", "html")
 
 
 def extract_value(nodes: DataFrame, hits: DataFrame, kind: str, pages: DataFrame | None = None) -> DataFrame:
-    """``hits``: page_id, ctx_id, node_id, ord → page_id, ctx_id, values ARRAY<STRING>."""
-    rows = node_values(nodes, hits.withColumn("extract", F.lit(kind)), ["ctx_id"], pages)
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "sub", "value")))
-    return rows.groupBy("page_id", "ctx_id").agg(F.transform(ordered, lambda v: v["value"]).alias("values"))
+    """``hits`` of a selector → page_id, ctx_id, values ARRAY<STRING> in result order."""
+    if "own_text" not in hits.columns:
+        hits = with_nodes(nodes, hits)
+    texts = page_texts(nodes) if kind in TEXT_KINDS else None
+    rows = value_lists(hits.withColumn("extract", F.lit(kind)), texts, pages if kind in HTML_KINDS else None)
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "values")))
+    return rows.groupBy("page_id", "ctx_id").agg(F.flatten(F.transform(ordered, lambda v: v["values"])).alias("values"))
