@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- fixed values -----------------------------------------------------------------------------
 MAX_BODY_BYTES = 16 * 1024 * 1024
@@ -57,7 +58,7 @@ def page_charset(declared: Column, content_type: Column, body: Column) -> Column
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_other(bodies: pd.Series, labels: pd.Series) -> pd.Series:
     def one(body: bytes | None, label: str) -> str | None:
         if body is None:
