@@ -95,7 +95,7 @@ DERIVED = {
     # One row per rule text of a source.
     "rule_fields": "\n UNION ALL ".join(
         f"""SELECT 'user:https://c' || CAST(c_custkey AS STRING) || '.example.com' AS source_id,
-                   '{grp}' AS grp, '{field}' AS field, {_rule(f'c_custkey * 7 + {i} * 5')} AS rule
+                   '{grp}' AS grp, '{field}' AS field, {_rule(f'c_custkey * 7 + {i} * 7')} AS rule
             FROM {{customer}} WHERE (c_custkey + {i}) % 3 <> 0"""
         for i, (grp, field) in enumerate(
             [("ruleSearch", "bookList"), ("ruleSearch", "name"), ("ruleBookInfo", "tocUrl"),
