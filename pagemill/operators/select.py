@@ -149,31 +149,34 @@ def _in_position(pos: Column, place: Column, size: Column, sib: Column, siblings
 class StepShapes:
     """What the rules at hand need, so that plans leave out what none of them uses."""
 
-    def __init__(self, siblings: bool, parents: bool, texts: bool, positions: bool, picks: bool, longest: int):
-        self.siblings, self.parents, self.texts, self.positions, self.picks, self.longest = (
-            siblings, parents, texts, positions, picks, longest,
-        )
+    FLAGS = ("siblings", "parents", "texts", "positions", "picks")
+
+    def __init__(self, longest: int, **flags: bool):
+        self.longest = longest
+        for name in self.FLAGS:
+            setattr(self, name, bool(flags.get(name)))
 
     @staticmethod
     def of_steps(steps: list[dict]) -> "StepShapes":
         axes = {s["axis"] for s in steps}
         return StepShapes(
-            bool(axes & {"next", "later", "earlier"}), "parent" in axes, any(s["own"] or s["contains"] for s in steps),
-            any(s["pos"] for s in steps), any(s["pick"] for s in steps), len(steps),
+            len(steps), siblings=axes & {"next", "later", "earlier"}, parents="parent" in axes,
+            texts=any(s["own"] or s["contains"] for s in steps), positions=any(s["pos"] for s in steps), picks=any(s["pick"] for s in steps),
         )
 
     @staticmethod
-    def of_table(rules: DataFrame) -> "StepShapes":
-        """One small aggregate over the rules table (``steps`` arrays)."""
-        def some(test) -> Column:
-            return F.coalesce(F.max(F.exists("steps", test)), F.lit(False))
-
-        row = rules.agg(
-            some(lambda s: s["axis"].isin("next", "later", "earlier")), some(lambda s: s["axis"] == "parent"),
-            some(lambda s: s["own"].isNotNull() | s["contains"].isNotNull()), some(lambda s: s["pos"].isNotNull()),
-            some(lambda s: s["pick"].isNotNull()), F.coalesce(F.max(F.size("steps")), F.lit(0)),
-        ).first()
-        return StepShapes(*row)
+    def aggregates() -> list[Column]:
+        """The same from a rules table with ``steps`` arrays, as aggregate columns."""
+        tests = {
+            "siblings": lambda s: s["axis"].isin("next", "later", "earlier"), "parents": lambda s: s["axis"] == "parent",
+            "texts": lambda s: s["own"].isNotNull() | s["contains"].isNotNull(), "positions": lambda s: s["pos"].isNotNull(),
+            "picks": lambda s: s["pick"].isNotNull(),
+        }
+        return [F.max(F.size("steps")).alias("longest"), *[F.bool_or(F.exists("steps", t)).alias(n) for n, t in tests.items()]]
+
+    @staticmethod
+    def of_row(row) -> "StepShapes":
+        return StepShapes(row["longest"] or 0, **{n: row[n] for n in StepShapes.FLAGS})
 
 
 def run_steps(nodes: DataFrame, runs: DataFrame, run: list[str], terms: DataFrame, shapes: StepShapes) -> DataFrame:

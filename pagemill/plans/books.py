@@ -66,7 +66,7 @@ def extract_book_list(
     failed = warnings.where("fatal").select("source_id").dropDuplicates()
     usable = pages.join(broadcast_if_small(failed), "source_id", "left_anti")
     nodes = node_table(pages) if nodes is None else nodes
-    items = rulesets.list_items(nodes, usable, parts.where("field = 'bookList'"))
+    items = stored(rulesets.list_items(nodes, usable, parts.where("field = 'bookList'")), "items")
     values = rulesets.field_values(nodes, usable, items, parts.where("field <> 'bookList'"))
     based = values.join(pages.select("page_id", "url"), "page_id")
     address = F.col("field").isin("bookUrl", "coverUrl")

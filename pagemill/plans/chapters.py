@@ -9,7 +9,7 @@ from ..functions.regex import source_replace_regex
 from ..functions.text import content_text, web_trim
 from ..operators import links as L
 from ..operators import toc as T
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, stored
 from . import rulesets
 from .books import first_line_address, next_links, node_table
 
@@ -42,7 +42,7 @@ def extract_toc(pages: DataFrame, rule_fields: DataFrame, seeds: DataFrame, node
     onward = next_links(pages, rule_fields, "ruleToc", "nextTocUrl", nodes)
     chain = _chain(pages, onward, seeds.withColumnRenamed("book_key", "key"), T.MAX_TOC_PAGES)
     listed = pages.join(chain.select("page_id").dropDuplicates(), "page_id", "left_semi")
-    items = rulesets.list_items(nodes, listed, parts.where("field = 'chapterList'"))
+    items = stored(rulesets.list_items(nodes, listed, parts.where("field = 'chapterList'")), "items")
     values = rulesets.field_values(nodes, listed, items, parts.where("field <> 'chapterList'")).join(pages.select("page_id", "url"), "page_id")
     value = F.when(F.col("field") == "chapterUrl", first_line_address(F.col("values"), F.col("url"))).otherwise(
         rulesets.joined_value(F.col("values"))

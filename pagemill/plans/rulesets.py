@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 from ..functions import lists, rulesyntax
 from ..functions.text import web_trim
 from ..operators import select
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, stored
 
 # --- fixed values -----------------------------------------------------------------------------
 LIST_FIELDS = ("bookList", "chapterList")
@@ -58,10 +58,12 @@ def compile_rules(rule_fields: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     errors = parsed.where(F.col("r.error").isNotNull()).select("source_id", "grp", "field", F.col("r.error").alias("message"))
     parts = parsed.select("source_id", "grp", "field", F.col("r.joiner").alias("joiner"), F.posexplode("r.parts").alias("part", "p"))
-    return parts.select(
+    compiled = parts.select(
         "source_id", "grp", "field", "joiner", "part", "p.dialect", "p.body", "p.steps", "p.extract", "p.reverse",
         _usable_ops(F.col("p.ops")).alias("ops"),
-    ), errors
+    )
+    # Read by every step below: parsed once, and small next to any page table.
+    return stored(compiled, "rules"), errors
 
 
 def rule_dialect(rule_fields: DataFrame) -> DataFrame:
@@ -109,6 +111,7 @@ def rule_steps(rule_fields: DataFrame) -> DataFrame:
 
 # --- evaluation ------------------------------------------------------------------------------------
 NODE_DIALECTS = ("default", "css", "xpath")
+BARE = r"^[A-Za-z_][\w-]*$"  # on JSON a bare word is a field name
 
 
 def _terms(parts: DataFrame) -> DataFrame:
@@ -116,32 +119,49 @@ def _terms(parts: DataFrame) -> DataFrame:
     return broadcast_if_small(steps.select(select._term_of(F.col("step")).alias("term")).dropDuplicates())
 
 
+def _needs(parts: DataFrame):
+    """One small aggregate over compiled rules: step shapes, dialects and value kinds in use."""
+    return parts.agg(
+        *select.StepShapes.aggregates(),
+        F.bool_or(F.col("dialect").isin(*NODE_DIALECTS)).alias("dom"), F.bool_or(F.col("dialect") == "json").alias("json"),
+        F.bool_or(F.col("dialect").isin("allinone", "source")).alias("patterns"),
+        F.bool_or((F.col("dialect") == "default") & F.col("body").rlike(BARE)).alias("bare"),
+        F.bool_or(F.col("extract").isin(*select.TEXT_KINDS)).alias("text"), F.bool_or(F.col("extract").isin(*select.HTML_KINDS)).alias("html"),
+    ).first()
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def list_items(nodes: DataFrame, pages: DataFrame, parts: DataFrame) -> DataFrame:
     """Items of list rules: page_id, source_id, item (place in the page), node_id, json.
 
     ``pages``: page_id, source_id, html. Node rules give a node, JSON rules the item's JSON text.
     """
-    dom = parts.where(F.col("dialect").isin(*NODE_DIALECTS))
-    starts = select.with_nodes(
-        nodes, pages.select("page_id", "source_id", F.lit(0).alias("node_id"), F.lit(0).cast("bigint").alias("ord"))
-    )
-    runs = starts.join(broadcast_if_small(dom.select("source_id", "part", "joiner", "reverse", "steps")), "source_id")
-    shapes = select.StepShapes.of_table(dom)
-    hits = select.run_steps(nodes, runs, ["source_id", "part", "joiner", "reverse"], _terms(dom), shapes)
-    found = hits.select("page_id", "source_id", "part", "joiner", "reverse", "ord", "node_id", F.lit(None).cast("string").alias("json"))
-    # A JSON list: the path without its closing wildcard names the array.
-    as_json = broadcast_if_small(parts.where("dialect = 'json'").select("source_id", "part", "joiner", "reverse", "body"))
-    listed = pages.join(as_json, "source_id").withColumn(
-        "array", F.call_function("get_json_object", F.col("html"), F.regexp_replace("body", r"(?:\.?\[\*\])+$", ""))
-    )
-    texts = listed.where(web_trim(F.col("array")).startswith("[")).select(
-        "page_id", "source_id", "part", "joiner", "reverse", F.posexplode(F.from_json("array", "array<string>")).alias("ord", "json")
-    )
-    found = found.unionByName(
-        texts.where(F.col("json").isNotNull()).select(
-            "page_id", "source_id", "part", "joiner", "reverse", F.col("ord").cast("bigint").alias("ord"), F.lit(None).cast("int").alias("node_id"), "json"
+    need = _needs(parts)
+    keys = ["page_id", "source_id", "part", "joiner", "reverse"]
+    no_json, no_node = F.lit(None).cast("string").alias("json"), F.lit(None).cast("int").alias("node_id")
+    branches = []
+    if need["dom"] or not need["json"]:
+        dom = parts.where(F.col("dialect").isin(*NODE_DIALECTS))
+        starts = select.with_nodes(
+            nodes, pages.select("page_id", "source_id", F.lit(0).alias("node_id"), F.lit(0).cast("bigint").alias("ord"))
         )
-    )
+        runs = starts.join(broadcast_if_small(dom.select("source_id", "part", "joiner", "reverse", "steps")), "source_id")
+        hits = select.run_steps(nodes, runs, ["source_id", "part", "joiner", "reverse"], _terms(dom), select.StepShapes.of_row(need))
+        branches.append(hits.select(*keys, "ord", "node_id", no_json))
+    if need["json"]:
+        # A JSON list: the path without its closing wildcard names the array.
+        as_json = broadcast_if_small(parts.where("dialect = 'json'").select("source_id", "part", "joiner", "reverse", "body"))
+        array = F.call_function("get_json_object", F.col("html"), F.regexp_replace("body", r"(?:\.?\[\*\])+$", ""))
+        listed = pages.join(as_json, "source_id").withColumn("array", array).where(web_trim(F.col("array")).startswith("["))
+        texts = listed.select(*keys, F.posexplode(F.from_json("array", "array<string>")).alias("ord", "json"))
+        branches.append(texts.where(F.col("json").isNotNull()).select(*keys, F.col("ord").cast("bigint").alias("ord"), no_node, "json"))
+    found = _union(branches)
     page = Window.partitionBy("page_id", "source_id")
     turned = F.when(F.col("reverse"), -F.col("ord")).otherwise(F.col("ord"))
     # && part after part, || the first part with hits, %% one of each part in turn.
@@ -184,47 +204,49 @@ def field_values(nodes: DataFrame, pages: DataFrame, items: DataFrame, parts: Da
     ``items``: page_id, source_id, item, node_id, json; several rows of one item are several start
     nodes. Fields without values are absent.
     """
+    need = _needs(parts)
     keys = ["source_id", "item", "field", "part", "joiner"]
-    dom = parts.where(F.col("dialect").isin(*NODE_DIALECTS))
-    columns = ["source_id", "field", "part", "joiner", "steps", "extract", "reverse", "ops"]
-    placed = items.where(F.col("node_id").isNotNull()).withColumn(
-        "ord", (F.row_number().over(Window.partitionBy("page_id", "source_id", "item").orderBy("node_id")) - 1).cast("bigint")
-    )
-    starts = select.with_nodes(nodes, placed.select("page_id", "source_id", "item", "node_id", "ord"))
-    runs = starts.join(broadcast_if_small(dom.select(*columns)), "source_id")
-    carried = [*keys, "extract", "reverse", "ops"]
-    hits = select.run_steps(nodes, runs, carried, _terms(dom), select.StepShapes.of_table(dom))
-    kinds = dom.agg(
-        F.coalesce(F.max(F.col("extract").isin(*select.TEXT_KINDS)), F.lit(False)), F.coalesce(F.max(F.col("extract").isin(*select.HTML_KINDS)), F.lit(False))
-    ).first()
-    rows = select.value_lists(
-        hits, select.page_texts(nodes) if kinds[0] else None, pages.select("page_id", "html") if kinds[1] else None
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "values")))
-    lists_ = rows.groupBy("page_id", *carried).agg(F.flatten(F.transform(ordered, lambda v: v["values"])).alias("values"))
-    found = lists_.withColumn("values", F.when(F.col("reverse"), F.reverse("values")).otherwise(F.col("values"))).select(
-        "page_id", *keys, "ops", "values"
-    )
-    # JSON items: a path, or a bare field name.
-    as_json = parts.where(
-        (F.col("dialect") == "json") | ((F.col("dialect") == "default") & F.col("body").rlike(r"^[A-Za-z_][\w-]*$"))
-    ).withColumn("path", F.when(F.col("dialect") == "json", F.col("body")).otherwise(F.concat(F.lit("$."), "body")))
-    texts = items.where(F.col("json").isNotNull()).join(broadcast_if_small(as_json.select("source_id", "field", "part", "joiner", "ops", "path")), "source_id")
-    values = texts.withColumn("value", F.call_function("get_json_object", F.col("json"), F.col("path"))).where(F.col("value").isNotNull()).select(
-        "page_id", *keys, "ops", F.array("value").alias("values")
-    )
-    # Whole-page patterns read the source text itself.
-    patterns = parts.where(F.col("dialect").isin("allinone", "source") & F.col("field").isNotNull())
-    on_page = items.select("page_id", "source_id", "item").dropDuplicates().join(
-        broadcast_if_small(patterns.select("source_id", "field", "part", "joiner", "ops", "dialect", "body")), "source_id"
-    ).join(pages.select("page_id", "html"), "page_id")
-    pattern = F.concat(F.lit("(?m)"), "body")
-    grouped = F.col("body").rlike(r"(?<!\\)\((?!\?)")
-    every = F.when(grouped, F.regexp_extract_all("html", pattern, F.lit(1))).otherwise(F.regexp_extract_all("html", pattern, F.lit(0)))
-    matched = on_page.withColumn(
-        "values", F.when(F.col("dialect") == "source", F.array("html")).otherwise(F.filter(F.transform(every, web_trim), lambda v: v != ""))
-    ).select("page_id", *keys, "ops", "values")
-    union = found.unionByName(values).unionByName(matched)
+    branches = []
+    if need["dom"] or not (need["json"] or need["patterns"]):
+        dom = parts.where(F.col("dialect").isin(*NODE_DIALECTS))
+        carried = [*keys, "extract", "reverse", "ops"]
+        placed = items.where(F.col("node_id").isNotNull()).withColumn(
+            "ord", (F.row_number().over(Window.partitionBy("page_id", "source_id", "item").orderBy("node_id")) - 1).cast("bigint")
+        )
+        starts = select.with_nodes(nodes, placed.select("page_id", "source_id", "item", "node_id", "ord"))
+        rules = dom.select("source_id", "field", "part", "joiner", "steps", "extract", "reverse", "ops")
+        runs = starts.join(broadcast_if_small(rules), "source_id")
+        hits = select.run_steps(nodes, runs, carried, _terms(dom), select.StepShapes.of_row(need))
+        rows = select.value_lists(
+            hits, select.page_texts(nodes) if need["text"] else None, pages.select("page_id", "html") if need["html"] else None
+        )
+        ordered = F.array_sort(F.collect_list(F.struct("ord", "values")))
+        grouped = rows.groupBy("page_id", *carried).agg(F.flatten(F.transform(ordered, lambda v: v["values"])).alias("values"))
+        values = F.when(F.col("reverse"), F.reverse("values")).otherwise(F.col("values"))
+        branches.append(grouped.withColumn("values", values).select("page_id", *keys, "ops", "values"))
+    if need["json"] or need["bare"]:
+        as_json = parts.where((F.col("dialect") == "json") | ((F.col("dialect") == "default") & F.col("body").rlike(BARE))).select(
+            "source_id", "field", "part", "joiner", "ops",
+            F.when(F.col("dialect") == "json", F.col("body")).otherwise(F.concat(F.lit("$."), "body")).alias("path"),
+        )
+        texts = items.where(F.col("json").isNotNull()).join(broadcast_if_small(as_json), "source_id")
+        found = texts.withColumn("value", F.call_function("get_json_object", F.col("json"), F.col("path")))
+        branches.append(found.where(F.col("value").isNotNull()).select("page_id", *keys, "ops", F.array("value").alias("values")))
+    if need["patterns"]:
+        # Whole-page patterns read the source text itself.
+        patterns = parts.where(F.col("dialect").isin("allinone", "source")).select(
+            "source_id", "field", "part", "joiner", "ops", "dialect", "body"
+        )
+        on_page = items.select("page_id", "source_id", "item").dropDuplicates().join(
+            broadcast_if_small(patterns), "source_id"
+        ).join(pages.select("page_id", "html"), "page_id")
+        pattern = F.concat(F.lit("(?m)"), "body")
+        grouped_pattern = F.col("body").rlike(r"(?<!\\)\((?!\?)")
+        every = F.when(grouped_pattern, F.regexp_extract_all("html", pattern, F.lit(1))).otherwise(F.regexp_extract_all("html", pattern, F.lit(0)))
+        kept = F.filter(F.transform(every, web_trim), lambda v: v != "")
+        matched = on_page.withColumn("values", F.when(F.col("dialect") == "source", F.array("html")).otherwise(kept))
+        branches.append(matched.select("page_id", *keys, "ops", "values"))
+    union = _union(branches)
     cleaned = union.withColumn("values", _apply_ops(F.col("values"), F.col("ops")))
     # One row per part of a rule, so the list per field is as long as the rule has parts.
     sorted_parts = F.array_sort(F.collect_list(F.struct("part", "joiner", "values")))
