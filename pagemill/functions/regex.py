@@ -89,6 +89,11 @@ def regex_all_in_one(c: Column, pattern: str, ops: Sequence[tuple[str, str, bool
     return F.filter(hits, lambda v: v != "")
 
 
+def compiles(pattern: Column) -> Column:
+    """Whether a pattern that is data compiles, asked of the JVM class that will run it."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
 def replace_by_pairs(c: Column, pairs: Column) -> Column:
     """A chain whose (p, r) pairs are data: ``pairs`` is ARRAY<STRUCT<p,r>> with Java replacements."""
     return F.aggregate(pairs, c, lambda acc, op: F.regexp_replace(acc, op["p"], op["r"]))
@@ -98,7 +103,7 @@ def source_replace_pairs(rules_text: Column) -> Column:
     """Cleaning lines of a source (one per line) as pairs.
 
     The pattern is the first non-empty part of a line and the replacement the part after it, so
-    ``##ad text`` and ``ad text##`` both delete, and ``##a##b`` rewrites.
+    ``##ad text`` and ``ad text##`` both delete, and ``##a##b`` rewrites. Bad patterns are skipped.
     """
     lines = F.filter(
         F.transform(F.split(F.coalesce(rules_text, F.lit("")), "\n"), web_trim),
@@ -111,7 +116,7 @@ def source_replace_pairs(rules_text: Column) -> Column:
         quoted = F.regexp_replace(F.replace(replacement, F.lit("\\"), F.lit("\\\\")), r"\$(?![0-9])", r"\\\$")
         return F.struct(F.get(parts, F.lit(0)).alias("p"), quoted.alias("r"))
 
-    return F.transform(lines, pair)
+    return F.filter(F.transform(lines, pair), lambda op: compiles(op["p"]))
 
 
 def source_replace_regex(text: Column, rules_text: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import rulesyntax
 from ..functions.lists import is_index_spec, picked_positions
 from ..functions.text import web_trim
+from ..session import by_page
 from .nodes import NUL, SPANS
 
 _WS = r"[ \t\n\f\r]+"
@@ -185,10 +186,11 @@ def run_steps(nodes: DataFrame, runs: DataFrame, run: list[str], terms: DataFram
     ``runs``: page_id, *run, node_id, ord, steps, NODE_COLUMNS. A run that has no step left stays as
     it is, so every round is one join whatever the lengths of the rules.
     """
-    candidates = edges(nodes, terms, shapes.parents)
+    # Partitioned by page once, the joins and windows of all rounds need no further shuffle.
+    candidates = by_page(edges(nodes, terms, shapes.parents))
     keys = ["page_id", *run]
     here = F.struct("node_id", F.lit(None).cast("string").alias("tag"), F.lit(None).cast("int").alias("sib_n"), *NODE_COLUMNS)
-    current = runs.select(*keys, "node_id", "ord", F.col("ord").alias("seg"), "steps", *NODE_COLUMNS)
+    current = by_page(runs.select(*keys, "node_id", "ord", F.col("ord").alias("seg"), "steps", *NODE_COLUMNS))
     for k in range(shapes.longest):
         axis = F.col("step.axis")
         sideways = axis.isin("next", "later", "earlier")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import lists, rulesyntax
+from ..functions.regex import compiles
 from ..functions.text import web_trim
 from ..operators import select
 from ..session import broadcast_if_small, stored
@@ -39,10 +40,7 @@ def _usable_ops(ops: Column) -> Column:
             op["first"].alias("first"),
         )
 
-    compiles = F.filter(
-        ops, lambda op: F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), op["p"]).isNotNull()
-    )
-    return F.transform(compiles, java)
+    return F.transform(F.filter(ops, lambda op: compiles(op["p"])), java)
 
 
 def compile_rules(rule_fields: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # A side is broadcast only while its optimizer size estimate stays below this.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
+# With this off, sides that are both partitioned by page are joined on finer keys without a shuffle.
+BY_PAGE = "spark.sql.requireAllClusterKeysForCoPartition"
+
 
 def build_session(app: str = "pagemill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every job here relies on."""
@@ -24,7 +27,7 @@ def build_session(app: str = "pagemill", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+        BY_PAGE: "false",
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -82,3 +85,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def by_page(df: DataFrame) -> DataFrame:
+    """Partition by page where joins and windows below can use it; a page is bounded in size."""
+    return df.repartition("page_id") if df.sparkSession.conf.get(BY_PAGE, "true") == "false" else df
