@@ -8,6 +8,7 @@ from ..operators import toc as T
 from ..plans import books as B
 from ..plans import chapters as C
 from ..plans import rulesets as R
+from ..session import stored
 from .base import query, table, texts
 from .derive import derived, with_tables
 from .text import sql_flatten, sql_normalize, sql_trim
@@ -58,7 +59,8 @@ def _pages(spark, sf):
         .otherwise(F.col("html")),
     )
     ending = F.regexp_extract("url", r"^https?://[^/?#]*\.(\w+)(?:[/?#]|$)", 1)
-    return linked.select("page_id", ending.alias("source_id"), "url", "html").where(F.col("source_id").isin(*RULES))
+    # A captured corpus is a stored table; every step of the jobs reads it.
+    return stored(linked.select("page_id", ending.alias("source_id"), "url", "html").where(F.col("source_id").isin(*RULES)), "pages")
 
 
 PAGES = f"SELECT page_id, url, html, {ENDING} AS source_id FROM pages WHERE {ENDING} IN ('com', 'net', 'org')"

@@ -50,7 +50,7 @@ def _term_of(step: Column) -> Column:
 
 
 # What a run keeps of the node it stands on: enough to go on from it and to read its values.
-NODE_COLUMNS = ("parent_id", "sib_ord", "attrs", "own_text", *SPANS)
+NODE_COLUMNS = ("parent_id", "sib_ord", "attrs", *SPANS)
 
 
 def edges(nodes: DataFrame, terms: DataFrame, parents: bool = False) -> DataFrame:
@@ -76,6 +76,10 @@ def with_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(nodes.select("page_id", "node_id", *NODE_COLUMNS), ["page_id", "node_id"])
 
 
+def own_texts(nodes: DataFrame) -> DataFrame:
+    return nodes.select("page_id", "node_id", "own_text")
+
+
 def page_texts(nodes: DataFrame) -> DataFrame:
     return nodes.where("node_id = 0").select("page_id", "page_text")
 
@@ -114,13 +118,15 @@ def _between(text: Column, start: Column, end: Column) -> Column:
 def _keep_by_text(nodes: DataFrame, hits: DataFrame, run: list[str]) -> DataFrame:
     """Steps that ask for text: ``contains`` in the subtree; ``own`` in the node itself, else anywhere below."""
     below = F.replace(_between(F.col("page_text"), F.col("hit.text_start"), F.col("hit.text_end")), F.lit(NUL), F.lit(""))
-    strict = F.coalesce(F.replace(F.col("hit.own_text"), F.lit(NUL), F.lit("")).contains(F.col("step.own")), F.lit(False))
+    strict = F.coalesce(F.replace(F.col("own_text"), F.lit(NUL), F.lit("")).contains(F.col("step.own")), F.lit(False))
     loose = F.coalesce(below.contains(F.coalesce("step.own", "step.contains")), F.lit(False))
     asks = F.col("step.own").isNotNull() | F.col("step.contains").isNotNull()
     context = Window.partitionBy("page_id", *run, "seg", "node_id")
     return (
         hits.join(page_texts(nodes), "page_id")
-        .withColumn("strict", strict).withColumn("loose", loose).drop("page_text")
+        .withColumn("hit_id", F.col("hit.node_id"))
+        .join(own_texts(nodes).withColumnRenamed("node_id", "hit_id"), ["page_id", "hit_id"])
+        .withColumn("strict", strict).withColumn("loose", loose).drop("page_text", "own_text", "hit_id")
         .withColumn("any_strict", F.max("strict").over(context))
         .where(
             F.when(~asks | F.col("step").isNull(), F.lit(True))
@@ -301,19 +307,22 @@ def pick_hits(hits: DataFrame, spec: str) -> DataFrame:
 
 # --- values ---------------------------------------------------------------------------------------
 TEXT_KINDS = ("text", "textNodes", "xtextNodes")
+OWN_KINDS = ("ownText", "xownText")
 HTML_KINDS = ("html", "outerHtml", "all")
 
 
-def value_lists(hits: DataFrame, texts: DataFrame | None, pages: DataFrame | None) -> DataFrame:
+def value_lists(hits: DataFrame, texts: DataFrame | None, owns: DataFrame | None, pages: DataFrame | None) -> DataFrame:
     """``hits`` (NODE_COLUMNS and ``extract``) with ``values``: one value per node, or one per text node.
 
-    ``texts`` (page_id, page_text) serves the text kinds and ``pages`` (page_id, html) the markup
-    kinds; leave out what no rule asks for.
+    ``texts`` (page_id, page_text), ``owns`` (page_id, node_id, own_text) and ``pages`` (page_id,
+    html) serve the text, own-text and markup kinds; leave out what no rule asks for.
     """
     kind = F.col("extract")
     rows = hits
     none = F.lit(None).cast("string")
-    below = markup = none
+    below = markup = own = none
+    if owns is not None:
+        rows, own = rows.join(owns, ["page_id", "node_id"]), F.col("own_text")
     if texts is not None:
         rows = rows.join(texts, "page_id")
         below = _between(F.col("page_text"), F.col("text_start"), F.col("text_end"))
@@ -330,18 +339,19 @@ def value_lists(hits: DataFrame, texts: DataFrame | None, pages: DataFrame | Non
 
     attr = F.coalesce(F.try_element_at("attrs", F.lower(kind)), F.lit(""))
     values = (
-        F.when(kind == "text", joined(below)).when(kind == "ownText", joined(F.col("own_text")))
-        .when(kind.isin("textNodes", "xtextNodes"), single(below)).when(kind == "xownText", single(F.col("own_text")))
+        F.when(kind == "text", joined(below)).when(kind == "ownText", joined(own))
+        .when(kind.isin("textNodes", "xtextNodes"), single(below)).when(kind == "xownText", single(own))
         .when(kind.isin(*HTML_KINDS), F.array(web_trim(markup))).otherwise(F.array(web_trim(attr)))
     )
-    return rows.withColumn("values", values).drop("page_text", "html")
+    return rows.withColumn("values", values).drop("page_text", "own_text", "html")
 
 
 def extract_value(nodes: DataFrame, hits: DataFrame, kind: str, pages: DataFrame | None = None) -> DataFrame:
     """``hits`` of a selector → page_id, ctx_id, values ARRAY<STRING> in result order."""
-    if "own_text" not in hits.columns:
+    if "text_start" not in hits.columns:
         hits = with_nodes(nodes, hits)
     texts = page_texts(nodes) if kind in TEXT_KINDS else None
-    rows = value_lists(hits.withColumn("extract", F.lit(kind)), texts, pages if kind in HTML_KINDS else None)
+    owns = own_texts(nodes) if kind in OWN_KINDS else None
+    rows = value_lists(hits.withColumn("extract", F.lit(kind)), texts, owns, pages if kind in HTML_KINDS else None)
     ordered = F.array_sort(F.collect_list(F.struct("ord", "values")))
     return rows.groupBy("page_id", "ctx_id").agg(F.flatten(F.transform(ordered, lambda v: v["values"])).alias("values"))

@@ -125,6 +125,7 @@ def _needs(parts: DataFrame):
         F.bool_or(F.col("dialect").isin("allinone", "source")).alias("patterns"),
         F.bool_or((F.col("dialect") == "default") & F.col("body").rlike(BARE)).alias("bare"),
         F.bool_or(F.col("extract").isin(*select.TEXT_KINDS)).alias("text"), F.bool_or(F.col("extract").isin(*select.HTML_KINDS)).alias("html"),
+        F.bool_or(F.col("extract").isin(*select.OWN_KINDS)).alias("own"),
     ).first()
 
 
@@ -216,7 +217,7 @@ def field_values(nodes: DataFrame, pages: DataFrame, items: DataFrame, parts: Da
         runs = starts.join(broadcast_if_small(rules), "source_id")
         hits = select.run_steps(nodes, runs, carried, _terms(dom), select.StepShapes.of_row(need))
         rows = select.value_lists(
-            hits, select.page_texts(nodes) if need["text"] else None, pages.select("page_id", "html") if need["html"] else None
+            hits, select.page_texts(nodes) if need["text"] else None, select.own_texts(nodes) if need["own"] else None, pages.select("page_id", "html") if need["html"] else None
         )
         ordered = F.array_sort(F.collect_list(F.struct("ord", "values")))
         grouped = rows.groupBy("page_id", *carried).agg(F.flatten(F.transform(ordered, lambda v: v["values"])).alias("values"))
