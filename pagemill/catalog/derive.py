@@ -199,6 +199,8 @@ def with_tables(body: str, *names: str) -> str:
     """``body`` behind WITH clauses that define the named derived tables."""
     ctes = ", ".join(f"{n} AS ({sql_text(n)})" for n in names)
     rest = body.strip()
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {rest[15:]}"
     if rest.upper().startswith("WITH "):
         return f"WITH {ctes}, {rest[5:]}"
     return f"WITH {ctes} {rest}"

@@ -386,7 +386,24 @@ def session_prune(spark, sf):
     return library.session_revoke_others(live, changed).select("token", "user_id")
 
 
-@query("login_throttle")
+# One attempt of every user per round, the way the service meets them.
+THROTTLE = with_tables(
+    """WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY username ORDER BY ts, seq) AS rn FROM attempts),
+         r AS (
+           SELECT username, rn, ts, seq, CASE WHEN ok THEN 0 ELSE 1 END AS cnt, CASE WHEN ok THEN 0 ELSE ts END AS first,
+                  CASE WHEN ok THEN 'ok' ELSE 'failed' END AS decision FROM a WHERE rn = 1
+           UNION ALL
+           SELECT username, rn, ts, seq, CASE WHEN c >= 10 THEN c WHEN ok THEN 0 ELSE c + 1 END,
+                  CASE WHEN c >= 10 THEN first WHEN ok THEN 0 WHEN c = 0 THEN ts ELSE first END,
+                  CASE WHEN c >= 10 THEN 'blocked' WHEN ok THEN 'ok' ELSE 'failed' END
+           FROM (SELECT a.*, r.first, CASE WHEN a.ts - r.first > 900000 THEN 0 ELSE r.cnt END AS c
+                 FROM r JOIN a ON a.username = r.username AND a.rn = r.rn + 1))
+       SELECT username, ts, seq, decision FROM r""",
+    "attempts",
+)
+
+
+@query("login_throttle", THROTTLE)
 def login_throttle(spark, sf):
     return throttle(derived(spark, sf, "attempts"))
 

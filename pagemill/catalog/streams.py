@@ -12,6 +12,7 @@ from ..streaming.state import VersionedTable
 from . import books as rule_books
 from .base import query, table
 from .derive import with_tables
+from .library import THROTTLE
 
 
 def _folder(spark, name):
@@ -79,7 +80,7 @@ def stream_progress_newest(spark, sf):
     return out.withColumn("chapter_index", F.col("chapter_index").cast("bigint"))
 
 
-@query("stream_login_throttle")
+@query("stream_login_throttle", THROTTLE)
 def stream_login_throttle(spark, sf):
     attempts = _stream(spark, sf, "events").select(
         F.concat(F.lit("user"), F.col("user_id") % 5).alias("username"), _millis("ts").alias("ts"), F.col("event_id").alias("seq"),

@@ -155,7 +155,13 @@ def resolve_url(spark, sf):
     )
 
 
-@query("split_url_options")
+@query(
+    "split_url_options",
+    """SELECT page_id, CASE WHEN page_id % 4 = 3 THEN url || '<,{{page}}>' ELSE url END AS url,
+              CASE WHEN page_id % 4 = 1 THEN 'POST' END AS method, CASE WHEN page_id % 4 = 1 THEN 'gbk' END AS charset,
+              CASE page_id % 4 WHEN 1 THEN 'a=1' WHEN 2 THEN '{"id":7}' END AS body, true AS valid,
+              CASE WHEN page_id % 4 = 2 THEN '{"Referer":"x","Content-Type":"application/json"}' ELSE '{}' END AS headers FROM pages""",
+)
 def split_url_options(spark, sf):
     """Addresses with a block of request options of every kind behind them."""
     block = F.concat(

@@ -5,7 +5,7 @@ from compare import differences, run_query, run_sql
 
 from pagemill.catalog import ORACLES, QUERIES
 
-NO_SQL = {"split_url_options", "scalar_ciphers", "login_throttle", "stream_login_throttle"}
+NO_SQL = {"scalar_ciphers"}
 
 
 def test_only_these_have_no_sql():
