@@ -28,9 +28,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _settle(spark: SparkSession) -> None:
+    """Settings the queries rely on; local sessions get as many shuffle partitions as cores."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set(BY_PAGE, "false")
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
