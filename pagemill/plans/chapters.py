@@ -27,8 +27,10 @@ def _chain(pages: DataFrame, links: DataFrame, seeds: DataFrame, cap: int) -> Da
     hops = pages.select("page_id", "source_id", "url").join(links.select("page_id", "next_url"), "page_id", "left").select(
         at.alias("url"), F.when(F.col("next_url").isNotNull(), F.concat_ws("\n", "source_id", "next_url")).alias("next_url")
     )
+    # The link rules run once; the rounds of the chain read their result.
+    links_ = stored(hops, "links")
     starts = seeds.select(F.struct("source_id", "key").alias("seed"), at.alias("url"))
-    return T.page_chain(hops, starts, cap).join(known, "url").select("seed.source_id", "seed.key", "page_no", "page_id")
+    return T.page_chain(links_, starts, cap).join(known, "url").select("seed.source_id", "seed.key", "page_no", "page_id")
 
 
 def extract_toc(pages: DataFrame, rule_fields: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -53,7 +55,8 @@ def extract_toc(pages: DataFrame, rule_fields: DataFrame, seeds: DataFrame, node
         F.col("chapterUrl").alias("url"), F.col("isVolume").alias("is_volume"), F.col("isVip").alias("is_vip"), F.col("isPay").alias("is_pay"),
         F.col("updateTime").alias("update_time"),
     )
-    return T.clean_toc(rows)
+    # Numbering reads its input twice; the extraction above runs once.
+    return T.clean_toc(stored(rows, "toc"))
 
 
 def content_pages(pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame, nodes: DataFrame) -> DataFrame:
