@@ -53,6 +53,16 @@ def map_texts(
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, out)
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The documents under names no operator uses (but for ``text``), and how to get the old names back."""
+    names = [n if n == "text" else f"kept_{i}" for i, n in enumerate(docs.columns)]
+
+    def restore(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)])
+
+    return docs.toDF(*names), restore
+
+
 def code_points(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points of some texts in a row, and where each text starts (one entry more at the end)."""
     points = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
