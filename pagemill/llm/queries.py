@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id
+from . import byte_bpe, decontaminate, language_id, toxicity
 from .batches import fold
+from .samples import labelled_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +83,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = language_id.learnable(fold(4), 2)
     filters = language_id.train(docs.where(seen))
     return language_id.predict(docs, filters).select("doc_id", (~seen).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all texts, learned from labels whose fold is not held out. Null ids are held out."""
+    docs = _table(spark, sf_dir, "documents")
+    seen = language_id.learnable(fold(4), 2)
+    sample = labelled_sample(docs, _table(spark, sf_dir, "labels"), "toxic", seen, toxicity.SAMPLE)
+    return toxicity.score(docs, toxicity.train(sample)).select("doc_id", (~seen).alias("held_out"), "score", "predicted")
