@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, toxicity
+from . import byte_bpe, decontaminate, language_id, quality_classifier, toxicity
 from .batches import fold
 from .samples import labelled_sample
 
@@ -92,3 +92,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = language_id.learnable(fold(4), 2)
     sample = labelled_sample(docs, _table(spark, sf_dir, "labels"), "toxic", seen, toxicity.SAMPLE)
     return toxicity.score(docs, toxicity.train(sample)).select("doc_id", (~seen).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all texts, learned from labels whose fold is not held out. Null ids are held out."""
+    docs = _table(spark, sf_dir, "documents")
+    seen = language_id.learnable(fold(5), 0)
+    sample = labelled_sample(docs, _table(spark, sf_dir, "labels"), "quality", seen, quality_classifier.SAMPLE)
+    return quality_classifier.score(docs, quality_classifier.train(sample)).select("doc_id", (~seen).alias("held_out"), "score", "predicted")
