@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, quality_classifier, toxicity
+from . import byte_bpe, decontaminate, language_id, quality_classifier, quality_rules, toxicity
 from .batches import fold
 from .samples import labelled_sample
 
@@ -101,3 +101,31 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = language_id.learnable(fold(5), 0)
     sample = labelled_sample(docs, _table(spark, sf_dir, "labels"), "quality", seen, quality_classifier.SAMPLE)
     return quality_classifier.score(docs, quality_classifier.train(sample)).select("doc_id", (~seen).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all texts, native expressions only."""
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_quality_rules"] = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+line AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM doc),
+lines AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM doc WHERE len(w) >= 5)),
+twice AS (SELECT r, s FROM win GROUP BY r, s HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n_rep FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (r, s)) GROUP BY r),
+stop AS (SELECT r, count(*) AS n_stop FROM (SELECT r, unnest(w) AS x FROM doc) WHERE x IN (@STOP@) GROUP BY r),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_stop, 0) AS n_stop_words
+  FROM doc LEFT JOIN lines USING (r) LEFT JOIN rep USING (r) LEFT JOIN stop USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+    AND word_chars / greatest(n_words, 1) BETWEEN 1.5 AND 20 AND n_symbols / greatest(n_words, 1) <= 0.2
+    AND (n_stop_words + 1) / greatest(n_words, 1) >= 0.02 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
+FROM m
+""".replace("@STOP@", ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS))
