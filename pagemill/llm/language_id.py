@@ -154,8 +154,8 @@ def train(docs: DataFrame) -> LanguageFilters:
             )
 
     filled = members.select("gram", "one.number").mapInArrow(to_slots, "slot int, word int, mask bigint")
-    for row in filled.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
-        slots[row.word, row.slot] = row.mask
+    table = filled.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    slots[table["word"].to_numpy(), table["slot"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
     return LanguageFilters(languages, slots)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, quality_classifier, quality_rules, toxicity
+from . import byte_bpe, decontaminate, language_id, line_dedup, quality_classifier, quality_rules, toxicity
 from .batches import fold
 from .samples import labelled_sample
 
@@ -129,3 +129,22 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     AND (n_stop_words + 1) / greatest(n_words, 1) >= 0.02 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
 FROM m
 """.replace("@STOP@", ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS))
+
+
+@_query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines removed from all texts but the last that holds them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op5_line_dedup"] = r"""
+WITH line AS (
+  SELECT doc_id, i, lines[i] AS l, translate(trim(lines[i], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+dup AS (SELECT k, max(doc_id) AS last FROM line WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+mark AS (SELECT doc_id, i, l, dup.k IS NOT NULL AND doc_id <> last AS gone FROM line LEFT JOIN dup USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM mark GROUP BY doc_id
+"""

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .batches import code_points, map_texts, slices, texts
 
@@ -93,14 +94,13 @@ def _class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0][some]), pa.array(counts[1][some])], names=["feature", "n0", "n1"])
             yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([n[0]]), pa.array([n[1]])], names=["feature", "n0", "n1"])
 
-    rows = sample.mapInArrow(run, "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg({"n0": "sum", "n1": "sum"})
+    rows = sample.mapInArrow(run, "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    table = rows.toArrow()  # at most 2^BITS rows
+    feature, found = table["feature"].to_numpy(), np.stack([table["n0"].to_numpy(), table["n1"].to_numpy()]).astype(float)
     counts, n = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for row in rows.toLocalIterator():  # at most 2^BITS rows
-        values = row["sum(n0)"], row["sum(n1)"]
-        if row.feature < 0:
-            n[:] = values
-        else:
-            counts[:, row.feature] = values
+    counts[:, feature[feature >= 0]] = found[:, feature >= 0]
+    if (feature < 0).any():
+        n = found[:, feature < 0][:, 0]
     return counts, n
 
 
