@@ -25,15 +25,12 @@ FILTER_BITS = 1 << 25
 PAGE_BITS = 1 << 16
 
 _BLANK = " \t\n\x0b\f\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def line_key(line: str) -> str:
-    return line.strip(_BLANK).translate(_LOWER)
-
-
-def _keys(value: str) -> list[str]:
-    return [k if len(k) >= LEAST_CHARS else "" for k in map(line_key, value.split("\n"))]
+def line_keys(value: str) -> list[str]:
+    """The key of each line, empty where it is too short to count. Only A-Z are lower-cased."""
+    low = value.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    return [k if len(k) >= LEAST_CHARS else "" for k in (line.strip(_BLANK) for line in low.split("\n"))]
 
 
 def _bits(keys: list[str]) -> np.ndarray:
@@ -52,7 +49,7 @@ def seen_again(docs: DataFrame) -> np.ndarray:
         once = np.zeros(FILTER_BITS, dtype=bool)
         again = np.zeros(FILTER_BITS, dtype=bool)
         for part in slices(batches):
-            keys = [k for t in texts(part) for k in set(_keys(t)) if k]
+            keys = [k for t in texts(part) for k in set(line_keys(t)) if k]
             if keys:
                 bits, n = np.unique(_bits(keys), return_counts=True)
                 again[bits[(n > 1) | once[bits]]] = True
@@ -94,14 +91,13 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
 
     def suspects(part: pa.RecordBatch, values: list[str]) -> dict:
         again = shared.value
-        out = []
-        for value in values:
-            keys = sorted({k for k in _keys(value) if k})
-            if keys:
-                bits = _bits(keys)
-                hit = ((again[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1).all(axis=0)
-                keys = [k for k, h in zip(keys, hit, strict=True) if h]
-            out.append(keys)
+        rows = [sorted({k for k in line_keys(v) if k}) for v in values]
+        flat = [k for row in rows for k in row]
+        hit = iter(())
+        if flat:
+            bits = _bits(flat)
+            hit = iter((((again[bits >> 3] >> (7 - (bits & 7)).astype(np.uint8)) & 1).all(axis=0)).tolist())
+        out = [[k for k in row if next(hit)] for row in rows]
         return {"keys": pa.array(out, pa.list_(pa.string()))}
 
     from ..session import stored
@@ -112,6 +108,7 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"))
     each = pairs.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
     counted = each.groupBy("key").agg(F.count("*").alias("n"), F.max(order).alias("last")).where(F.col("n") >= LEAST_DOCS)
+    counted = stored(counted, "line-counts")  # with plain tables on both sides, a key of many documents is split
     lost = pairs.join(counted, "key").where(~F.col("doc_id").eqNullSafe(F.col("last.doc_id")))
     return lost.groupBy("doc_id").agg(F.collect_set(F.unhex(F.md5("key"))).alias("drop"))
 
@@ -139,7 +136,8 @@ def drop_repeated(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
             lines.append(len(rows))
             if drop:
                 gone = set(drop)
-                rows = [r for r in rows if len(k := line_key(r)) < LEAST_CHARS or md5(k.encode("utf-8", "surrogatepass")).digest() not in gone]
+                keys = line_keys(value)
+                rows = [r for r, k in zip(rows, keys, strict=True) if not k or md5(k.encode("utf-8", "surrogatepass")).digest() not in gone]
             dropped.append(lines[-1] - len(rows))
             kept.append("\n".join(rows))
         return {"kept": pa.array(kept, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
