@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, line_dedup, quality_classifier, quality_rules, toxicity
+from . import byte_bpe, decontaminate, language_id, line_dedup, quality_classifier, quality_rules, secrets, toxicity
 from .batches import fold
 from .samples import labelled_sample
 
@@ -148,3 +148,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM mark GROUP BY doc_id
 """
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+@_query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all texts: fixed patterns, and tokens that look random. Native expressions only."""
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["place"] < len(secrets.BASE))
+    counts = [F.size(F.filter("spans", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
