@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, line_dedup, quality_classifier, quality_rules, secrets, toxicity
+from . import byte_bpe, decontaminate, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, secrets, toxicity
 from .batches import fold
 from .samples import labelled_sample
 
@@ -161,3 +161,24 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["place"] < len(secrets.BASE))
     counts = [F.size(F.filter("spans", _of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+@_query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of four-word shingles share 85 per cent of their union."""
+    return jaccard_join.alike_groups(_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+ORACLES["op6_jaccard_join"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM doc UNION SELECT d, b FROM reach JOIN link ON r = a)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id
+FROM doc LEFT JOIN n USING (doc_id) JOIN (SELECT d AS doc_id, min(r) AS c FROM reach GROUP BY d) USING (doc_id)
+"""
