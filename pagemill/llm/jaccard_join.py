@@ -166,14 +166,16 @@ def _possible(percent: int, a: str = "leader_place", b: str = "place"):
 def _more_pairs(shared: DataFrame, labels: DataFrame, first: int, last: int, percent: int) -> tuple[DataFrame, int]:
     """Pairs of leaders number ``first`` to ``last`` of each open column with later members of other groups.
 
+    Members that share most columns lead: in a group of edited copies that is the text they were made from.
     Also the size of the largest open column; columns whose documents are in one group are closed.
     """
     named = shared.select("code", "place", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("label", F.coalesce("label", "rep"))
+    central = shared.groupBy("rep").agg(F.count("*").alias("central"))
     sizes = named.groupBy("code").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     sizes = stored(sizes.select("code", "n"), "open-columns")
     largest = sizes.agg(F.max("n").alias("n")).first().n or 0
-    still = named.join(broadcast_if_small(sizes.select("code")), "code")
+    still = named.join(broadcast_if_small(sizes.select("code")), "code").join(central, "rep")
 
     def run(batches):
         code, rank = None, 0
@@ -190,7 +192,7 @@ def _more_pairs(shared: DataFrame, labels: DataFrame, first: int, last: int, per
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=["leader", "leader_place", "rep", "place"])
 
-    ordered = still.select("code", "place", "rep", "label").repartition("code").sortWithinPartitions("code", "place", "rep")
+    ordered = still.select("code", "place", "rep", "label", "central").repartition("code").sortWithinPartitions("code", F.desc("central"), "rep")
     found = ordered.mapInArrow(run, "leader bigint, leader_place bigint, rep bigint, place bigint")
     return found.where(_possible(percent)).select("leader", "rep").distinct(), largest
 
@@ -249,7 +251,7 @@ def alike_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     reps = reps.where("rep is not null")
     shared = _shared_columns(_columns(reps))
     pairs = stored(shared.where("rep <> leader").where(_possible(percent)).select("leader", "rep").distinct(), "pairs")
-    links, first, last = _links(docs, pairs, size, percent), 1, 5
+    links, first, last = _links(docs, pairs, size, percent), 0, 1
     labels = components(links)
     tested = pairs
     while True:
