@@ -49,6 +49,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-ckpt-", dir=os.environ.get("TMPDIR")))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for tables between stages."""
+    _ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, and stops iterative plans from growing."""
     _ensure_checkpoint_dir(df.sparkSession)
