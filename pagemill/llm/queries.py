@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, secrets, toxicity
+from . import byte_bpe, decontaminate, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity
 from .batches import fold
 from .samples import labelled_sample
 
@@ -182,3 +182,11 @@ reach AS (SELECT doc_id AS d, doc_id AS r FROM doc UNION SELECT d, b FROM reach
 SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id
 FROM doc LEFT JOIN n USING (doc_id) JOIN (SELECT d AS doc_id, min(r) AS c FROM reach GROUP BY d) USING (doc_id)
 """
+
+
+@_query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes under 400-byte strings that occur twice removed from all texts."""
+    found = suffix_dedup.drop_repeats(_table(spark, sf_dir, "documents"))
+    n_spans = F.coalesce(F.size("spans"), F.lit(0))
+    return found.select("doc_id", "n_bytes", "n_removed", F.greatest(n_spans, F.lit(0)).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
