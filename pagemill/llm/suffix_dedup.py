@@ -266,7 +266,8 @@ def _sorted_matches(contexts: DataFrame) -> DataFrame:
 def _counted_matches(strings: DataFrame) -> DataFrame:
     """The same for groups of any size: every string of every context is counted by two hashes."""
     twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    return strings.join(twice, ["h1", "h2"]).select(*_KEYS, F.col("first"), F.col("first").alias("last"))
+    # Strings of whole contexts only count; their own ranges are settled.
+    return strings.where("open").join(twice, ["h1", "h2"], "left_semi").select(*_KEYS, F.col("first"), F.col("first").alias("last"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -275,8 +276,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ``docs`` has ``doc_id``, ``mark`` (a hash of the text) and ``text``.
     """
     found = stored(_exploded(docs, _anchor_rows, "anchor bigint, first bigint, last bigint, key bigint, u1 bigint, u2 bigint"), "anchors")
-    keys = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    suspects = stored(found.join(keys, "key", "left_semi"), "suspects")
+    keys = stored(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "anchor-keys")
+    suspects = stored(found.join(broadcast_if_small(keys, 16 << 20), "key", "left_semi"), "suspects")
     unions = suspects.groupBy("key", "u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct(*_KEYS, "first")).alias("sample"))
     unions = stored(unions, "contexts")
     groups = unions.groupBy("key").agg(F.count("*").alias("different"), F.min("n").alias("fewest")).where("different > 1 and fewest = 1")
@@ -285,7 +286,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     whole = suspects.join(unions.where("n > 1").select("key", "u1", "u2"), ["key", "u1", "u2"], "left_semi").select(*_KEYS, "first", "last")
     part = open_.select("key", "u1", "u2", "different", "n", F.col("sample.doc_id").alias("doc_id"), F.col("sample.mark").alias("mark"), F.col("sample.first").alias("first"))
     wanted = suspects.join(part, ["key", "u1", "u2", *_KEYS, "first"]).groupBy(*_KEYS).agg(
-        F.collect_list(F.struct("key", "anchor", "first", "last", (F.col("different") > GROUP).alias("many"))).alias("wanted")
+        F.collect_list(F.struct("key", "anchor", "first", "last", (F.col("different") > GROUP).alias("many"), (F.col("n") == 1).alias("open"))).alias("wanted")
     )
     wanted = stored(wanted, "wanted")
     used = docs.join(broadcast_if_small(wanted, 16 << 20), _KEYS).select(*_KEYS, "text", "wanted")
@@ -301,10 +302,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         data = _bytes(value)
         first = np.concatenate([np.arange(w["first"], w["last"] + 1) for w in many])
         columns = [_absolute(data, first, base) for base in (_BASE, _OTHER)]
-        return list(zip(first.tolist(), *columns, strict=True))
+        opened = [w["open"] for w in many for _ in range(w["first"], w["last"] + 1)]
+        return list(zip(first.tolist(), *columns, opened, strict=True))
 
     ranges = whole.union(_sorted_matches(_exploded(used, contexts, "key bigint, left bigint, first bigint, context binary")))
-    ranges = ranges.union(_counted_matches(_exploded(used, strings, "first bigint, h1 bigint, h2 bigint")))
+    ranges = ranges.union(_counted_matches(_exploded(used, strings, "first bigint, h1 bigint, h2 bigint, open boolean")))
     each = ranges.groupBy(*_KEYS).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
     def joined(batches):
