@@ -62,7 +62,7 @@ class TestIndex:
         # A suffix counts up to the first word that no item has, or the end of its document.
         stops = np.union1d(np.flatnonzero(ids == 0), starts[1:])
         at = np.arange(len(ids))
-        known = stops[np.searchsorted(stops, at)] - at
+        known = np.where(ids == 0, 0, stops[np.searchsorted(stops, at, side="right").clip(max=len(stops) - 1)] - at)
         places = at[known >= self.shortest]
         if not len(places):
             return nothing, nothing, starts

@@ -119,6 +119,11 @@ def fit(x: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = STEPS
     return Model(w)
 
 
+def _constant(share: float) -> Model:
+    odds = np.log((share + 1e-6) / (1 - share + 1e-6))
+    return Model({n: 0 * v for n, v in _start().items()} | {"bias": np.array([odds])})
+
+
 def train(sample: DataFrame) -> Model:
     """Fit on (text, label) rows in one task; their number must be bounded by the caller.
 
@@ -136,11 +141,11 @@ def train(sample: DataFrame) -> Model:
         if 0 < y.sum() < len(y):
             model = fit(np.concatenate(held), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), y)
         else:
-            share = float(y.mean()) if len(y) else 0.5
-            model = Model({n: 0 * v for n, v in _start().items()} | {"bias": np.array([np.log((share + 1e-6) / (1 - share + 1e-6))])})
+            model = _constant(float(y.mean()) if len(y) else 0.5)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.weights)], pa.binary())], names=["weights"])
 
-    return Model(pickle.loads(sample.select("text", "label").repartition(1).mapInArrow(run, "weights binary").first().weights))
+    fitted = sample.select("text", "label").repartition(1).mapInArrow(run, "weights binary").first()
+    return _constant(0.5) if fitted is None else Model(pickle.loads(fitted.weights))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
