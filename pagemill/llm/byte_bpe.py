@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .batches import map_texts
 
 # Different words, and different pieces, a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def byte_alphabet() -> list[str]:

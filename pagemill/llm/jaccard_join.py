@@ -31,7 +31,7 @@ PAGE = 1 << 14
 # Members that one block compares with a leader.
 BLOCK = 400
 # Words a worker remembers the hashes of.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 class _Words(dict):
