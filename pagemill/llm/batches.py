@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bytes of text a task turns into numpy arrays at once; one longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 512 << 10
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

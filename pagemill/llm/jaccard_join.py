@@ -30,6 +30,8 @@ COUNTERS = 1 << 20
 PAGE = 1 << 14
 # Members that one block compares with a leader.
 BLOCK = 400
+# Largest table, as estimated, that is sent to every executor; larger ones are joined by a shuffle.
+SMALL = 6 << 20
 # Words a worker remembers the hashes of.
 REMEMBERED = 100_000
 
@@ -175,7 +177,7 @@ def _more_pairs(shared: DataFrame, labels: DataFrame, first: int, last: int, per
     sizes = named.groupBy("code").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     sizes = stored(sizes.select("code", "n"), "open-columns")
     largest = sizes.agg(F.max("n").alias("n")).first().n or 0
-    still = named.join(broadcast_if_small(sizes.select("code")), "code").join(central, "rep")
+    still = named.join(broadcast_if_small(sizes.select("code"), SMALL), "code").join(central, "rep")
 
     def run(batches):
         code, rank = None, 0
@@ -203,7 +205,7 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     placed = pairs.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     heads = placed.select(F.col("leader").alias("rep"), "leader", "block").distinct()
     wanted = stored(placed.select("rep", "leader", "block").union(heads), "pair-blocks")
-    uses = broadcast_if_small(wanted.groupBy("rep").agg(F.collect_list(F.struct("leader", "block")).alias("uses")), 16 << 20)
+    uses = broadcast_if_small(wanted.groupBy("rep").agg(F.collect_list(F.struct("leader", "block")).alias("uses")), SMALL)
     used = docs.select(F.col("doc_id").alias("rep"), "text")
     used = used.join(uses, "rep")
 
