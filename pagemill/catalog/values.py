@@ -468,13 +468,15 @@ def scalar_helpers(spark, sf):
     "scalar_times",
     """SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS stamp,
               strftime(ts + INTERVAL 8 HOUR, '%Y%m%d') AS compact, strftime(ts, '%H:%M:%S') AS utc_time,
+              strftime(ts, '%Y-%m-%dT%H:%M') AS with_letter,
               lower(hex(user_id)) AS hexed, TRY_CAST(event_type AS INT) AS no_int FROM events""",
 )
 def scalar_times(spark, sf):
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return table(spark, sf, "events").select(
         "event_id", scalars.format_stamp(ms).alias("stamp"), scalars.format_stamp_compact(ms).alias("compact"),
-        scalars.time_format(ms, "HH:mm:ss", 0).alias("utc_time"), scalars.to_hex_string(F.col("user_id")).alias("hexed"),
+        scalars.time_format(ms, "HH:mm:ss", 0).alias("utc_time"), scalars.time_format(ms, "yyyy-MM-ddTHH:mm", 0).alias("with_letter"),
+        scalars.to_hex_string(F.col("user_id")).alias("hexed"),
         scalars.parse_int(F.col("event_type")).alias("no_int"),
     )
 
@@ -482,12 +484,12 @@ def scalar_times(spark, sf):
 @query("scalar_ciphers")
 def scalar_ciphers(spark, sf):
     """Keyed digests and AES round trips over every document (no SQL counterpart)."""
-    c, key = F.col("text"), F.lit("0123456789abcdef")
-    boxed = scalars.aes_encrypt_base64(c, key, "CBC", F.lit("fedcba9876543210"))
+    c, key, iv = F.col("text"), F.lit("0123456789abcdef"), F.lit("fedcba9876543210")
+    boxed = scalars.aes_encrypt_base64(c, key, "CBC", iv)
     ecb = scalars.aes_encrypt_base64(c, key, "ECB")
     return texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", scalars.hmac_hex(c, "k", "HmacSHA256").alias("mac"),
-        (scalars.aes_decrypt_base64(boxed, key) == c).alias("cbc_back"),
+        (scalars.aes_decrypt_base64(boxed, key, "CBC", iv) == c).alias("cbc_back"),
         (scalars.aes_decrypt_base64(ecb, key, "ECB") == c).alias("ecb_back"),
     )
 

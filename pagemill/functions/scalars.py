@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
+import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,15 +74,18 @@ def digest_base64(c: Column, algorithm: str) -> Column:
 
 
 def hmac_hex(c: Column, key: str, algorithm: str) -> Column:
-    """Keyed digest; Arrow-batched because Spark has no keyed one."""
-    name = algorithm.lower().replace("hmac", "").replace("-", "")
+    """Keyed digest with a constant key: two plain digests over the padded key and the text."""
+    name = algorithm.upper().replace("HMAC", "").replace("-", "")
+    block = 128 if name in ("SHA384", "SHA512") else 64
     secret = key.encode()
+    if len(secret) > block:
+        secret = hashlib.new(name.lower(), secret).digest()
+    secret = secret.ljust(block, b"\0")
 
-    @F.pandas_udf("string")
-    def keyed(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else hmac.new(secret, v.encode(), getattr(hashlib, name)).hexdigest())
+    def padded(pad: int, rest: Column) -> Column:
+        return digest_hex(F.concat(F.lit(bytes(x ^ pad for x in secret)), rest), name)
 
-    return keyed(c)
+    return padded(0x5C, F.unhex(padded(0x36, F.encode(c, "utf-8"))))
 
 
 def hmac_base64(c: Column, key: str, algorithm: str) -> Column:
@@ -91,17 +93,25 @@ def hmac_base64(c: Column, key: str, algorithm: str) -> Column:
 
 
 def aes_encrypt_base64(c: Column, key: Column, mode: str = "CBC", iv: Column | None = None) -> Column:
-    args = [F.lit(mode), F.lit("PKCS")] + ([iv] if iv is not None else [])
-    return plain_base64(F.aes_encrypt(F.encode(c, "utf-8"), key, *args))
+    """Cipher bytes alone when ``iv`` is given (16 characters); else a random vector stands in front of CBC bytes."""
+    data = F.encode(c, "utf-8")
+    if iv is None or mode == "ECB":
+        return plain_base64(F.aes_encrypt(data, key, F.lit(mode), F.lit("PKCS")))
+    boxed = F.aes_encrypt(data, key, F.lit(mode), F.lit("PKCS"), F.encode(iv, "utf-8"))
+    return plain_base64(F.substring(boxed, 17, 2**31 - 1))
 
 
-def aes_decrypt_base64(c: Column, key: Column, mode: str = "CBC") -> Column:
-    """Spark keeps the vector in front of the CBC bytes, so decryption needs the key alone."""
-    return F.decode(F.aes_decrypt(F.unbase64(c), key, F.lit(mode), F.lit("PKCS")), "utf-8")
+def aes_decrypt_base64(c: Column, key: Column, mode: str = "CBC", iv: Column | None = None) -> Column:
+    """The reverse: ``iv`` must be the one of the encryption, or absent if the vector is in front."""
+    data = F.unbase64(c)
+    if iv is not None and mode != "ECB":
+        data = F.concat(F.encode(iv, "utf-8"), data)
+    return F.decode(F.aes_decrypt(data, key, F.lit(mode), F.lit("PKCS")), "utf-8")
 
 
 def time_format(ms: Column, pattern: str = "yyyy-MM-dd HH:mm", offset_hours: float = 8) -> Column:
-    """Epoch milliseconds at a fixed offset (session time zone must be UTC)."""
+    """Epoch milliseconds at a fixed offset (session time zone must be UTC); letters without a meaning stand as written."""
+    pattern = re.sub(r"('[^']*')|([yMdHhmsSEa]+)|((?:(?![yMdHhmsSEa])[A-Za-z])+)", lambda m: f"'{m[3]}'" if m[3] else m[0], pattern)
     return F.date_format(F.timestamp_millis((ms + int(offset_hours * 3_600_000)).cast("bigint")), pattern)
 
 

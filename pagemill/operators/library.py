@@ -79,10 +79,14 @@ def merge_ignore(
 
 
 def merge_newest(
-    target: DataFrame, incoming: DataFrame, keys: list[str], stamp: str = "updated_at"
+    target: DataFrame, incoming: DataFrame, keys: list[str], stamp: str = "updated_at", order: list[Column] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Take an incoming row only when it is strictly newer than the stored one."""
-    newest = keep_last(incoming, keys, [F.col(stamp)])
+    """Take an incoming row only when it is strictly newer than the stored one.
+
+    Of incoming rows with one stamp the last by ``order`` counts; without an order a hash of the row
+    decides, so that the result is the same each time.
+    """
+    newest = keep_last(incoming, keys, [F.col(stamp), *(order or [F.xxhash64(*incoming.columns)])])
     cols = [c for c in target.columns if c not in keys]
     merged = _merge(target, newest, keys, cols, F.col(f"i.{stamp}") > F.col(f"t.{stamp}"))
     return merged.drop("status"), report(merged.where("status <> 'stored'"))
