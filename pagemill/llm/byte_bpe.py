@@ -119,11 +119,6 @@ class Codec:
             self.whole = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
         return np.array(self.whole.encode_ordinary(value), dtype="<u4").tobytes()
 
-    def decode(self, ids: bytes) -> bytes:
-        """Bytes of all tokens in a row; characters split between tokens close up again."""
-        table = self.token_bytes
-        return b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
-
     def offsets(self, value: str, ids: bytes) -> tuple[bytes, bytes]:
         """First character of each token and the one after its last, both packed as the ids are.
 
@@ -144,6 +139,19 @@ def _unsettled(regex) -> np.ndarray:
     return np.array([unicodedata.category(chr(c)) == "Cn" and bool(classed.match(chr(c))) for c in range(0x110000)])
 
 
+@functools.lru_cache(maxsize=2)
+def token_table(rank_file: str) -> list[bytes]:
+    """The bytes of each id; all that decoding needs."""
+    with open(rank_file, "rb") as lines:
+        found = {int(b): base64.b64decode(a) for a, b in (line.split() for line in lines if line.strip())}
+    return [found.get(i, b"") for i in range(max(found) + 1)]
+
+
+def decoded(ids: bytes, table: list[bytes]) -> bytes:
+    """Bytes of all tokens in a row; characters split between tokens close up again."""
+    return b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+
+
 @functools.lru_cache(maxsize=2)
 def codec(rank_file: str, pattern: str) -> Codec:
     return Codec(rank_file, pattern)
@@ -175,7 +183,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, keep: list[str] | None
     return map_texts(docs, work, schema, keep or ["doc_id"])
 
 
-def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+def decode(tokens: DataFrame, rank_file: str) -> DataFrame:
     """Add ``decoded`` (binary), the bytes of ``ids``, to all columns of ``tokens``. Null ids decode to nothing."""
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
     at = tokens.columns.index("ids")
@@ -184,8 +192,8 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                tool = codec(rank_file, pattern)
-                done = pa.array([tool.decode(i or b"") for i in batch.column(at).to_pylist()], pa.binary())
+                table = token_table(rank_file)
+                done = pa.array([decoded(i or b"", table) for i in batch.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, done], names=[*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, f"{out}, decoded binary")

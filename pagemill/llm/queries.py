@@ -31,7 +31,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ids = byte_bpe.encode(_table(spark, sf_dir, "documents"), *vocabulary)
-    return byte_bpe.decode(ids, *vocabulary).select(
+    return byte_bpe.decode(ids, vocabulary[0]).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
