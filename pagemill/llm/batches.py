@@ -7,11 +7,19 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text a task turns into numpy arrays at once; one longer text is a slice of its own.
 SLICE_BYTES = 512 << 10
+# Rows and bytes of one Arrow batch between Spark and a worker; texts and sets can be long.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From now on Spark hands Python batches of so many rows and bytes at most."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -41,6 +49,7 @@ def map_texts(
 
     ``docs`` must have a ``text`` column. Only the kept columns and the text reach Python.
     """
+    short_batches(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name in keep]
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [schema])
 
