@@ -47,8 +47,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with their number, whether they decode to the text again, and digests of both."""
-    ids = byte_bpe.encode(docs, *VOCABULARY, keep=["doc_id", "lang", "source"])
-    back = byte_bpe.decode(ids, VOCABULARY[0])
+    back = byte_bpe.encode(docs, *VOCABULARY, keep=["doc_id", "lang", "source"], with_decoded=True)
     return back.select(
         "doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

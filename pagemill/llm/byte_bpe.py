@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .batches import map_texts
 
 # Different words, and different pieces, a worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 75_000
 
 
 def byte_alphabet() -> list[str]:
@@ -157,11 +157,12 @@ def codec(rank_file: str, pattern: str) -> Codec:
     return Codec(rank_file, pattern)
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, keep: list[str] | None = None, with_offsets: bool = False) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, keep: list[str] | None = None, with_offsets: bool = False, with_decoded: bool = False) -> DataFrame:
     """Add ``ids`` (binary, little-endian unsigned 32-bit) to the kept columns of ``docs``.
 
     Each match of ``pattern`` is encoded separately, without special tokens. Null and empty texts have
     empty ids. ``with_offsets`` adds ``starts`` and ``ends``: each token's characters in the text.
+    ``with_decoded`` adds ``decoded``, what ``decode`` makes of the ids, in the same Python worker.
     ``docs`` may have any other columns; those not in ``keep`` (default: ``doc_id``) are left out.
     Rows are independent, so repeated rows, ties and null keys stay as they are.
     """
@@ -177,9 +178,11 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, keep: list[str] | None
         if with_offsets:
             spans = [tool.offsets(v, i) for v, i in zip(values, ids, strict=True)]
             out |= {"starts": pa.array([s for s, _ in spans], pa.binary()), "ends": pa.array([e for _, e in spans], pa.binary())}
+        if with_decoded:
+            out["decoded"] = pa.array([decoded(i, tool.token_bytes) for i in ids], pa.binary())
         return out
 
-    schema = "ids binary" + (", starts binary, ends binary" if with_offsets else "")
+    schema = "ids binary" + (", starts binary, ends binary" if with_offsets else "") + (", decoded binary" if with_decoded else "")
     return map_texts(docs, work, schema, keep or ["doc_id"])
 
 
