@@ -137,21 +137,18 @@ def _shared_columns(columns: DataFrame) -> DataFrame:
             codes, places, reps = (batch.column(i).to_numpy() for i in range(3))
             if not len(codes):
                 continue
-            new = np.concatenate(([code is None or codes[0] != code], codes[1:] != codes[:-1]))
-            begins = np.flatnonzero(new)
-            run_of = np.cumsum(new) - 1
-            leaders, leader_places = reps[begins][run_of], places[begins][run_of]
-            if not new[0]:
-                leaders, leader_places = np.where(run_of < 0, leader, leaders), np.where(run_of < 0, place, leader_places)
+            goes_on = code is not None and codes[0] == code
+            begins = np.concatenate(([0], np.flatnonzero(codes[1:] != codes[:-1]) + 1))
             length = np.diff(np.concatenate((begins, [len(codes)])))
-            shown = (run_of < 0) | (length[run_of] > 1)
-            out = [codes[shown], places[shown], reps[shown], leaders[shown], leader_places[shown]]
-            if waiting and not new[0]:
+            heads, head_places = reps[begins], places[begins]
+            if goes_on:  # the first column began in an earlier batch, perhaps several ago
+                heads[0], head_places[0], length[0] = leader, place, length[0] + 1
+            run_of = np.cumsum(np.concatenate(([False], codes[1:] != codes[:-1])))
+            shown = length[run_of] > 1
+            out = [codes[shown], places[shown], reps[shown], heads[run_of][shown], head_places[run_of][shown]]
+            if waiting and goes_on:
                 out = [np.concatenate(([v], o)) for v, o in zip((code, place, leader, leader, place), out, strict=True)]
-            if len(begins):
-                leader, place, waiting = reps[begins[-1]], places[begins[-1]], bool(length[-1] == 1)
-            else:
-                waiting = False
+            leader, place, waiting = heads[-1], head_places[-1], bool(length[-1] == 1)
             code = codes[-1]
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["code", "place", "rep", "leader", "leader_place"])
 
