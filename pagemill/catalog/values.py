@@ -280,7 +280,7 @@ def audio_link(spark, sf):
          e AS (SELECT source_id, unnest(CASE shape
                  WHEN 0 THEN [(0, 'top', '/top'), (1, name, '/bare'), (2, name, 'x')]
                  WHEN 1 THEN [(0, 'A', '/a'), (1, 'G · B', '/b'), (2, 'G · ' || name, '/c'), (3, 'D', '/d')]
-                 ELSE [(0, 'N', '/n')] END) AS r FROM c)
+                 ELSE [(0, 'N', '/n'), (1, 'c · ' || name, '/d'), (2, 'd · E', '/e')] END) AS r FROM c)
        SELECT source_id, CAST(r[1] AS BIGINT) AS ord, r[2] AS title, r[3] AS url FROM e""",
 )
 def explore_categories(spark, sf):
@@ -290,7 +290,8 @@ def explore_categories(spark, sf):
         '{"title":"A","url":"/a"},{"title":"none"},]'
     )
     raw = F.when(F.col("s_suppkey") % 3 == 0, lines).when(F.col("s_suppkey") % 3 == 1, nested).otherwise(
-        '{"list":[{"title":"N","url":" /n "}]}'
+        '{"list":[{"title":"N","url":" /n "},{"title":"a","url":[{"title":"b","url":[{"title":"c","url":[{"url":"/d"}]},'
+        '{"title":"d","url":"[{\\"title\\":\\"E\\",\\"url\\":\\"/e\\"}]"}]}]}]}'
     )
     return links.explore_categories(
         table(spark, sf, "supplier").select(
