@@ -167,7 +167,7 @@ def extract_book_info(spark, sf):
 )
 def explore_page(spark, sf):
     pages = _pages(spark, sf)
-    books, onward = B.explore_page(pages, _rules(spark))
+    books, onward, _ = B.explore_page(pages, _rules(spark))
     counts = books.groupBy("page_id").agg(F.count("*").alias("books"))
     return pages.select("page_id").join(counts, "page_id", "left").join(onward.select("page_id", "next_url"), "page_id", "left").select(
         "page_id", F.coalesce("books", F.lit(0)).alias("books"), "next_url"
@@ -207,7 +207,8 @@ BOOK_PAGES = f"""
 def extract_toc(spark, sf):
     pages = _pages(spark, sf)
     seeds = pages.where("page_id % 4 = 0").select("source_id", F.col("page_id").alias("book_key"), "url")
-    return C.extract_toc(pages, _rules(spark), seeds).select("source_id", "book_key", "ord", "name", "url")
+    toc, _ = C.extract_toc(pages, _rules(spark), seeds)
+    return toc.select("source_id", "book_key", "ord", "name", "url")
 
 
 @query(
@@ -221,7 +222,8 @@ def content_by_kind(spark, sf):
     pages = _pages(spark, sf)
     chapters = pages.where("page_id % 4 = 0").select("source_id", F.col("page_id").alias("chapter_key"), "url")
     kinds = pages.select("source_id").dropDuplicates().select("source_id", F.lit(0).alias("source_type"), F.lit("##%%%").alias("replace_regex"))
-    return C.content_by_kind(pages, _rules(spark), chapters, kinds).select("source_id", "chapter_key", "kind", "text")
+    contents, _ = C.content_by_kind(pages, _rules(spark), chapters, kinds)
+    return contents.select("source_id", "chapter_key", "kind", "text")
 
 
 @query(

@@ -11,8 +11,9 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .text import web_trim
 
@@ -139,7 +140,8 @@ def _native_step(values: Column, step: tuple) -> Column:
     return F.filter(out, lambda v: v.isNotNull())
 
 
-def _deep_function(name: str):
+def deep_texts(texts, name: str) -> list[str]:
+    """What a recursive descent to ``name`` hits in JSON texts, in document order."""
     def walk(node, out):
         children = node if isinstance(node, list) else None
         if children is not None:
@@ -154,18 +156,19 @@ def _deep_function(name: str):
     def text(value):
         return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
+    out: list = []
+    for t in texts if texts is not None else ():
+        try:
+            walk(json.loads(t), out)
+        except ValueError:
+            continue
+    return [text(v) for v in out if v is not None]
+
+
+def _deep_function(name: str):
     @F.pandas_udf("array<string>")
     def deep(values: pd.Series) -> pd.Series:
-        def one(texts):
-            out: list = []
-            for t in texts if texts is not None else ():
-                try:
-                    walk(json.loads(t), out)
-                except ValueError:
-                    continue
-            return [text(v) for v in out if v is not None]
-
-        return values.map(one)
+        return values.map(lambda texts: deep_texts(texts, name))
 
     return deep
 
@@ -185,6 +188,112 @@ def json_values(c: Column, path: str) -> Column:
     return values
 
 
+# --- paths as data --------------------------------------------------------------------------------
+STEP = "struct<kind:string,name:string,start:int,stop:int,op:string,literal:string,distinct:boolean>"
+
+
+def path_rows(path: str) -> list[dict]:
+    """The steps of a literal path as STEP data, for paths that differ by row."""
+    out, deep_seen = [], False
+    for kind, *given in path_steps(path):
+        row = dict(kind=kind, name=None, start=None, stop=None, op=None, literal=None, distinct=False)
+        if kind in ("key", "deep"):
+            row["name"] = given[0]
+        elif kind == "index":
+            row["start"] = given[0]
+        elif kind == "slice":
+            row["start"], row["stop"] = given
+        elif kind == "filter":
+            keys, row["op"], row["literal"] = given
+            row["name"], row["distinct"] = "$" + "".join(f"['{k}']" for k in keys.split(".")[1:]), deep_seen
+            if row["op"] in (">", "<", ">=", "<="):
+                try:
+                    float(row["literal"])
+                except ValueError:
+                    raise UnsupportedRule(f"{row['op']} needs a number in JSON path {path!r}") from None
+        deep_seen = deep_seen or kind == "deep"
+        out.append(row)
+    return out
+
+
+def _data_step(values: Column, step: Column) -> Column:
+    """One step of a path given as data; ``deep`` is not among them."""
+    kind, name, start, stop = step["kind"], step["name"], step["start"], step["stop"]
+    none = F.array().cast("array<string>")
+
+    def field(v: Column) -> Column:
+        inner = F.concat(F.lit("$['"), F.replace(name, F.lit("'"), F.lit("\\'")), F.lit("']"))
+        return F.when(web_trim(v).startswith("{"), F.call_function("get_json_object", v, inner))
+
+    def cut(v: Column) -> Column:
+        items = F.coalesce(_items(v), none)
+        n = F.size(items)
+        from_, to = (F.when(i < 0, F.greatest(n + i, F.lit(0))).otherwise(F.least(i, n)) for i in (F.coalesce(start, F.lit(0)), F.coalesce(stop, n)))
+        return F.slice(items, from_ + 1, F.greatest(to - from_, F.lit(0)))
+
+    def keep(x: Column) -> Column:
+        value = F.call_function("get_json_object", x, name)
+        left, right, op, literal = value.try_cast("double"), step["literal"].try_cast("double"), step["op"], step["literal"]
+        test = (
+            F.when(op.isNull(), value.isNotNull()).when(op == "==", value == literal).when(op == "!=", value != literal)
+            .when(op == ">", left > right).when(op == "<", left < right).when(op == ">=", left >= right).otherwise(left <= right)
+        )
+        return F.coalesce(test, F.lit(False))
+
+    def matching(v: Column) -> Column:
+        return F.filter(F.coalesce(_items(v), F.array(v)), lambda x: web_trim(x).startswith("{") & keep(x))
+
+    at = F.when(start < 0, start).otherwise(start + 1)
+    found = F.flatten(F.transform(values, matching))
+    out = (
+        F.when(kind == "key", F.transform(values, field))
+        .when(kind == "index", F.transform(values, lambda v: F.try_element_at(_items(v), at)))
+        .when(kind == "all", F.flatten(F.transform(values, _children)))
+        .when(kind == "slice", F.flatten(F.transform(values, cut)))
+        .otherwise(F.when(step["distinct"], F.array_distinct(found)).otherwise(found))
+    )
+    return F.filter(out, lambda v: v.isNotNull())
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _deep_hits(values: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([deep_texts(v, name) if v is not None else None for v, name in zip(values, names)], dtype="object")
+
+
+# Computed once, in its own step: filters and explodes on its result never take it in.
+_deep_hits = _deep_hits.asNondeterministic()
+
+
+def with_json_values(rows: DataFrame, text: str, path: str, deep_at: list[int]) -> DataFrame:
+    """+ ``values``: everything the STEP array in column ``path`` hits in the JSON text of column ``text``.
+
+    ``deep_at``: places in the paths at which some row has a recursive descent. A text that is no JSON
+    has no hits; an ordered comparison with a value that is no number does not hold.
+    """
+    doc = F.when(F.get_json_object(text, "$").isNotNull(), F.col(text))
+    out, done = rows.withColumn("values", F.filter(F.array(doc), lambda v: v.isNotNull())), 0
+
+    def native(begin: int, length: int | None) -> Column:
+        steps = F.slice(path, begin + 1, length if length is not None else 1 << 30)
+        return F.aggregate(steps, F.col("values"), _data_step)
+
+    for k in sorted(deep_at):
+        out = out.withColumn("values", native(done, k - done))
+        step = F.get(F.col(path), F.lit(k))
+        is_deep = F.coalesce(step["kind"] == "deep", F.lit(False))
+        out = out.withColumn("_deep", _deep_hits(F.when(is_deep, F.col("values")), step["name"])).withColumn(
+            "values", F.when(is_deep, F.col("_deep")).otherwise(native(k, 1))
+        ).drop("_deep")
+        done = k + 1
+    return out.withColumn("values", native(done, None))
+
+
+def json_items(values: Column) -> Column:
+    """Items of a list rule: hits that are arrays are taken apart without their nulls."""
+    each = F.transform(values, lambda v: F.coalesce(F.filter(_items(v), lambda x: x.isNotNull()), F.array(v)))
+    return F.flatten(each)
+
+
 def is_json_content(c: Column) -> Column:
     """Content that is a JSON object or array."""
     return web_trim(c).rlike(r"^[\[{]") & F.try_parse_json(c).isNotNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsonpath import with_json_values
 from ..functions.text import web_trim
 from ..functions.urls import first_address, resolve_address
 from ..operators.nodes import html_nodes
@@ -47,10 +48,16 @@ def tolerant_fields(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _warnings(errors: DataFrame) -> DataFrame:
-    fatal = F.col("field").isin(*rulesets.ADDRESS_FIELDS, *rulesets.LIST_FIELDS)
+    """source_id, field, message, fatal: a broken list or address field leaves its source without rows."""
+    fatal = F.col("field").isin(*rulesets.ADDRESS_FIELDS, *rulesets.LIST_FIELDS) & ~F.col("used")
     return errors.select("source_id", "field", "message", fatal.alias("fatal"))
 
 
+def without_failed(rows: DataFrame, warnings: DataFrame) -> DataFrame:
+    failed = warnings.where("fatal").select("source_id").dropDuplicates()
+    return rows.join(broadcast_if_small(failed), "source_id", "left_anti")
+
+
 def extract_book_list(
     pages: DataFrame, rule_fields: DataFrame, group: str = "ruleSearch", nodes: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -63,8 +70,7 @@ def extract_book_list(
     )
     parts, errors = rulesets.compile_rules(rules)
     warnings = _warnings(errors)
-    failed = warnings.where("fatal").select("source_id").dropDuplicates()
-    usable = pages.join(broadcast_if_small(failed), "source_id", "left_anti")
+    usable = without_failed(pages, warnings)
     nodes = node_table(pages) if nodes is None else nodes
     items = stored(rulesets.list_items(nodes, usable, parts.where("field = 'bookList'")), "items")
     values = rulesets.field_values(nodes, usable, items, parts.where("field <> 'bookList'"))
@@ -104,14 +110,11 @@ def init_reroot(nodes: DataFrame, pages: DataFrame, parts: DataFrame) -> DataFra
     fields start at the page itself.
     """
     roots = rulesets.list_items(nodes, pages, parts.withColumn("reverse", F.lit(False)))
-    path = F.when(F.col("dialect") == "json", F.col("body")).when(
-        F.col("body").rlike(r"^[A-Za-z_][\w-]*(?:\.[A-Za-z_][\w-]*)*$") & ~F.col("body").rlike(r"^(?:class|id|tag|text|children)(?:\.|$)"),
-        F.concat(F.lit("$."), "body"),
-    )
+    is_path = (F.col("dialect") == "json") | ((F.size("path") > 0) & ~F.col("body").rlike(r"^(?:class|id|tag|text|children)(?:\.|$)"))
     is_json = web_trim(F.col("html")).rlike(r"^[\[{]")
-    paths = broadcast_if_small(parts.where(F.col("dialect").isin("json", "default")).select("source_id", path.alias("path")))
-    deeper = pages.where(is_json).join(paths, "source_id").select(
-        "page_id", "source_id", F.call_function("get_json_object", F.col("html"), F.col("path")).alias("json")
+    paths = broadcast_if_small(parts.where(is_path).select("source_id", "path"))
+    deeper = with_json_values(pages.where(is_json).join(paths, "source_id"), "html", "path", rulesets.deep_places(parts)).select(
+        "page_id", "source_id", F.get("values", F.lit(0)).alias("json")
     ).where(web_trim(F.col("json")) != "")
     found = roots.where(F.col("node_id").isNotNull()).select("page_id", "source_id", "node_id", "json").join(
         pages.where(is_json).select("page_id"), "page_id", "left_anti"
@@ -146,19 +149,21 @@ def extract_book_info(pages: DataFrame, rule_fields: DataFrame, nodes: DataFrame
 
 def explore_page(
     pages: DataFrame, rule_fields: DataFrame, nodes: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Category pages: (books, next[page_id, next_url]); a page that names itself has no next one."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Category pages: (books, next[page_id, next_url], warnings); a page that names itself has no next one."""
     nodes = node_table(pages) if nodes is None else nodes
-    books, _ = extract_book_list(pages, rule_fields, "ruleExplore", nodes)
-    return books, next_links(pages, rule_fields, "ruleExplore", "nextPageUrl", nodes)
+    books, warnings = extract_book_list(pages, rule_fields, "ruleExplore", nodes)
+    onward, more = next_links(pages, rule_fields, "ruleExplore", "nextPageUrl", nodes)
+    warnings = warnings.unionByName(more)
+    return without_failed(books, more), without_failed(onward, warnings), warnings
 
 
-def next_links(pages: DataFrame, rule_fields: DataFrame, grp: str, field: str, nodes: DataFrame) -> DataFrame:
-    """page_id, source_id, url, next_url of pages whose next-page rule finds another address."""
-    parts, _ = rulesets.compile_rules(rule_fields.where((F.col("grp") == grp) & (F.col("field") == field)))
+def next_links(pages: DataFrame, rule_fields: DataFrame, grp: str, field: str, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(page_id, source_id, url, next_url of pages whose next-page rule finds another address; warnings)."""
+    parts, errors = rulesets.compile_rules(rule_fields.where((F.col("grp") == grp) & (F.col("field") == field)))
     starts = pages.select(
         "page_id", "source_id", F.lit(0).cast("bigint").alias("item"), F.lit(0).alias("node_id"), F.col("html").alias("json")
     ).withColumn("json", F.when(web_trim(F.col("json")).rlike(r"^[\[{]"), F.col("json")))
     values = rulesets.field_values(nodes, pages, starts, parts).join(pages.select("page_id", "url"), "page_id")
     found = values.select("page_id", "source_id", "url", first_line_address(F.col("values"), F.col("url")).alias("next_url"))
-    return found.where((F.col("next_url") != "") & (F.col("next_url") != F.col("url")))
+    return found.where((F.col("next_url") != "") & (F.col("next_url") != F.col("url"))), _warnings(errors)

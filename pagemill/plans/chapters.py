@@ -11,7 +11,7 @@ from ..operators import links as L
 from ..operators import toc as T
 from ..session import broadcast_if_small, stored
 from . import rulesets
-from .books import first_line_address, next_links, node_table
+from .books import _warnings, first_line_address, next_links, node_table, without_failed
 
 # --- fixed values -----------------------------------------------------------------------------
 TOC_FIELDS = ["chapterName", "chapterUrl", "isVolume", "isVip", "isPay", "updateTime"]
@@ -33,16 +33,17 @@ def _chain(pages: DataFrame, links: DataFrame, seeds: DataFrame, cap: int) -> Da
     return T.page_chain(links_, starts, cap).join(known, "url").select("seed.source_id", "seed.key", "page_no", "page_id")
 
 
-def extract_toc(pages: DataFrame, rule_fields: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """``pages``: page_id, source_id, url, html; ``seeds``: source_id, book_key, url → chapter list.
+def extract_toc(pages: DataFrame, rule_fields: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``pages``: page_id, source_id, url, html; ``seeds``: source_id, book_key, url → (chapter list, warnings).
 
     Later pages of a list are found through the captured corpus; a missing one ends the list.
     """
     nodes = node_table(pages) if nodes is None else nodes
     rules = rulesets.with_defaults(rule_fields, "ruleToc", TOC_DEFAULTS, "chapterList")
-    parts, _ = rulesets.compile_rules(rules.where(F.col("field").isin("chapterList", *TOC_FIELDS)))
-    onward = next_links(pages, rule_fields, "ruleToc", "nextTocUrl", nodes)
-    chain = _chain(pages, onward, seeds.withColumnRenamed("book_key", "key"), T.MAX_TOC_PAGES)
+    parts, errors = rulesets.compile_rules(rules.where(F.col("field").isin("chapterList", *TOC_FIELDS)))
+    onward, warnings = next_links(pages, rule_fields, "ruleToc", "nextTocUrl", nodes)
+    warnings = _warnings(errors).unionByName(warnings)
+    chain = _chain(pages, onward, without_failed(seeds, warnings).withColumnRenamed("book_key", "key"), T.MAX_TOC_PAGES)
     listed = pages.join(chain.select("page_id").dropDuplicates(), "page_id", "left_semi")
     items = stored(rulesets.list_items(nodes, listed, parts.where("field = 'chapterList'")), "items")
     values = rulesets.field_values(nodes, listed, items, parts.where("field <> 'chapterList'")).join(pages.select("page_id", "url"), "page_id")
@@ -56,14 +57,15 @@ def extract_toc(pages: DataFrame, rule_fields: DataFrame, seeds: DataFrame, node
         F.col("updateTime").alias("update_time"),
     )
     # Numbering reads its input twice; the extraction above runs once.
-    return T.clean_toc(stored(rows, "toc"))
+    return T.clean_toc(stored(rows, "toc")), warnings
 
 
-def content_pages(pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``chapters``: source_id, chapter_key, url → source_id, chapter_key, page_no, page_url, values, raw."""
-    parts, _ = rulesets.compile_rules(rule_fields.where("grp = 'ruleContent' AND field = 'content'"))
-    onward = next_links(pages, rule_fields, "ruleContent", "nextContentUrl", nodes)
-    chain = _chain(pages, onward, chapters.withColumnRenamed("chapter_key", "key"), T.MAX_CONTENT_PAGES)
+def content_pages(pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``chapters``: source_id, chapter_key, url → (source_id, chapter_key, page_no, page_url, values, raw; warnings)."""
+    parts, errors = rulesets.compile_rules(rule_fields.where("grp = 'ruleContent' AND field = 'content'"))
+    onward, warnings = next_links(pages, rule_fields, "ruleContent", "nextContentUrl", nodes)
+    warnings = _warnings(errors).unionByName(warnings)
+    chain = _chain(pages, onward, without_failed(chapters, warnings).withColumnRenamed("chapter_key", "key"), T.MAX_CONTENT_PAGES)
     used = pages.join(chain.select("page_id").dropDuplicates(), "page_id", "left_semi")
     starts = used.select(
         "page_id", "source_id", F.lit(0).cast("bigint").alias("item"), F.lit(0).alias("node_id"),
@@ -72,13 +74,13 @@ def content_pages(pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame,
     values = rulesets.field_values(nodes, used, starts, parts)
     return chain.join(values, ["page_id", "source_id"]).join(pages.select("page_id", F.col("url").alias("page_url")), "page_id").select(
         "source_id", F.col("key").alias("chapter_key"), "page_no", "page_url", "values", F.array_join("values", "\n").alias("raw")
-    )
+    ), warnings
 
 
 def content_by_kind(
     pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame, kinds: DataFrame, nodes: DataFrame | None = None
-) -> DataFrame:
-    """source_id, chapter_key, kind, text, links ARRAY<STRUCT<url,name>>.
+) -> tuple[DataFrame, DataFrame]:
+    """(source_id, chapter_key, kind, text, links ARRAY<STRUCT<url,name>>; warnings).
 
     ``kinds``: source_id, source_type, replace_regex. Texts are stitched, cleaned by the source's own
     rules as a whole, flattened and normalised, in this order.
@@ -93,7 +95,8 @@ def content_by_kind(
         "source_id", F.when(downloads, "ruleContent").otherwise(F.col("grp")).alias("grp"),
         F.when(downloads, "content").otherwise(F.col("field")).alias("field"), "rule",
     )
-    parts = content_pages(pages, ruled, chapters, nodes).join(typed, "source_id").withColumn(
+    found, warnings = content_pages(pages, ruled, chapters, nodes)
+    parts = found.join(typed, "source_id").withColumn(
         "chapter_key", F.struct("source_id", "chapter_key")
     )
     none = F.array().cast("array<struct<url:string,name:string>>")
@@ -128,4 +131,4 @@ def content_by_kind(
     loads = files.groupBy("chapter_key").agg(
         F.transform(listed, lambda x: F.struct(x["url"].alias("url"), x["name"].alias("name"))).alias("links")
     )
-    return out.unionByName(branch(loads, "downloads", F.lit(""), F.col("links")))
+    return out.unionByName(branch(loads, "downloads", F.lit(""), F.col("links"))), warnings

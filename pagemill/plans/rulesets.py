@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import lists, rulesyntax
+from ..functions.jsonpath import json_items, with_json_values
 from ..functions.regex import compiles
 from ..functions.text import web_trim
 from ..operators import select
@@ -46,18 +47,20 @@ def _usable_ops(ops: Column) -> Column:
 def compile_rules(rule_fields: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parts, errors) of rule texts.
 
-    parts: source_id, grp, field, joiner, part, dialect, body, steps, extract, reverse, ops.
-    errors: source_id, grp, field, message — rules that use what is not evaluated here.
+    parts: source_id, grp, field, joiner, part, dialect, body, steps, path, extract, reverse, ops.
+    errors: source_id, grp, field, message, used — rules that use what is not evaluated here; ``used``
+    rules are evaluated without it, the others not at all.
     """
     rows = rule_fields.where(web_trim(F.coalesce("rule", F.lit(""))) != "")
     parsed = rows.select(
         "source_id", "grp", "field",
         F.from_json(_parse(F.col("rule"), F.col("field").isin(*LIST_FIELDS)), rulesyntax.RULE).alias("r"),
     )
-    errors = parsed.where(F.col("r.error").isNotNull()).select("source_id", "grp", "field", F.col("r.error").alias("message"))
+    message = F.coalesce("r.error", "r.note")
+    errors = parsed.where(message.isNotNull()).select("source_id", "grp", "field", message.alias("message"), F.col("r.error").isNull().alias("used"))
     parts = parsed.select("source_id", "grp", "field", F.col("r.joiner").alias("joiner"), F.posexplode("r.parts").alias("part", "p"))
     compiled = parts.select(
-        "source_id", "grp", "field", "joiner", "part", "p.dialect", "p.body", "p.steps", "p.extract", "p.reverse",
+        "source_id", "grp", "field", "joiner", "part", "p.dialect", "p.body", "p.steps", "p.path", "p.extract", "p.reverse",
         _usable_ops(F.col("p.ops")).alias("ops"),
     )
     # Read by every step below: parsed once, and small next to any page table.
@@ -117,6 +120,20 @@ def _terms(parts: DataFrame) -> DataFrame:
     return broadcast_if_small(steps.select(select._term_of(F.col("step")).alias("term")).dropDuplicates())
 
 
+def _deep_in(path: Column) -> Column:
+    places = F.transform(path, lambda s, i: F.when(s["kind"] == "deep", i))
+    return F.filter(places, lambda i: i.isNotNull())
+
+
+def _all_deep() -> Column:
+    return F.array_distinct(F.flatten(F.collect_set(_deep_in(F.col("path")))))
+
+
+def deep_places(parts: DataFrame) -> list[int]:
+    """Places in the JSON paths at which some rule descends."""
+    return parts.agg(_all_deep()).first()[0]
+
+
 def _needs(parts: DataFrame):
     """One small aggregate over compiled rules: step shapes, dialects and value kinds in use."""
     return parts.agg(
@@ -126,6 +143,7 @@ def _needs(parts: DataFrame):
         F.bool_or((F.col("dialect") == "default") & F.col("body").rlike(BARE)).alias("bare"),
         F.bool_or(F.col("extract").isin(*select.TEXT_KINDS)).alias("text"), F.bool_or(F.col("extract").isin(*select.HTML_KINDS)).alias("html"),
         F.bool_or(F.col("extract").isin(*select.OWN_KINDS)).alias("own"),
+        _all_deep().alias("deep"),
     ).first()
 
 
@@ -154,12 +172,10 @@ def list_items(nodes: DataFrame, pages: DataFrame, parts: DataFrame) -> DataFram
         hits = select.run_steps(nodes, runs, ["source_id", "part", "joiner", "reverse"], _terms(dom), select.StepShapes.of_row(need))
         branches.append(hits.select(*keys, "ord", "node_id", no_json))
     if need["json"]:
-        # A JSON list: the path without its closing wildcard names the array.
-        as_json = broadcast_if_small(parts.where("dialect = 'json'").select("source_id", "part", "joiner", "reverse", "body"))
-        array = F.call_function("get_json_object", F.col("html"), F.regexp_replace("body", r"(?:\.?\[\*\])+$", ""))
-        listed = pages.join(as_json, "source_id").withColumn("array", array).where(web_trim(F.col("array")).startswith("["))
-        texts = listed.select(*keys, F.posexplode(F.from_json("array", "array<string>")).alias("ord", "json"))
-        branches.append(texts.where(F.col("json").isNotNull()).select(*keys, F.col("ord").cast("bigint").alias("ord"), no_node, "json"))
+        as_json = broadcast_if_small(parts.where("dialect = 'json'").select("source_id", "part", "joiner", "reverse", "path"))
+        listed = with_json_values(pages.join(as_json, "source_id"), "html", "path", need["deep"])
+        texts = listed.select(*keys, F.posexplode(json_items(F.col("values"))).alias("ord", "json"))
+        branches.append(texts.select(*keys, F.col("ord").cast("bigint").alias("ord"), no_node, "json"))
     found = _union(branches)
     page = Window.partitionBy("page_id", "source_id")
     turned = F.when(F.col("reverse"), -F.col("ord")).otherwise(F.col("ord"))
@@ -225,12 +241,11 @@ def field_values(nodes: DataFrame, pages: DataFrame, items: DataFrame, parts: Da
         branches.append(grouped.withColumn("values", values).select("page_id", *keys, "ops", "values"))
     if need["json"] or need["bare"]:
         as_json = parts.where((F.col("dialect") == "json") | ((F.col("dialect") == "default") & F.col("body").rlike(BARE))).select(
-            "source_id", "field", "part", "joiner", "ops",
-            F.when(F.col("dialect") == "json", F.col("body")).otherwise(F.concat(F.lit("$."), "body")).alias("path"),
+            "source_id", "field", "part", "joiner", "ops", "path"
         )
         texts = items.where(F.col("json").isNotNull()).join(broadcast_if_small(as_json), "source_id")
-        found = texts.withColumn("value", F.call_function("get_json_object", F.col("json"), F.col("path")))
-        branches.append(found.where(F.col("value").isNotNull()).select("page_id", *keys, "ops", F.array("value").alias("values")))
+        found = with_json_values(texts, "json", "path", need["deep"])
+        branches.append(found.where(F.size("values") > 0).select("page_id", *keys, "ops", "values"))
     if need["patterns"]:
         # Whole-page patterns read the source text itself.
         patterns = parts.where(F.col("dialect").isin("allinone", "source")).select(
