@@ -1,4 +1,7 @@
-"""Rule-driven extraction over the pages: one source per host ending, three dialects of one site."""
+"""Rule-driven extraction over the pages: one source per host ending, three dialects of one site.
+
+The SQL twins know the three endings of the given tables only; the queries take every page.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +17,7 @@ from .derive import derived, with_tables
 from .text import sql_flatten, sql_normalize, sql_trim
 from .values import HREFS, ORIGIN, sql_encode
 
-# source -> rules; com speaks the default dialect, net CSS, org XPath, other endings JSON-free patterns.
+# source -> rules; com speaks the default dialect, net CSS, org XPath.
 RULES = {
     "com": {
         ("ruleSearch", "bookList"): "tag.nav@tag.li", ("ruleSearch", "name"): "tag.a@text", ("ruleSearch", "author"): "tag.a@href##^/##",
@@ -41,16 +44,28 @@ RULES = {
         ("ruleExplore", "bookList"): "//nav//li", ("ruleExplore", "name"): "//a", ("ruleExplore", "nextPageUrl"): "//a[contains(@id,'nex')]/@href",
     },
 }
+# Every other ending, and addresses without one: the default dialect from the page on.
+OTHER = {place: rule for place, rule in RULES["com"].items() if place != ("ruleBookInfo", "init")}
 ENDING = "regexp_extract(url, '^https?://[^/?#]*\\.(\\w+)(?:[/?#]|$)', 1)"
 
 
-def _rules(spark):
-    rows = [(s, g, f, r) for s, fields in RULES.items() for (g, f), r in fields.items()]
-    return spark.createDataFrame(rows, "source_id string, grp string, field string, rule string")
+def source_of():
+    """The host ending of a page's address, '' when it has none."""
+    return F.coalesce(F.regexp_extract("url", r"^https?://[^/?#]*\.(\w+)(?:[/?#]|$)", 1), F.lit(""))
+
+
+def _rules(spark, pages):
+    """Rules of the three sources and of every other one in ``pages``."""
+    kind = "source_id string, grp string, field string, rule string"
+    named = spark.createDataFrame([(s, g, f, r) for s, fields in RULES.items() for (g, f), r in fields.items()], kind)
+    others = pages.where(~F.col("source_id").isin(*RULES)).select("source_id").dropDuplicates()
+    usual = spark.createDataFrame([(g, f, r) for (g, f), r in OTHER.items()], "grp string, field string, rule string")
+    # The rules are read by several steps of a job.
+    return stored(named.unionByName(others.crossJoin(F.broadcast(usual))), "rule-fields")
 
 
 def _pages(spark, sf):
-    """Pages of the three endings, each linking to the page with the next number of its ending's chain."""
+    """All pages, each linking to the page with the next number of its ending's chain."""
     raw = texts(spark, sf, "pages", "page_id", "url", "html")
     nexts = table(spark, sf, "pages").select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
     linked = raw.join(nexts, "page_id", "left").withColumn(
@@ -58,9 +73,8 @@ def _pages(spark, sf):
                        F.concat(F.regexp_replace("html", "</body></html>$", ""), F.lit('<a id="next" rel="VIP" href="'), "next", F.lit('"></a></body></html>')))
         .otherwise(F.col("html")),
     )
-    ending = F.regexp_extract("url", r"^https?://[^/?#]*\.(\w+)(?:[/?#]|$)", 1)
     # A captured corpus is a stored table; every step of the jobs reads it.
-    return stored(linked.select("page_id", ending.alias("source_id"), "url", "html").where(F.col("source_id").isin(*RULES)), "pages")
+    return stored(linked.select("page_id", source_of().alias("source_id"), "url", "html"), "pages")
 
 
 PAGES = f"SELECT page_id, url, html, {ENDING} AS source_id FROM pages WHERE {ENDING} IN ('com', 'net', 'org')"
@@ -79,7 +93,8 @@ ITEMS = f"""
                origin || {sql_encode('href')} AS "bookUrl" FROM ({ITEMS}) WHERE word <> ''""",
 )
 def extract_book_list(spark, sf):
-    books, _ = B.extract_book_list(_pages(spark, sf), _rules(spark), "ruleSearch")
+    pages = _pages(spark, sf)
+    books, _ = B.extract_book_list(pages, _rules(spark, pages), "ruleSearch")
     return books.select("page_id", "source_id", "item", "name", "author", "kind", "intro", "bookUrl")
 
 
@@ -95,7 +110,7 @@ def search_all(spark, sf):
     responses = pages.select(
         "source_id", "page_id", F.col("page_id").alias("elapsed_ms"), F.when(F.col("source_id") == "net", "HTTP 503").alias("error")
     )
-    _, summary = B.search_all(pages, _rules(spark), responses)
+    _, summary = B.search_all(pages, _rules(spark, pages), responses)
     return summary
 
 
@@ -155,7 +170,8 @@ def _plain_url(expr: str) -> str:
         FROM p LEFT JOIN nx ON nx.page_id = p.page_id""",
 )
 def extract_book_info(spark, sf):
-    info, _ = B.extract_book_info(_pages(spark, sf), _rules(spark))
+    pages = _pages(spark, sf)
+    info, _ = B.extract_book_info(pages, _rules(spark, pages))
     return info
 
 
@@ -167,7 +183,7 @@ def extract_book_info(spark, sf):
 )
 def explore_page(spark, sf):
     pages = _pages(spark, sf)
-    books, onward, _ = B.explore_page(pages, _rules(spark))
+    books, onward, _ = B.explore_page(pages, _rules(spark, pages))
     counts = books.groupBy("page_id").agg(F.count("*").alias("books"))
     return pages.select("page_id").join(counts, "page_id", "left").join(onward.select("page_id", "next_url"), "page_id", "left").select(
         "page_id", F.coalesce("books", F.lit(0)).alias("books"), "next_url"
@@ -181,7 +197,7 @@ def explore_page(spark, sf):
 def init_reroot(spark, sf):
     pages = _pages(spark, sf)
     nodes = B.node_table(pages)
-    parts, _ = R.compile_rules(_rules(spark).where("grp = 'ruleBookInfo' AND field = 'init'"))
+    parts, _ = R.compile_rules(_rules(spark, pages).where("grp = 'ruleBookInfo' AND field = 'init'"))
     starts = B.init_reroot(nodes, pages, parts)
     return starts.join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).select("page_id", "source_id", "tag")
 
@@ -207,7 +223,7 @@ BOOK_PAGES = f"""
 def extract_toc(spark, sf):
     pages = _pages(spark, sf)
     seeds = pages.where("page_id % 4 = 0").select("source_id", F.col("page_id").alias("book_key"), "url")
-    toc, _ = C.extract_toc(pages, _rules(spark), seeds)
+    toc, _ = C.extract_toc(pages, _rules(spark, pages), seeds)
     return toc.select("source_id", "book_key", "ord", "name", "url")
 
 
@@ -222,7 +238,7 @@ def content_by_kind(spark, sf):
     pages = _pages(spark, sf)
     chapters = pages.where("page_id % 4 = 0").select("source_id", F.col("page_id").alias("chapter_key"), "url")
     kinds = pages.select("source_id").dropDuplicates().select("source_id", F.lit(0).alias("source_type"), F.lit("##%%%").alias("replace_regex"))
-    contents, _ = C.content_by_kind(pages, _rules(spark), chapters, kinds)
+    contents, _ = C.content_by_kind(pages, _rules(spark, pages), chapters, kinds)
     return contents.select("source_id", "chapter_key", "kind", "text")
 
 

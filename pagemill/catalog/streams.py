@@ -108,8 +108,9 @@ def stream_session_expiry(spark, sf):
     f"SELECT page_id, source_id, item, word AS name FROM ({rule_books.ITEMS}) WHERE word <> ''",
 )
 def stream_page_extract(spark, sf):
-    ending = F.regexp_extract("url", r"^https?://[^/?#]*\.(\w+)(?:[/?#]|$)", 1)
-    pages = _stream(spark, sf, "pages").select("page_id", ending.alias("source_id"), "url", "html").where(F.col("source_id").isin(*rule_books.RULES))
+    source = rule_books.source_of().alias("source_id")
+    pages = _stream(spark, sf, "pages").select("page_id", source, "url", "html")
+    rules = rule_books._rules(spark, table(spark, sf, "pages").select(source))
     path = _folder(spark, "books")
-    jobs.stream_page_extract(pages, rule_books._rules(spark), path, _folder(spark, "books-ckpt")).awaitTermination()
+    jobs.stream_page_extract(pages, rules, path, _folder(spark, "books-ckpt")).awaitTermination()
     return spark.read.parquet(path).select("page_id", "source_id", "item", "name")

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from pagemill.catalog import QUERIES
 from pagemill.functions import jsonpath
-from pagemill.plans import books, chapters, rulesets
+from pagemill.plans import books, chapters
 
 PAGES = "page_id bigint, source_id string, url string, html string"
 RULES = "source_id string, grp string, field string, rule string"
@@ -56,11 +57,11 @@ def test_json_rules_of_every_kind(spark):
     for s, (_, names) in lists.items():
         assert "".join(r["name"] for r in got if r["source_id"] == s) == names, s
     deep = [(r["author"], r["kind"]) for r in got if r["source_id"] == "whole"]
-    assert deep == [(rulesets_join("A"), rulesets_join("p", "q")), ("B", ""), (rulesets_join("C", "D"), "")]
+    assert deep == [(lines("A"), lines("p", "q")), ("B", ""), (lines("C", "D"), "")]
     assert named(warnings) == [("bad", "bookList", True)]
 
 
-def rulesets_join(*values):
+def lines(*values):
     return "\n".join(values)
 
 
@@ -74,3 +75,14 @@ def test_paths_as_data_equal_literal_paths(spark):
     for k, p in enumerate(paths):
         for r in table.where(F.col("k") == k).select("i", jsonpath.json_values(F.col("doc"), p).alias("v")).collect():
             assert got[(r["i"], k)] == r["v"], (p, r["i"])
+
+
+def test_pages_of_other_endings_stay(spark, sf, tmp_path):
+    given = spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").limit(8)
+    host = F.element_at(F.array(*map(F.lit, ["http://a.dev", "http://localhost", "http://a.io", "http://b.com"])), (F.col("page_id") % 4 + 1).cast("int"))
+    pages = given.withColumn("url", F.concat(host, F.lit("/p/"), "page_id"))
+    pages.coalesce(1).write.parquet(f"{tmp_path}/some/pages.parquet")
+    want = {r["page_id"]: {1: "", 2: "io", 3: "com", 0: "dev"}[r["page_id"] % 4] for r in pages.collect()}
+    for name in ("extract_book_list", "init_reroot"):
+        rows = QUERIES[name](spark, f"{tmp_path}/some").select("page_id", "source_id").distinct().collect()
+        assert {r["page_id"]: r["source_id"] for r in rows} == want, name
