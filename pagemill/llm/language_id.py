@@ -1,14 +1,15 @@
 """Language identification by Bloom filters whose slots hold one bit for each language.
 
-An n-gram belongs to the languages in which it is about as frequent as in the one that uses it most. All
-languages share one set of slots: a slot is a mask of languages, and the masks of an n-gram's slots, taken
-together by AND, are the languages that contain it. A document's n-grams vote with these masks; the
+An n-gram belongs to the languages in which it is about as frequent as in the one that uses it most.
+Languages with about as many n-grams share one set of slots, large enough for the largest of them: a slot is
+a mask of languages, and the masks of an n-gram's slots, taken together by AND, are the languages that contain it. A document's n-grams vote with these masks; the
 votes of a language are corrected for the false positives that its fill of the filter predicts.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import sys
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .batches import code_points, map_texts, mix, slices, texts
 
 GRAM = 4
+# The fewest slots of a set, as a power of two; a set has more where a language would fill more than half.
 SLOT_BITS = 20
 HASHES = 3
 # An n-gram counts for a language from this share of its highest relative frequency on.
@@ -27,6 +29,8 @@ SHARE = 0.25
 LEAST = 3
 # Languages in one mask; more languages take further masks.
 PER_MASK = 62
+# Slots the driver fetches at a time.
+FETCH = 1 << 24
 
 
 @functools.lru_cache(maxsize=1)
@@ -98,65 +102,104 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class LanguageFilters:
-    """Slots of language masks. ``slots[w][s]`` holds the languages ``PER_MASK * w`` and on of slot ``s``."""
+    """Sets of slots of language masks. Bit ``b`` of ``slots[w][s]`` is language ``numbers[w][b]`` in slot ``s``."""
 
     languages: list[str]
-    slots: np.ndarray
+    numbers: list[list[int]]
+    slots: list[np.ndarray]
 
     def false_rates(self) -> np.ndarray:
         """For each language, how often an n-gram in no filter finds all its slots set."""
-        fill = [np.mean((self.slots[i // PER_MASK] >> np.uint64(i % PER_MASK)) & np.uint64(1)) for i in range(len(self.languages))]
-        return np.array(fill) ** HASHES
+        fill = np.zeros(len(self.languages))
+        for numbers, slots in zip(self.numbers, self.slots, strict=True):
+            for bit, number in enumerate(numbers):
+                fill[number] = np.count_nonzero(slots & slots.dtype.type(1 << bit)) / len(slots)
+        return fill**HASHES
 
     def votes(self, codes: np.ndarray, who: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams of each text, n-grams of each text in each language)."""
-        where = _slots_of(codes)
         out = np.zeros((n, len(self.languages)))
-        for word in range(len(self.slots)):
-            mask = self.slots[word][where[0]]
-            for slot in where[1:]:
-                mask &= self.slots[word][slot]
-            for bit in range(min(PER_MASK, len(self.languages) - word * PER_MASK)):
-                out[:, word * PER_MASK + bit] = np.bincount(who, weights=(mask >> np.uint64(bit)) & np.uint64(1), minlength=n)
+        where: dict[int, list[np.ndarray]] = {}
+        for numbers, slots in zip(self.numbers, self.slots, strict=True):
+            bits = len(slots).bit_length() - 1
+            if bits not in where:
+                where = {bits: _slots_of(codes, bits)}
+            mask = slots[where[bits][0]]
+            for slot in where[bits][1:]:
+                mask &= slots[slot]
+            for bit, number in enumerate(numbers):
+                out[:, number] = np.bincount(who, weights=(mask >> mask.dtype.type(bit)) & mask.dtype.type(1), minlength=n)
         return np.bincount(who, minlength=n), out
 
 
-def _slots_of(codes: np.ndarray) -> list[np.ndarray]:
-    hashed = mix(codes)
-    return [(hashed >> np.uint64(SLOT_BITS * k)) & np.uint64((1 << SLOT_BITS) - 1) for k in range(HASHES)]
+def _slots_of(codes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The slots of n-grams among 2^bits, from one hash as far as its bits go."""
+    hashed, last = mix(codes), np.uint64((1 << bits) - 1)
+    if bits * HASHES <= 64:
+        return [(hashed >> np.uint64(bits * k)) & last for k in range(HASHES)]
+    return [mix(hashed + np.uint64(k)) & last for k in range(HASHES)]
+
+
+def _slot_bits(members: int) -> int:
+    """Slots for so many n-grams, as a power of two: at most about half of them get filled."""
+    return max(SLOT_BITS, math.ceil(math.log2(max(1, members) * HASHES / math.log(2))))
+
+
+def _sets(sizes: dict[int, int], languages: int) -> list[tuple[int, list[int]]]:
+    """(bits, languages) of each set: those that need the same number of slots, ``PER_MASK`` at a time."""
+    alike: dict[int, list[int]] = {}
+    for number in range(languages):
+        alike.setdefault(_slot_bits(sizes.get(number, 0)), []).append(number)
+    return [(bits, held[i : i + PER_MASK]) for bits, held in sorted(alike.items()) for i in range(0, len(held), PER_MASK)]
 
 
 def train(docs: DataFrame) -> LanguageFilters:
     """Filters of all languages in ``lang``, from all its texts. Null languages and texts teach nothing.
 
-    The driver gets the sums of each language and the filled slots, at most 2^SLOT_BITS for each mask.
+    The driver gets the sums of each language and the filled slots, ``FETCH`` at a time. They take one to eight
+    bytes each and grow with the largest language of a set: 9 to 17 slots for two of its n-grams, or 2^SLOT_BITS.
     """
     from ..session import stored
 
     counts = stored(gram_counts(docs), "gram-counts")
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    slots = np.zeros((max(1, -(-len(languages) // PER_MASK)), 1 << SLOT_BITS), dtype=np.uint64)
     if not languages:
-        return LanguageFilters([], slots)
+        return LanguageFilters([], [], [])
     known = docs.sparkSession.createDataFrame([(lang, i, float(totals[lang])) for i, lang in enumerate(languages)], "lang string, number int, total double")
     rated = counts.join(F.broadcast(known), "lang").withColumn("rate", F.col("n") / F.col("total"))
     highest = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("number", "rate", "n")).alias("each"))
-    members = highest.select("gram", "top", F.explode("each").alias("one")).where((F.col("one.rate") >= SHARE * F.col("top")) & (F.col("one.n") >= LEAST))
+    chosen = highest.select("gram", "top", F.explode("each").alias("one")).where((F.col("one.rate") >= SHARE * F.col("top")) & (F.col("one.n") >= LEAST))
+
+    # Counted first, then filled.
+    members = stored(chosen.select("gram", "one.number"), "gram-members")
+    sizes = {r.number: r["count"] for r in members.groupBy("number").count().collect()}
+    sets = _sets(sizes, len(languages))
+    word_of, place_of = np.zeros(len(languages), np.int32), np.zeros(len(languages), np.int64)
+    for word, (_, numbers) in enumerate(sets):
+        word_of[numbers], place_of[numbers] = word, np.arange(len(numbers))
 
     def to_slots(batches):
         for batch in batches:
-            codes = batch.column(0).to_numpy().view(np.uint64)
-            number = np.tile(batch.column(1).to_numpy(), HASHES)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(_slots_of(codes)).astype(np.int32)), pa.array((number // PER_MASK).astype(np.int32)), pa.array(np.int64(1) << (number % PER_MASK).astype(np.int64))],
-                names=["slot", "word", "mask"],
-            )
-
-    filled = members.select("gram", "one.number").mapInArrow(to_slots, "slot int, word int, mask bigint")
-    table = filled.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    slots[table["word"].to_numpy(), table["slot"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
-    return LanguageFilters(languages, slots)
+            codes, number = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for word in np.unique(word_of[number]):
+                own = word_of[number] == word
+                found = np.concatenate(_slots_of(codes[own], sets[word][0])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found), pa.array(np.full(len(found), word)), pa.array(np.tile(np.int64(1) << place_of[number[own]], HASHES))],
+                    names=["slot", "word", "mask"],
+                )
+
+    filled = members.mapInArrow(to_slots, "slot bigint, word int, mask bigint")
+    table = stored(filled.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")), "slots")
+    slots = []
+    for word, (bits, numbers) in enumerate(sets):
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(numbers) <= 8 * t().itemsize)
+        slots.append(np.zeros(1 << bits, dtype=kind))
+        for begin in range(0, 1 << bits, FETCH):
+            some = table.where((F.col("word") == word) & (F.col("slot") >= begin) & (F.col("slot") < begin + FETCH)).select("slot", "mask").toArrow()
+            slots[-1][some["slot"].to_numpy()] = some["mask"].to_numpy().astype(kind)
+    return LanguageFilters(languages, [numbers for _, numbers in sets], slots)
 
 
 def predict(docs: DataFrame, filters: LanguageFilters, keep: list[str] | None = None) -> DataFrame:
