@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ HTML_HINT_TAGS = (
     "br p div span a img font strong em b i u s ul ol li h[1-6] table thead tbody tr td th "
     "blockquote section article center hr pre code figure figcaption dl dt dd"
 ).split()
-# Named character references that are decoded natively ("amp" must stay last).
+# The commonest named character references ("amp" must stay last), also in the SQL twins.
 NAMED_ENTITIES = {
     "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "hellip": "\u2026",
     "mdash": "\u2014", "ndash": "\u2013", "ldquo": "\u201c", "rdquo": "\u201d",
@@ -39,6 +42,8 @@ NAMED_ENTITIES = {
     "times": "\u00d7", "deg": "\u00b0", "ensp": "\u2002", "emsp": "\u2003", "thinsp": "\u2009",
     "amp": "&",
 }
+# All those that end with a semicolon, the commonest first.
+ENTITIES = {f"&{name};": char for name, char in NAMED_ENTITIES.items()} | {f"&{name}": chars for name, chars in html5.items() if name.endswith(";")}
 # ----------------------------------------------------------------------------------------------
 
 _BREAK = "\u0001"
@@ -77,12 +82,12 @@ def looks_like_html(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Numeric references and the named set above; a reference is decoded once, never twice."""
+    """Numeric references and all named ones; a reference is decoded once, never twice."""
     return let(c, lambda v: F.when(v.contains("&"), _decoded(v)).otherwise(v))
 
 
 def _decoded(c: Column) -> Column:
-    numeric = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    named = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
 
     def code_point(e: Column) -> Column:
         body = F.regexp_replace(e, "[&#;]", "")
@@ -90,16 +95,15 @@ def _decoded(c: Column) -> Column:
             F.lower(F.substring(body, 1, 1)) == "x", F.conv(F.substring(body, 2, 8), 16, 10)
         ).otherwise(body).cast("bigint")
         usable = value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
-        # An ampersand produced here must not start another reference below.
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(usable, value).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-        return F.when(value == 38, F.lit("&amp;")).otherwise(char)
-
-    out = F.when(
-        c.contains("&#"), F.aggregate(numeric, c, lambda acc, e: F.replace(acc, e, code_point(e)))
-    ).otherwise(c)
-    for name, char in NAMED_ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(usable, value).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+    def decoded(piece: Column) -> Column:
+        number = F.when(piece.rlike(r"^&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});$"), code_point(piece))
+        reference = piece.startswith("&") & piece.endswith(";")
+        return F.when(reference, F.coalesce(number, F.try_element_at(named, piece), piece)).otherwise(piece)
+
+    # Pieces end before each ampersand and after each semicolon, so a reference is one piece.
+    return F.array_join(F.transform(F.split(c, "(?=&)|(?<=;)"), decoded), "")
 
 
 def html_to_text(c: Column) -> Column:

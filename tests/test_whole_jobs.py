@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagemill.catalog import QUERIES
-from pagemill.functions import jsonpath
+from pagemill.functions import jsonpath, text
 from pagemill.plans import books, chapters
 
 PAGES = "page_id bigint, source_id string, url string, html string"
@@ -86,3 +86,14 @@ def test_pages_of_other_endings_stay(spark, sf, tmp_path):
     for name in ("extract_book_list", "init_reroot"):
         rows = QUERIES[name](spark, f"{tmp_path}/some").select("page_id", "source_id").distinct().collect()
         assert {r["page_id"]: r["source_id"] for r in rows} == want, name
+
+
+def test_all_named_references_are_decoded_once(spark):
+    rows = [
+        ("caf&eacute; &Omega;&AMP;&NotEqualTilde;", "café Ω&≂̸"), ("&amp;lt; &#38;lt; &lt&semi; &num;38;", "&lt; &lt; &lt; #38;"),
+        ("a & b; &nosuch; &x &lt;&#x41;&#0;", "a & b; &nosuch; &x <A\ufffd"), ("&copy", "&copy"), ("", ""),
+    ]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select("b", text.decode_entities(F.col("a")).alias("got")).collect():
+        assert r["got"] == r["b"]
+    assert df.limit(1).select(text.html_to_text(F.lit("<p>caf&eacute;</p>"))).first()[0].strip() == "café"
