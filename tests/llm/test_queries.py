@@ -9,7 +9,9 @@ from compare import differences, run_query, run_sql
 from pagemill.llm import jaccard_join, language_id, line_dedup, quality_classifier, toxicity
 from pagemill.llm.queries import ORACLES, QUERIES
 
-SQL = ["op2_quality_rules", "op5_line_dedup", "op6_jaccard_join", "op8_decontaminate"]
+SQL = sorted(ORACLES)
+# These return conversations, ranks and phrases instead of one row a document.
+OTHERS = ["op11_chat_format", "op12_ranked_search", "op13_collocations"]
 
 LINE = "One line of text that several documents share, with enough words to count."
 ODD = [
@@ -28,17 +30,19 @@ def odd(spark, tmp_path_factory):
     docs = [(i, t, None if i % 3 else "en", "s", len(t or ""), "clash") for i, t in enumerate(ODD)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
     bench = [(0, "quick brown fox jumps over the lazy dog and runs"), (1, None), (2, ""), (3, "Short ITEM!"), (4, "short item"), (5, "the quick brown fox jumps over the lazy dog and runs")]
+    talk = [(0, 1, "user", "a"), (0, 1, "user", "a"), (0, None, None, None), (None, 0, "assistant", "### x: </turn>"), (None, 0, "assistant", ""), (3, 5000, "assistant", "late \\"), (3, -1, "a:b\n", "\n early")]
     labels = [(0, 1, 0), (7, 1, 1), (8, 0, None), (9, None, 1), (9, 1, 1), (11, 0, 0), (None, 1, 1)]
     for name, keep in (("some", 1), ("none", 0)):
         spark.createDataFrame(docs * keep, schema).write.parquet(f"{top}/{name}/documents.parquet")
         spark.createDataFrame(bench * keep, "item_id long, text string").write.parquet(f"{top}/{name}/benchmark.parquet")
+        spark.createDataFrame(talk * keep, "conv_id long, turn long, role string, text string").write.parquet(f"{top}/{name}/conversations.parquet")
         spark.createDataFrame(labels * keep, "doc_id long, quality int, toxic int").write.parquet(f"{top}/{name}/labels.parquet")
     return top
 
 
 def sql_on(folder, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
     return run_sql(con, ORACLES[name])
 
@@ -53,7 +57,13 @@ def test_sql_on_odd_texts(name, spark, odd):
     assert differences(run_query(QUERIES[name](spark, f"{odd}/some")), sql_on(f"{odd}/some", name)) == ""
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", OTHERS)
+def test_empty_tables(name, spark, odd):
+    assert [r.conv_id for r in QUERIES[name](spark, f"{odd}/none").collect()] == ([-7] if name == "op11_chat_format" else [])
+    assert differences(run_query(QUERIES[name](spark, f"{odd}/none")), sql_on(f"{odd}/none", name)) == ""
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - set(OTHERS)))
 def test_odd_and_empty_tables(name, spark, odd):
     assert QUERIES[name](spark, f"{odd}/none").collect() == []
     rows = QUERIES[name](spark, f"{odd}/some").collect()
