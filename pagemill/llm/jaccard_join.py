@@ -1,106 +1,121 @@
 """n-gram Jaccard join: documents whose shingle sets are alike, and the groups that such links make.
 
-The product of the document by shingle incidence matrix with its transpose counts overlaps. Only the
-columns that can start a link are kept: a set's rarest shingles, as many as the bound on its size leaves
-(two sets that are alike enough share one of these). Column by column, documents are paired with one
-leader; pairs whose sizes and places rule out enough overlap are dropped. The overlaps of the others
-are counted in blocks, one leader's set against many members. What leaders leave open is paired in further
-rounds with more leaders each, until no column holds documents of two groups that were not compared.
+Overlaps are the entries of the product of the document by shingle incidence matrix with its transpose.
+Columns are ordered from rare to frequent, and only those that can start a link are read first: a set's
+rarest shingles, as many as the bound on its size leaves (two sets that are alike enough share one of these).
+Column by column, a leader's row is multiplied with the rows of the others; entries whose sizes and places
+rule out enough overlap, and those of one group, are never written. The remaining entries are computed in
+blocks, a leader's row against many members: counts are accumulated over blocks of columns, rare ones first,
+and a member leaves as soon as its count and what is left of the smaller set stay below the bound.
+Documents that one leader leaves apart meet in further rounds with more leaders, until no column holds
+documents of two groups that were not compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, stored
-from .batches import map_texts, mix, slices, texts
+from .batches import map_texts, mix, short_batches, slices
 from .components import components
+from .words import Words, byte_table, stretch_codes
 
 SHINGLE = 5
 PERCENT = 80
 # Counters of the frequency sketch that orders shingles from rare to frequent. Any order is right; the
-# better it is, the fewer pairs are compared.
-COUNTERS = 1 << 20
+# better it is, the fewer pairs are compared. A task counts up to 255, in one byte each.
+COUNTERS = 1 << 22
 PAGE = 1 << 14
-# Members that one block compares with a leader.
+# Members that one block compares with a leader, and blocks of columns their overlaps are counted in.
 BLOCK = 400
+COLUMN_BLOCKS = 4
 # Largest table, as estimated, that is sent to every executor; larger ones are joined by a shuffle.
 SMALL = 6 << 20
-# Words a worker remembers the hashes of.
-REMEMBERED = 100_000
+# Bytes of text turned into arrays at once.
+SLICE = 2 << 20
 
+_IN_WORD = byte_table(lambda b: b not in b" \t\n\x0b\x0c\r")
+_SHIFT = np.uint64(64 - COUNTERS.bit_length() + 1)
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def shingle_codes(values: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of the shingles of some texts in order, and where each text's begin.
 
-_WORDS = _Words()
+    A-Z are lower-cased, words are cut at ASCII white space; a text of fewer words is one shingle.
+    """
+    words = Words(values, _IN_WORD)
+    n = np.bincount(words.text, minlength=len(values))
+    first = np.concatenate(([0], np.cumsum(n)))[:-1]
+    start = np.flatnonzero(words.text[: max(len(words) - size + 1, 0)] == words.text[size - 1 :])
+    short = np.flatnonzero((n > 0) & (n < size))
+    start = np.concatenate((start, first[short]))
+    end = np.concatenate((start[: len(start) - len(short)] + size, first[short] + n[short]))
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    codes = mix(stretch_codes(words.code, start, end) + (end - start).astype(np.uint64))
+    return codes, np.searchsorted(start, np.concatenate((first, [len(words)])))
 
 
-def shingle_set(text: str, size: int) -> np.ndarray:
-    """Sorted 64-bit codes of the distinct shingles; A-Z lower-cased, words cut at ASCII white space."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    codes = np.array(list(map(_WORDS.__getitem__, words)), dtype=np.uint64)
-    size = min(size, len(words))
-    n = len(words) - size + 1 if words else 0
-    code = np.full(n, size, dtype=np.uint64)
-    for k in range(size):
-        code = code * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
-    code = np.sort(mix(code))
-    return code[np.concatenate(([True], code[1:] != code[:-1]))] if n else code
+def shingle_sets(values: list[bytes], size: int) -> list[np.ndarray]:
+    """Sorted 64-bit codes of the distinct shingles of each text."""
+    codes, cuts = shingle_codes(values, size)
+    return [np.unique(codes[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def _sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """How many documents have a shingle in each of the counters; the driver holds COUNTERS numbers."""
+def _bytes(part: pa.RecordBatch) -> list[bytes]:
+    return [v or b"" for v in part.column(part.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
 
-    def run(batches):
-        counts = np.zeros(COUNTERS, dtype=np.int64)
-        for part in slices(batches):
-            rows = [shingle_set(t, size) for t in texts(part)]
-            if rows:
-                counts += np.bincount((np.concatenate(rows) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+
+def _steps(docs: DataFrame, size: int) -> Broadcast:
+    """The frequency step of each counter, 0 to 63, from all texts; the driver holds COUNTERS bytes.
+
+    Shingles are counted with repeats, a task's counters up to 255: the counts only order the columns.
+    """
+    short_batches(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.uint8)
+        for part in slices(batches, limit=SLICE):
+            at, n = np.unique((shingle_codes(_bytes(part), size)[0] >> _SHIFT).astype(np.int64), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, 255)
         pages = counts.reshape(-1, PAGE)
         for page in np.flatnonzero(pages.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([pages[page].astype("<u4").tobytes()], pa.binary())], names=["page", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([pages[page].tobytes()], pa.binary())], names=["page", "counts"])
 
-    def add(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, number = np.zeros(PAGE, dtype=np.int64), 0
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PAGE, dtype=np.int64)
         for batch in batches:
-            number = batch.column(0)[0].as_py()
-            for page in batch.column(1).to_pylist():
-                total += np.frombuffer(page, dtype="<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["page", "counts"])
-
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    for row in docs.select("text").mapInArrow(run, "page int, counts binary").groupBy("page").applyInArrow(add, "page int, counts binary").collect():
-        out[row.page * PAGE : (row.page + 1) * PAGE] = np.frombuffer(row.counts, dtype=np.int64)
-    return out
+            for page in batch.column(batch.schema.get_field_index("counts")).to_pylist():
+                total += np.frombuffer(page, dtype=np.uint8)
+        steps = np.minimum(63, 2 * np.log2(total + 1)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([steps.tobytes()], pa.binary())], names=["page", "steps"])
+
+    out = np.zeros(COUNTERS, dtype=np.uint8)
+    pages = docs.select("text").mapInArrow(run, "page int, counts binary").groupBy("page").applyInArrow(add, "page int, steps binary")
+    for row in pages.collect():  # COUNTERS / PAGE rows at most
+        out[row.page * PAGE : (row.page + 1) * PAGE] = np.frombuffer(row.steps, dtype=np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(out)
 
 
 def _ranked(codes: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """The codes with their frequency step in the six highest bits, in order."""
-    return np.sort((steps[(codes >> np.uint64(44)).astype(np.int64)] << np.uint64(58)) | (codes & np.uint64((1 << 58) - 1)))
+    """The codes with their frequency step in the six highest bits, in order: rare columns come first."""
+    step = steps[(codes >> _SHIFT).astype(np.int64)].astype(np.uint64)
+    return np.sort((step << np.uint64(58)) | (codes & np.uint64((1 << 58) - 1)))
 
 
-def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, size: int, percent: int, steps: Broadcast) -> DataFrame:
     """(doc_id, n_shingles, signature, prefix): equal sets have equal signatures; the prefix is packed codes."""
-    counts = _sketch(docs, size)
-    steps = docs.sparkSession.sparkContext.broadcast(np.minimum(63, 2 * np.log2(counts + 1)).astype(np.uint64))
 
-    def work(_: pa.RecordBatch, values: list[str]) -> dict:
+    def work(part: pa.RecordBatch, _: list[str]) -> dict:
         n, signature, prefix = [], [], []
-        for value in values:
-            codes = shingle_set(value, size)
+        for codes in shingle_sets(_bytes(part), size):
             n.append(len(codes))
             signature.append(xxhash.xxh3_128_digest(codes.tobytes()) if len(codes) else None)
             # Alike sets share at least ceil(percent n / 100) shingles, so one of the n - that + 1 first ones.
@@ -108,7 +123,7 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             prefix.append(_ranked(codes, steps.value)[:first].tobytes())
         return {"n_shingles": pa.array(n, pa.int64()), "signature": pa.array(signature, pa.binary()), "prefix": pa.array(prefix, pa.binary())}
 
-    return stored(map_texts(docs, work, "n_shingles bigint, signature binary, prefix binary", ["doc_id"]), "shingle-sets")
+    return stored(map_texts(docs, work, "n_shingles bigint, signature binary, prefix binary", ["doc_id"], SLICE), "shingle-sets")
 
 
 def _columns(reps: DataFrame) -> DataFrame:
@@ -128,107 +143,164 @@ def _columns(reps: DataFrame) -> DataFrame:
 
 
 def _shared_columns(columns: DataFrame) -> DataFrame:
-    """(code, place, rep, leader, leader_place): columns of two documents or more, each with its first as leader."""
+    """(code, place, rep): the rows of columns that two documents or more have."""
 
     def run(batches):
-        code = leader = place = None
-        waiting = False  # the leader has no member yet
+        last = None  # the row before this batch: its columns, and whether it has been given out
         for batch in batches:
-            codes, places, reps = (batch.column(i).to_numpy() for i in range(3))
-            if not len(codes):
+            rows = [batch.column(i).to_numpy() for i in range(3)]
+            if not len(rows[0]):
                 continue
-            goes_on = code is not None and codes[0] == code
-            begins = np.concatenate(([0], np.flatnonzero(codes[1:] != codes[:-1]) + 1))
-            length = np.diff(np.concatenate((begins, [len(codes)])))
-            heads, head_places = reps[begins], places[begins]
-            if goes_on:  # the first column began in an earlier batch, perhaps several ago
-                heads[0], head_places[0], length[0] = leader, place, length[0] + 1
-            run_of = np.cumsum(np.concatenate(([False], codes[1:] != codes[:-1])))
-            shown = length[run_of] > 1
-            out = [codes[shown], places[shown], reps[shown], heads[run_of][shown], head_places[run_of][shown]]
-            if waiting and goes_on:
-                out = [np.concatenate(([v], o)) for v, o in zip((code, place, leader, leader, place), out, strict=True)]
-            leader, place, waiting = heads[-1], head_places[-1], bool(length[-1] == 1)
-            code = codes[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["code", "place", "rep", "leader", "leader_place"])
-
-    ordered = columns.repartition("code").sortWithinPartitions("code", "place", "rep")
-    return stored(ordered.mapInArrow(run, "code bigint, place bigint, rep bigint, leader bigint, leader_place bigint"), "shingle-columns")
-
-
-def _possible(percent: int, a: str = "leader_place", b: str = "place"):
+            given = 0
+            if last is not None:
+                rows = [np.concatenate((v[None], r)) for v, r in zip(last[0], rows, strict=True)]
+                given = last[1]
+            same = rows[0][1:] == rows[0][:-1]
+            shown = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            last = [r[-1] for r in rows], bool(shown[-1])
+            shown[0] &= not given
+            yield pa.RecordBatch.from_arrays([pa.array(r[shown]) for r in rows], names=["code", "place", "rep"])
+
+    ordered = columns.repartition("code").sortWithinPartitions("code")
+    return stored(ordered.mapInArrow(run, "code bigint, place bigint, rep bigint"), "shingle-columns")
+
+
+def _possible(percent: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes and places still allow enough overlap: what remains of both sets from here on is all they can share."""
-    rest = f"least(({a} >> 31) - ({a} & 2147483647), ({b} >> 31) - ({b} & 2147483647))"
-    return F.expr(f"{100 + percent} * {rest} >= {percent} * (({a} >> 31) + ({b} >> 31))")
+    low = (1 << 31) - 1
+    rest = np.minimum((a >> 31) - (a & low), (b >> 31) - (b & low))
+    return (100 + percent) * rest >= percent * ((a >> 31) + (b >> 31))
+
 
+def _candidates(ordered: DataFrame, first: int, last: int, percent: int) -> DataFrame:
+    """(leader, rep): leaders number ``first`` to ``last`` of each column with later members of other groups.
 
-def _more_pairs(shared: DataFrame, labels: DataFrame, first: int, last: int, percent: int) -> tuple[DataFrame, int]:
-    """Pairs of leaders number ``first`` to ``last`` of each open column with later members of other groups.
+    ``ordered``: code, place, rep, label, column by column within partitions. A task holds one batch and the
+    leaders of one column; a pair whose bound fails is not written.
+    """
+
+    def run(batches):
+        code, rank, held = None, 0, []
+        for batch in batches:
+            codes, places, reps, labels = (batch.column(i).to_numpy() for i in range(4))
+            if not len(codes):
+                continue
+            begins = np.concatenate(([0], np.flatnonzero(codes[1:] != codes[:-1]) + 1))
+            length = np.diff(np.concatenate((begins, [len(codes)])))
+            before = np.zeros(len(begins), dtype=np.int64)  # members of the column in earlier batches
+            if codes[0] == code:
+                before[0] = rank
+            else:
+                held = []
+            column = np.repeat(np.arange(len(begins)), length)
+            at = np.arange(len(codes)) - begins[column] + before[column]
+            found = []
+
+            def pair(leaders, members):
+                kept = (labels[members] != leaders[2]) & _possible(percent, leaders[1], places[members])
+                found.append(np.stack([np.broadcast_to(leaders[0], kept.shape)[kept], reps[members][kept]], axis=1))
+
+            for leader in held:  # of the column that goes on
+                pair(leader, np.arange(length[0]))
+            for k in range(first, min(last, int((before + length).max()))):
+                inside = (before <= k) & (before + length > k)
+                position = np.where(inside, begins + k - before, 0)
+                members = np.flatnonzero(inside[column] & (at > k))
+                own = position[column[members]]
+                pair((reps[own], places[own], labels[own]), members)
+            final = column == len(begins) - 1
+            lead = np.flatnonzero(final & (at >= first) & (at < last))
+            held = (held if len(begins) == 1 else []) + [(reps[i], places[i], labels[i]) for i in lead]
+            code, rank = codes[-1], int(before[-1] + length[-1])
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["leader", "rep"])
+
+    return ordered.mapInArrow(run, "leader bigint, rep bigint").distinct()
+
+
+def _round(shared: DataFrame, labels: DataFrame | None, first: int, last: int, percent: int) -> tuple[DataFrame, int]:
+    """The pairs of one round, and the size of the largest open column; a column of one group is closed.
 
     Members that share most columns lead: in a group of edited copies that is the text they were made from.
-    Also the size of the largest open column; columns whose documents are in one group are closed.
     """
-    named = shared.select("code", "place", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.withColumn("label", F.coalesce("label", "rep"))
-    central = shared.groupBy("rep").agg(F.count("*").alias("central"))
+    label = F.col("rep") if labels is None else F.coalesce("label", "rep")
+    named = shared if labels is None else shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.withColumn("label", label)
     sizes = named.groupBy("code").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     sizes = stored(sizes.select("code", "n"), "open-columns")
     largest = sizes.agg(F.max("n").alias("n")).first().n or 0
-    still = named.join(broadcast_if_small(sizes.select("code"), SMALL), "code").join(central, "rep")
+    still = named.join(broadcast_if_small(sizes.select("code"), SMALL), "code")
+    ordered = still.select("code", "place", "rep", "label", "central").repartition("code").sortWithinPartitions("code", F.desc("central"), "rep")
+    return _candidates(ordered.drop("central"), first, last, percent), largest
 
-    def run(batches):
-        code, rank = None, 0
-        held: list[tuple[int, int, int]] = []
-        for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for c, place, rep, label in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if c != code:
-                    code, rank, held = c, 0, []
-                out += [(a, b, rep, place) for a, b, other in held if other != label]
-                if first <= rank < last:
-                    held.append((rep, place, label))
-                rank += 1
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=["leader", "leader_place", "rep", "place"])
 
-    ordered = still.select("code", "place", "rep", "label", "central").repartition("code").sortWithinPartitions("code", F.desc("central"), "rep")
-    found = ordered.mapInArrow(run, "leader bigint, leader_place bigint, rep bigint, place bigint")
-    return found.where(_possible(percent)).select("leader", "rep").distinct(), largest
+def overlapping(leader: np.ndarray, members: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which members' sets are alike the leader's; all are codes in column order.
+
+    One row of the product: counts grow block of columns by block of columns, and a member leaves once its
+    count with all that is left of the smaller set cannot reach the bound that the two sizes set.
+    """
+    sizes = np.array([len(m) for m in members])
+    need = -(-percent * (sizes + len(leader)) // (100 + percent))
+    count = np.zeros(len(members), dtype=np.int64)
+    alive = np.flatnonzero(np.minimum(sizes, len(leader)) >= need)
+    edges = [int(k * len(leader) / COLUMN_BLOCKS) for k in range(1, COLUMN_BLOCKS)]
+    done, seen = 0, np.zeros(len(members), dtype=np.int64)
+    for stop in [*edges, len(leader)]:
+        block = leader[done:stop]
+        ends = sizes.copy()
+        if stop < len(leader):
+            ends[alive] = [np.searchsorted(members[m], leader[stop]) for m in alive.tolist()]
+        rows = [members[m][seen[m] : ends[m]] for m in alive.tolist()]
+        flat = np.concatenate([np.zeros(0, dtype=leader.dtype), *rows])
+        if len(block) and len(flat):
+            hit = block[np.minimum(np.searchsorted(block, flat), len(block) - 1)] == flat
+            sums = np.concatenate(([0], np.cumsum(hit)))
+            cuts = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+            count[alive] += sums[cuts[1:]] - sums[cuts[:-1]]
+        done, seen = stop, ends
+        alive = alive[count[alive] + np.minimum(len(leader) - done, sizes[alive] - seen[alive]) >= need[alive]]
+    out = np.zeros(len(members), dtype=bool)
+    out[alive] = True
+    return out
 
 
-def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int, steps: Broadcast) -> DataFrame:
     """The pairs (a, b) that are alike, by exact overlap. A leader's block has BLOCK members or so."""
     blocks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = pairs.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     heads = placed.select(F.col("leader").alias("rep"), "leader", "block").distinct()
     wanted = stored(placed.select("rep", "leader", "block").union(heads), "pair-blocks")
     uses = broadcast_if_small(wanted.groupBy("rep").agg(F.collect_list(F.struct("leader", "block")).alias("uses")), SMALL)
-    used = docs.select(F.col("doc_id").alias("rep"), "text")
-    used = used.join(uses, "rep")
+    used = docs.select(F.col("doc_id").alias("rep"), "text").join(uses, "rep")
 
-    def encode(_: pa.RecordBatch, values: list[str]) -> dict:
-        return {"codes": pa.array([shingle_set(v, size).tobytes() for v in values], pa.binary())}
+    def encode(part: pa.RecordBatch, _: list[str]) -> dict:
+        return {"codes": pa.array([_ranked(s, steps.value).tobytes() for s in shingle_sets(_bytes(part), size)], pa.binary())}
 
-    coded = map_texts(used, encode, "codes binary", ["rep", "uses"]).select("rep", F.explode("uses").alias("use"), "codes")
+    coded = map_texts(used, encode, "codes binary", ["rep", "uses"], SLICE).select("rep", F.explode("uses").alias("use"), "codes")
     ordered = coded.select("use.leader", "use.block", "rep", "codes").repartition("leader", "block")
     ordered = ordered.sortWithinPartitions("leader", "block", F.col("leader") != F.col("rep"))
 
     def compare(batches):
-        leader, codes = None, None
+        head, codes = None, None
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                out = []
-                for a, rep, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    own = np.frombuffer(packed, dtype=np.uint64)
-                    if a == rep:
-                        leader, codes = a, own
+                leaders = batch.column(0).to_pylist()
+                reps = batch.column(2).to_pylist()
+                sets = [np.frombuffer(p, dtype=np.uint64) for p in batch.column(3).to_pylist()]
+                out, at = [], 0
+                while at < len(leaders):
+                    if leaders[at] == reps[at]:
+                        head, codes, at = leaders[at], sets[at], at + 1
                         continue
-                    assert a == leader
-                    at = np.searchsorted(codes, own)
-                    overlap = int((codes[np.minimum(at, len(codes) - 1)] == own).sum())
-                    if 100 * overlap >= percent * (len(codes) + len(own) - overlap):
-                        out.append((a, rep))
+                    stop = at
+                    while stop < len(leaders) and leaders[stop] == head and reps[stop] != head:
+                        stop += 1
+                    assert stop > at  # a block starts with its leader
+                    alike = overlapping(codes, sets[at:stop], percent)
+                    out += [(head, r) for r, yes in zip(reps[at:stop], alike.tolist(), strict=True) if yes]
+                    at = stop
                 columns = list(zip(*out, strict=True)) or [(), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=["a", "b"])
 
@@ -245,30 +317,32 @@ def alike_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     equal set has an id. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    sets = _sets(docs, size, percent)
+    steps = _steps(docs, size)
+    sets = _sets(docs, size, percent, steps)
     reps = sets.where("n_shingles > 0").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"))
-    reps = reps.where("rep is not null")
-    shared = _shared_columns(_columns(reps))
-    pairs = stored(shared.where("rep <> leader").where(_possible(percent)).select("leader", "rep").distinct(), "pairs")
-    links, first, last = _links(docs, pairs, size, percent), 0, 1
-    labels = components(links)
-    tested = pairs
+    shared = _shared_columns(_columns(reps.where("rep is not null")))
+    shared = stored(shared.join(shared.groupBy("rep").agg(F.count("*").alias("central")), "rep"), "shingle-columns")
+    labels, links, tested, first, last = None, None, None, 0, 1
     while True:
-        more, largest = _more_pairs(shared, labels, first, last, percent)
+        pairs, largest = _round(shared, labels, first, last, percent)
         if not largest:
             break
-        known = tested.union(tested.select(F.col("rep").alias("leader"), F.col("leader").alias("rep")))
-        more = stored(more.join(known, ["leader", "rep"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            links = links.union(_links(docs, more, size, percent))
+        if tested is not None:
+            known = tested.union(tested.select(F.col("rep").alias("leader"), F.col("leader").alias("rep")))
+            pairs = pairs.join(known, ["leader", "rep"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        if not pairs.isEmpty():
+            more = _links(docs, pairs, size, percent, steps)
+            links, tested = (more, pairs) if links is None else (links.union(more), tested.union(pairs))
             labels = components(links)
-            tested = tested.union(more)
         if last >= largest:
             break
         first, last = last, 4 * last
     smallest = sets.where("n_shingles > 0").groupBy("signature").agg(F.min("doc_id").alias("rep"))
-    named = smallest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("signature", F.coalesce("label", "rep").alias("component_id"))
-    joined = sets.select("doc_id", "n_shingles", "signature").join(named, "signature", "left")
+    named = smallest.withColumn("component_id", F.col("rep"))
+    if labels is not None:
+        named = smallest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep"))
+    joined = sets.select("doc_id", "n_shingles", "signature").join(named.select("signature", "component_id"), "signature", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
