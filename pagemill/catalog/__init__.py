@@ -7,7 +7,7 @@ from importlib import import_module
 from .base import ORACLES, QUERIES
 
 # One module per group of operators; importing it fills the two registries.
-GROUPS = ("text", "merge", "values", "registry", "library", "nodes", "books", "quality", "streams")
+GROUPS = ("text", "merge", "values", "registry", "library", "nodes", "books", "language", "quality", "streams")
 
 for _group in GROUPS:
     import_module(f".{_group}", __name__)

@@ -197,8 +197,8 @@ def explore_page(spark, sf):
 def init_reroot(spark, sf):
     pages = _pages(spark, sf)
     nodes = B.node_table(pages)
-    parts, _ = R.compile_rules(_rules(spark, pages).where("grp = 'ruleBookInfo' AND field = 'init'"))
-    starts = B.init_reroot(nodes, pages, parts)
+    compiled = R.compile_rules(_rules(spark, pages).where("grp = 'ruleBookInfo' AND field = 'init'"))
+    starts = B.init_reroot(nodes, pages, compiled.parts)
     return starts.join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).select("page_id", "source_id", "tag")
 
 

@@ -1,7 +1,7 @@
 """The node table: captured pages as rows, one per element.
 
 nodes: page_id, node_id (pre-order, 0 is the document), last_desc, parent_id, depth, sib_ord and sib_n
-(place among and number of element siblings), tag, attrs MAP, anc ARRAY (ids of all ancestors),
+(place among and number of element siblings), like_ord and like_n (the same among siblings of its tag), tag, attrs MAP, anc ARRAY (ids of all ancestors),
 own_text (own text nodes with NUL between), page_text (document row only: all text nodes of the page
 with NUL between), and spans: text_start..text_end in page_text, inner_start..inner_end and
 outer_start..outer_end in the page source.
@@ -41,7 +41,7 @@ MAX_DEPTH = 512  # deeper elements become siblings, as browsers do it
 # ------------------------------------------------------------------------------------------------
 
 NODE_SCHEMA = (
-    "node_id int, last_desc int, parent_id int, depth int, sib_ord int, sib_n int, tag string, attrs map<string,string>, "
+    "node_id int, last_desc int, parent_id int, depth int, sib_ord int, sib_n int, like_ord int, like_n int, tag string, attrs map<string,string>, "
     "anc array<int>, own_text string, page_text string, text_start int, text_end int, "
     "inner_start int, inner_end int, outer_start int, outer_end int"
 )
@@ -52,11 +52,12 @@ NUL = "\0"
 class _Node:
     """An element while its page is being read."""
 
-    __slots__ = ("id", "last", "parent", "depth", "sib", "tag", "attrs", "anc", "own", "count", "text", "text_end", "inner", "inner_end", "outer", "outer_end")
+    __slots__ = ("id", "last", "parent", "depth", "sib", "like", "tags", "tag", "attrs", "anc", "own", "count", "text", "text_end", "inner", "inner_end", "outer", "outer_end")
 
     def __init__(self, id_, parent, depth, sib, tag, attrs, anc, text, outer, inner):
         self.id, self.last, self.parent, self.depth, self.sib, self.tag = id_, id_, parent, depth, sib, tag
         self.attrs, self.anc, self.own, self.count = attrs, anc, [], 0
+        self.like, self.tags = 0, {}
         self.text = self.text_end = text
         self.outer, self.inner, self.inner_end, self.outer_end = outer, inner, inner, inner
 
@@ -85,12 +86,12 @@ class _Builder(HTMLParser):
             self._pop(self.size)
 
     def rows(self) -> list[tuple]:
-        siblings = [1 if n.parent is None else self.nodes[n.parent].count for n in self.nodes]
+        siblings = [(1, 1) if n.parent is None else (self.nodes[n.parent].count, self.nodes[n.parent].tags[n.tag]) for n in self.nodes]
         text = NUL.join(self.texts)
         return [
-            (n.id, n.last, n.parent, n.depth, n.sib, count, n.tag, n.attrs, n.anc, NUL.join(n.own), text if n.id == 0 else None,
+            (n.id, n.last, n.parent, n.depth, n.sib, count, n.like, alike, n.tag, n.attrs, n.anc, NUL.join(n.own), text if n.id == 0 else None,
              n.text, n.text_end, n.inner, n.inner_end, n.outer, n.outer_end)
-            for n, count in zip(self.nodes, siblings)
+            for n, (count, alike) in zip(self.nodes, siblings)
         ]
 
     def _at(self) -> int:
@@ -105,6 +106,8 @@ class _Builder(HTMLParser):
             len(self.nodes), parent.id, len(self.stack), parent.count, tag, attrs, [n.id for n in self.stack], self.length, start, inner
         )
         parent.count += 1
+        node.like = parent.tags.get(tag, 0)
+        parent.tags[tag] = node.like + 1
         self.nodes.append(node)
         self.stack.append(node)
 
@@ -220,7 +223,7 @@ def html_nodes(pages: DataFrame) -> DataFrame:
     """``pages``: page_id, html → node table."""
     key_type = pages.schema["page_id"].dataType.simpleString()
     text, whole = pa.string(), pa.int32()
-    types = [whole] * 6 + [text, pa.map_(text, text), pa.list_(whole), text, text] + [whole] * 6
+    types = [whole] * 8 + [text, pa.map_(text, text), pa.list_(whole), text, text] + [whole] * 6
     names = [field.split()[0] for field in NODE_SCHEMA.replace("map<string,string>", "map").split(", ")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import rulesyntax
 from ..functions.lists import is_index_spec, picked_positions
 from ..functions.text import web_trim
-from ..session import by_page
+from ..session import broadcast_if_small, by_page, stored
 from .nodes import NUL, SPANS
 
 _WS = r"[ \t\n\f\r]+"
@@ -53,21 +53,27 @@ def _term_of(step: Column) -> Column:
 NODE_COLUMNS = ("parent_id", "sib_ord", "attrs", *SPANS)
 
 
-def edges(nodes: DataFrame, terms: DataFrame, parents: bool = False) -> DataFrame:
+# What a test can ask of the node it is put to, beside those.
+HIT_COLUMNS = ("tag", "sib_n", "like_ord", "like_n", "flags")
+
+
+def edges(nodes: DataFrame, terms: DataFrame, parents: bool = False, selves: bool = False) -> DataFrame:
     """Every element under each of its ancestors, by lookup key; only keys some step asks for.
 
     ``terms``: the distinct keys of the steps. With ``parents`` also every element under its child,
-    by the key ``^``.
+    by the key ``^``, and with ``selves`` under itself, by the key ``=``. ``nodes`` have the column ``flags`` (see ``flagged``).
     """
     elements = nodes.where("node_id > 0").select(
-        "page_id", "node_id", "tag", "sib_n", "anc", *NODE_COLUMNS, F.explode(_terms(F.col("tag"), F.col("attrs"))).alias("term")
+        "page_id", "node_id", "anc", *HIT_COLUMNS, *NODE_COLUMNS, F.explode(_terms(F.col("tag"), F.col("attrs"))).alias("term")
     )
-    hit = F.struct("node_id", "tag", "sib_n", *NODE_COLUMNS).alias("hit")
+    hit = F.struct("node_id", *HIT_COLUMNS, *NODE_COLUMNS).alias("hit")
     out = elements.join(terms, "term", "left_semi").select("page_id", F.explode("anc").alias("anc_id"), "term", hit)
     if parents:
         above = nodes.where("node_id > 0").select("page_id", F.col("node_id").alias("parent_id"), hit)
         up = nodes.select("page_id", F.col("node_id").alias("anc_id"), "parent_id").join(above, ["page_id", "parent_id"])
         out = out.unionByName(up.select("page_id", "anc_id", F.lit("^").alias("term"), "hit"))
+    if selves:
+        out = out.unionByName(nodes.where("node_id > 0").select("page_id", F.col("node_id").alias("anc_id"), F.lit("=").alias("term"), hit))
     return out
 
 
@@ -111,21 +117,71 @@ def _matches(step: Column, tag: Column, attrs: Column) -> Column:
     )
 
 
+def _nth_holds(a: Column, b: Column, place: Column) -> Column:
+    """Whether ``place`` (from 1) is a n + b for some n from 0."""
+    return F.when(a == 0, place == b).otherwise(((place - b) * F.signum(a) >= 0) & (F.pmod(place - b, F.abs(a)) == 0))
+
+
+def _test_holds(t: Column, hit: dict[str, Column]) -> Column:
+    """One test of a clause put to a node; ``below``, ``own``, ``place`` and ``size`` where steps ask for them."""
+    none, number = F.lit(None), F.lit(None).cast("int")
+    below, own = hit.get("below", none.cast("string")), hit.get("own", none.cast("string"))
+    place, size = hit.get("place", number), hit.get("size", number)
+    text = F.when(t["name"] == "own", own).when(t["name"] == "norm", F.trim(F.regexp_replace(below, _WS, " "))).otherwise(below)
+    text_holds = F.when(t["op"] == "*=", text.contains(t["value"])).when(t["op"] == "^=", text.startswith(t["value"])).otherwise(text == t["value"])
+    wanted = F.when(t["name"] == "last", size - t["a"]).otherwise(t["a"])
+    place_holds = (
+        F.when(t["op"] == "<", place < wanted).when(t["op"] == "<=", place <= wanted).when(t["op"] == ">", place > wanted)
+        .when(t["op"] == ">=", place >= wanted).when(t["op"] == "!=", place != wanted).otherwise(place == wanted)
+    )
+    nth = (
+        F.when(t["name"] == "child", hit["sib_ord"] + 1).when(t["name"] == "last-child", hit["sib_n"] - hit["sib_ord"])
+        .when(t["name"] == "type", hit["like_ord"] + 1).otherwise(hit["like_n"] - hit["like_ord"])
+    )
+    holds = (
+        F.when(t["kind"] == "tag", hit["tag"] == t["value"])
+        .when(t["kind"] == "id", F.try_element_at(hit["attrs"], F.lit("id")) == t["value"])
+        .when(t["kind"] == "class", F.array_contains(_class_list(hit["attrs"]), t["value"]))
+        .when(t["kind"] == "attr", _attr_holds(hit["attrs"], t))
+        .when(t["kind"] == "text", text_holds).when(t["kind"] == "nth", _nth_holds(t["a"], t["b"], nth))
+        .when(t["kind"] == "place", place_holds).when(t["kind"] == "has", F.array_contains(hit["flags"], t["value"]))
+    )
+    return F.coalesce(holds, F.lit(False)) != t["no"]
+
+
+def _clauses_hold(clauses: Column, hit: dict[str, Column]) -> Column:
+    return F.coalesce(F.forall(clauses, lambda c: F.exists(c, lambda t: _test_holds(t, hit))), F.lit(True))
+
+
+def _asks_text(clauses: Column) -> Column:
+    return F.exists(clauses, lambda c: F.exists(c, lambda t: t["kind"] == "text"))
+
+
+def _asks_below(clauses: Column) -> Column:
+    return F.exists(clauses, lambda c: F.exists(c, lambda t: t["kind"] == "has"))
+
+
+def _hit(prefix: str = "hit.", **more: Column) -> dict[str, Column]:
+    return {c: F.col(prefix + c) for c in (*HIT_COLUMNS, "attrs", "sib_ord")} | more
+
+
 def _between(text: Column, start: Column, end: Column) -> Column:
     return F.substr(text, start + 1, end - start)
 
 
 def _keep_by_text(nodes: DataFrame, hits: DataFrame, run: list[str]) -> DataFrame:
-    """Steps that ask for text: ``contains`` in the subtree; ``own`` in the node itself, else anywhere below."""
+    """Steps that ask for text: ``contains`` in the subtree; ``own`` in the node itself, else anywhere below; clauses."""
     below = F.replace(_between(F.col("page_text"), F.col("hit.text_start"), F.col("hit.text_end")), F.lit(NUL), F.lit(""))
     strict = F.coalesce(F.replace(F.col("own_text"), F.lit(NUL), F.lit("")).contains(F.col("step.own")), F.lit(False))
     loose = F.coalesce(below.contains(F.coalesce("step.own", "step.contains")), F.lit(False))
     asks = F.col("step.own").isNotNull() | F.col("step.contains").isNotNull()
     context = Window.partitionBy("page_id", *run, "seg", "node_id")
+    held = _clauses_hold(F.col("step.clauses"), _hit(below=below, own=F.replace(F.col("own_text"), F.lit(NUL), F.lit(""))))
     return (
         hits.join(page_texts(nodes), "page_id")
         .withColumn("hit_id", F.col("hit.node_id"))
         .join(own_texts(nodes).withColumnRenamed("node_id", "hit_id"), ["page_id", "hit_id"])
+        .where(F.col("step").isNull() | held)
         .withColumn("strict", strict).withColumn("loose", loose).drop("page_text", "own_text", "hit_id")
         .withColumn("any_strict", F.max("strict").over(context))
         .where(
@@ -136,13 +192,11 @@ def _keep_by_text(nodes: DataFrame, hits: DataFrame, run: list[str]) -> DataFram
     )
 
 
-def _in_position(pos: Column, place: Column, size: Column, sib: Column, siblings: Column) -> Column:
-    """XPath positions count the hits of one parent; ``=n`` (CSS) counts all element siblings."""
+def _in_position(pos: Column, place: Column, size: Column) -> Column:
+    """XPath positions count the hits of one parent."""
     number = F.regexp_extract(pos, r"(\d+)$", 1).try_cast("int")
     return (
         F.when(pos.isNull(), F.lit(True))
-        .when(pos == "=last", sib + 1 == siblings)
-        .when(pos.startswith("=") & ~pos.contains("last"), sib + 1 == number)
         .when(pos == "last", place == size)
         .when(pos.startswith("last-"), place == size - number)
         .when(pos.startswith("<="), place <= number)
@@ -156,7 +210,7 @@ def _in_position(pos: Column, place: Column, size: Column, sib: Column, siblings
 class StepShapes:
     """What the rules at hand need, so that plans leave out what none of them uses."""
 
-    FLAGS = ("siblings", "parents", "texts", "positions", "picks")
+    FLAGS = ("siblings", "parents", "selves", "texts", "positions", "picks", "clauses", "below")
 
     def __init__(self, longest: int, **flags: bool):
         self.longest = longest
@@ -166,18 +220,21 @@ class StepShapes:
     @staticmethod
     def of_steps(steps: list[dict]) -> "StepShapes":
         axes = {s["axis"] for s in steps}
+        kinds = {t["kind"] for s in steps for c in (*s["clauses"], *s["late"]) for t in c}
         return StepShapes(
-            len(steps), siblings=axes & {"next", "later", "earlier"}, parents="parent" in axes,
-            texts=any(s["own"] or s["contains"] for s in steps), positions=any(s["pos"] for s in steps), picks=any(s["pick"] for s in steps),
+            len(steps), siblings=axes & {"next", "later", "earlier"}, parents="parent" in axes, selves="self" in axes,
+            texts=any(s["own"] or s["contains"] for s in steps) or "text" in kinds, positions=any(s["pos"] or s["late"] for s in steps),
+            picks=any(s["pick"] for s in steps), clauses=any(s["clauses"] for s in steps), below="has" in kinds,
         )
 
     @staticmethod
     def aggregates() -> list[Column]:
         """The same from a rules table with ``steps`` arrays, as aggregate columns."""
         tests = {
-            "siblings": lambda s: s["axis"].isin("next", "later", "earlier"), "parents": lambda s: s["axis"] == "parent",
-            "texts": lambda s: s["own"].isNotNull() | s["contains"].isNotNull(), "positions": lambda s: s["pos"].isNotNull(),
-            "picks": lambda s: s["pick"].isNotNull(),
+            "siblings": lambda s: s["axis"].isin("next", "later", "earlier"), "parents": lambda s: s["axis"] == "parent", "selves": lambda s: s["axis"] == "self",
+            "texts": lambda s: s["own"].isNotNull() | s["contains"].isNotNull() | _asks_text(s["clauses"]) | _asks_text(s["late"]),
+            "positions": lambda s: s["pos"].isNotNull() | (F.size(s["late"]) > 0), "picks": lambda s: s["pick"].isNotNull(),
+            "clauses": lambda s: F.size(s["clauses"]) > 0, "below": lambda s: _asks_below(s["clauses"]) | _asks_below(s["late"]),
         }
         return [F.max(F.size("steps")).alias("longest"), *[F.bool_or(F.exists("steps", t)).alias(n) for n, t in tests.items()]]
 
@@ -186,16 +243,80 @@ class StepShapes:
         return StepShapes(row["longest"] or 0, **{n: row[n] for n in StepShapes.FLAGS})
 
 
+def flagged(nodes: DataFrame, rules: DataFrame | list[dict], shapes: StepShapes) -> DataFrame:
+    """The nodes with ``flags``: the conditions on nodes below that hold for them.
+
+    A condition is a selection as data (``value`` of tests of kind ``has``). It is read backwards: nodes
+    that its last step fits, then up or sideways to the nodes each step may start from. ``rules``: a
+    table with ``steps``, or literal steps. Each condition of all rules is evaluated once.
+    """
+    empty = F.array().cast("array<string>")
+    if not shapes.below:
+        return nodes.withColumn("flags", empty)
+    spark = nodes.sparkSession
+    if isinstance(rules, list):
+        texts = {t["value"] for s in rules for c in (*s["clauses"], *s["late"]) for t in c if t["kind"] == "has"}
+        wanted = spark.createDataFrame([(t,) for t in sorted(texts)], "has string")
+    else:
+        tests = F.flatten(F.flatten(F.transform("steps", lambda s: F.concat(s["clauses"], s["late"]))))
+        wanted = rules.select(F.explode(F.transform(F.filter(tests, lambda t: t["kind"] == "has"), lambda t: t["value"])).alias("has")).dropDuplicates()
+    ways = wanted.select("has", F.explode(F.from_json("has", f"array<array<{rulesyntax.STEP}>>")).alias("way")).withColumn("at", F.size("way") - 1)
+    ways = stored(ways, "conditions")
+    longest = (ways.agg(F.max("at").alias("n")).first().n or 0) + 1
+    texted = ways.agg(F.bool_or(F.exists("way", lambda s: s["contains"].isNotNull() | _asks_text(s["clauses"]))).alias("t")).first().t
+    elements = nodes.where("node_id > 0").withColumn("flags", empty)
+    here = F.struct("node_id", "anc", *HIT_COLUMNS, *NODE_COLUMNS).alias("hit")
+
+    def fitting(rows: DataFrame) -> DataFrame:
+        """Rows (has, way, at, page_id, hit) whose node fits the step they stand at."""
+        step = F.get("way", F.col("at"))
+        kept = rows.where(_matches(step, F.col("hit.tag"), F.col("hit.attrs")))
+        more = {}
+        if texted:
+            kept = kept.withColumn("node_id", F.col("hit.node_id")).join(page_texts(nodes), "page_id").join(own_texts(nodes), ["page_id", "node_id"])
+            below = F.replace(_between(F.col("page_text"), F.col("hit.text_start"), F.col("hit.text_end")), F.lit(NUL), F.lit(""))
+            more = dict(below=below, own=F.replace(F.col("own_text"), F.lit(NUL), F.lit("")))
+            kept = kept.where(F.coalesce(below.contains(step["contains"]), step["contains"].isNull()))
+        return kept.where(_clauses_hold(step["clauses"], _hit(**more))).select("has", "way", "at", "page_id", "hit")
+
+    keyed = elements.select("page_id", here, F.explode(_terms(F.col("tag"), F.col("attrs"))).alias("term"))
+    first = ways.withColumn("term", _term_of(F.get("way", F.col("at"))))
+    current = fitting(keyed.join(broadcast_if_small(first), "term"))
+    found = []
+    for _ in range(longest):
+        axis = F.get("way", F.col("at"))["axis"]
+        up = current.select(
+            "has", "way", (F.col("at") - 1).alias("at"), "page_id", axis.alias("axis"), "hit.sib_ord", "hit.parent_id",
+            F.explode(F.when(axis == "desc", F.col("hit.anc")).otherwise(F.array("hit.parent_id"))).alias("to"),
+        )
+        level = up.where(F.col("axis").isin("desc", "child")).select("has", "way", "at", "page_id", F.col("to").alias("node_id"))
+        beside = up.where(F.col("axis").isin("next", "later")).join(
+            nodes.select("page_id", F.col("parent_id").alias("to"), "node_id", F.col("sib_ord").alias("before")), ["page_id", "to"]
+        ).where(F.when(F.col("axis") == "next", F.col("before") == F.col("sib_ord") - 1).otherwise(F.col("before") < F.col("sib_ord")))
+        moved = level.unionByName(beside.select("has", "way", "at", "page_id", "node_id")).dropDuplicates(["has", "way", "at", "page_id", "node_id"])
+        found.append(moved.where("at < 0").select("page_id", "node_id", "has"))
+        rest = moved.where("at >= 0").join(elements.select("page_id", "node_id", here), ["page_id", "node_id"])
+        current = fitting(rest.drop("node_id"))
+    held = found[0]
+    for more in found[1:]:
+        held = held.unionByName(more)
+    flags = held.groupBy("page_id", "node_id").agg(F.collect_set("has").alias("flags"))
+    return stored(nodes.join(flags, ["page_id", "node_id"], "left").withColumn("flags", F.coalesce("flags", empty)), "flagged-nodes")
+
+
 def run_steps(nodes: DataFrame, runs: DataFrame, run: list[str], terms: DataFrame, shapes: StepShapes) -> DataFrame:
     """All runs to their end: page_id, *run, node_id, ord (place in the run's result list), NODE_COLUMNS.
 
+    ``nodes`` come from ``flagged``.
+
     ``runs``: page_id, *run, node_id, ord, steps, NODE_COLUMNS. A run that has no step left stays as
     it is, so every round is one join whatever the lengths of the rules.
     """
     # Partitioned by page once, the joins and windows of all rounds need no further shuffle.
-    candidates = by_page(edges(nodes, terms, shapes.parents))
+    candidates = by_page(edges(nodes, terms, shapes.parents, shapes.selves))
     keys = ["page_id", *run]
-    here = F.struct("node_id", F.lit(None).cast("string").alias("tag"), F.lit(None).cast("int").alias("sib_n"), *NODE_COLUMNS)
+    kinds = {f.name: f.dataType for f in nodes.schema.fields}
+    here = F.struct("node_id", *[F.lit(None).cast(kinds[c]).alias(c) for c in HIT_COLUMNS], *NODE_COLUMNS)
     current = by_page(runs.select(*keys, "node_id", "ord", F.col("ord").alias("seg"), "steps", *NODE_COLUMNS))
     for k in range(shapes.longest):
         axis = F.col("step.axis")
@@ -203,7 +324,7 @@ def run_steps(nodes: DataFrame, runs: DataFrame, run: list[str], terms: DataFram
         going = (
             current.withColumn("step", F.get("steps", F.lit(k)))
             .withColumn("seg", F.when(F.col("step").isNull() | F.col("step.start"), F.col("ord")).otherwise(F.col("seg")))
-            .withColumn("term", F.when(axis == "parent", "^").when(F.col("step").isNotNull(), _term_of(F.col("step"))))
+            .withColumn("term", F.when(axis == "parent", "^").when(axis == "self", "=").when(F.col("step").isNotNull(), _term_of(F.col("step"))))
             .withColumn("anc_id", F.when(sideways, F.col("parent_id")).otherwise(F.col("node_id")))
         )
         joined = going.join(candidates, ["page_id", "anc_id", "term"], "left")
@@ -219,6 +340,8 @@ def run_steps(nodes: DataFrame, runs: DataFrame, run: list[str], terms: DataFram
         ).select(*keys, "seg", "steps", "step", "node_id", "hit")
         if shapes.texts:
             hits = _keep_by_text(nodes, hits, run)
+        elif shapes.clauses:
+            hits = hits.where(F.col("step").isNull() | _clauses_hold(F.col("step.clauses"), _hit()))
         if shapes.positions:
             # Positions are counted among the hits of one parent, from one start.
             direction = F.when(F.col("step.axis") == "earlier", -F.col("hit.node_id")).otherwise(F.col("hit.node_id"))
@@ -226,7 +349,8 @@ def run_steps(nodes: DataFrame, runs: DataFrame, run: list[str], terms: DataFram
             hits = (
                 hits.withColumn("place", F.row_number().over(group.orderBy(direction)))
                 .withColumn("size", F.count("*").over(group))
-                .where(_in_position(F.col("step.pos"), F.col("place"), F.col("size"), F.col("hit.sib_ord"), F.col("hit.sib_n")))
+                .where(_in_position(F.col("step.pos"), F.col("place"), F.col("size")))
+                .where(F.col("step").isNull() | _clauses_hold(F.col("step.late"), _hit(place=F.col("place"), size=F.col("size"))))
                 .drop("place", "size")
             )
         # A node reached twice in one segment counts once; order is by segment start, then by page.
@@ -254,6 +378,19 @@ def _output_spots(ord_: Column, n: Column, spec: Column) -> Column:
     return F.when(spec.isNull() | ~is_index_spec(spec), plain).otherwise(spots)
 
 
+def in_one_list(hits: DataFrame, run: list[str]) -> DataFrame:
+    """Alternatives of one selection (columns alt, alts, pick) as one list: in page order, each node once, then the positions."""
+    keys = ["page_id", *run]
+    several = F.col("alts") > 1
+    order = Window.partitionBy(*keys).orderBy(F.when(several, F.col("node_id")), "alt", "ord")
+    twin = F.lag("node_id").over(order)
+    once = hits.withColumn("twin", twin).where(~several | F.col("twin").isNull() | (F.col("twin") != F.col("node_id")))
+    placed = once.withColumn("ord", F.when(several, (F.row_number().over(order) - 1).cast("bigint")).otherwise(F.col("ord")))
+    n = F.count("*").over(Window.partitionBy(*keys)).cast("int")
+    spots = _output_spots(F.col("ord"), F.col("n"), F.col("pick"))
+    return placed.withColumn("n", n).withColumn("ord", F.explode(spots)).drop("n", "twin", "alt", "alts", "pick")
+
+
 # --- selectors from literal texts ----------------------------------------------------------------
 def _steps_column(steps: list[dict]) -> Column:
     import json
@@ -271,7 +408,24 @@ def select_steps(nodes: DataFrame, ctx: DataFrame, steps: list[dict]) -> DataFra
     """``ctx``: page_id, ctx_id, node_id, ord → hits of the same shape."""
     terms = F.broadcast(nodes.sparkSession.createDataFrame([(t,) for t in _terms_of(steps)], "term string"))
     runs = with_nodes(nodes, ctx.select("page_id", "ctx_id", "node_id", "ord")).withColumn("steps", _steps_column(steps))
-    return run_steps(nodes, runs, ["ctx_id"], terms, StepShapes.of_steps(steps))
+    shapes = StepShapes.of_steps(steps)
+    return run_steps(flagged(nodes, steps, shapes), runs, ["ctx_id"], terms, shapes)
+
+
+def select_any(nodes: DataFrame, ctx: DataFrame, alternatives: list[list[dict]], pick: str | None = None) -> DataFrame:
+    """Hits of several selections as one list."""
+    if len(alternatives) == 1 and pick is None:
+        return select_steps(nodes, ctx, alternatives[0])
+    every = [s for steps in alternatives for s in steps]
+    terms = F.broadcast(nodes.sparkSession.createDataFrame([(t,) for t in _terms_of(every)], "term string"))
+    shapes = StepShapes.of_steps(every)
+    shapes.longest = max(map(len, alternatives))
+    given = [F.struct(F.lit(k).alias("alt"), _steps_column(steps).alias("steps")) for k, steps in enumerate(alternatives)]
+    starts = with_nodes(nodes, ctx.select("page_id", "ctx_id", "node_id", "ord")).withColumn("way", F.explode(F.array(*given)))
+    runs = starts.withColumns({"alt": F.col("way.alt"), "steps": F.col("way.steps")}).drop("way")
+    hits = run_steps(flagged(nodes, every, shapes), runs, ["ctx_id", "alt"], terms, shapes)
+    several = hits.withColumns({"alts": F.lit(max(2, len(alternatives))), "pick": F.lit(pick).cast("string")})
+    return in_one_list(several, ["ctx_id"])
 
 
 def select_children(nodes: DataFrame, ctx: DataFrame) -> DataFrame:
@@ -289,11 +443,12 @@ def select_by_text(nodes: DataFrame, ctx: DataFrame, text: str) -> DataFrame:
 
 
 def select_css(nodes: DataFrame, ctx: DataFrame, css: str) -> DataFrame:
-    return select_steps(nodes, ctx, rulesyntax.css_steps(css))
+    return select_any(nodes, ctx, rulesyntax.css_alternatives(css))
 
 
 def select_xpath(nodes: DataFrame, ctx: DataFrame, expr: str) -> DataFrame:
-    return select_steps(nodes, ctx, rulesyntax.xpath_plan(expr)[0])
+    found, _, pick = rulesyntax.xpath_alternatives(expr)
+    return select_any(nodes, ctx, found, pick)
 
 
 def pick_hits(hits: DataFrame, spec: str) -> DataFrame:

@@ -47,6 +47,18 @@ def tolerant_fields(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return values.drop("error"), warnings
 
 
+def _with_variables(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with vars, the variables of each; an empty MAP where there are none."""
+    none = F.create_map().cast("map<string,string>")
+    found = rulesets.variables_of(values).select(*keys, "vars")
+    return rows.join(found, keys, "left").withColumn("vars", F.coalesce("vars", none))
+
+
+def known_variables(items: DataFrame, variables: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Items with vars, what earlier jobs wrote for them; ``variables``: the keys and vars MAP, one row each."""
+    return items if variables is None else items.join(variables.select(*keys, "vars"), keys, "left")
+
+
 def _warnings(errors: DataFrame) -> DataFrame:
     """source_id, field, message, fatal: a broken list or address field leaves its source without rows."""
     fatal = F.col("field").isin(*rulesets.ADDRESS_FIELDS, *rulesets.LIST_FIELDS) & ~F.col("used")
@@ -59,26 +71,28 @@ def without_failed(rows: DataFrame, warnings: DataFrame) -> DataFrame:
 
 
 def extract_book_list(
-    pages: DataFrame, rule_fields: DataFrame, group: str = "ruleSearch", nodes: DataFrame | None = None
+    pages: DataFrame, rule_fields: DataFrame, group: str = "ruleSearch", nodes: DataFrame | None = None, with_vars: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """``pages``: page_id, source_id, url, html → (books, warnings); the same job for search and explore.
 
-    books: page_id, source_id, item and the book fields; rows without a name are dropped.
+    books: page_id, source_id, item and the book fields; rows without a name are dropped. ``with_vars``
+    adds vars, a MAP of the variables that the item's rules wrote.
     """
     rules = rulesets.with_defaults(rule_fields, group, BOOK_DEFAULTS, "bookList").where(
         F.col("field").isin("bookList", *BOOK_FIELDS)
     )
-    parts, errors = rulesets.compile_rules(rules)
-    warnings = _warnings(errors)
+    compiled = rulesets.compile_rules(rules)
+    warnings = _warnings(compiled.errors)
     usable = without_failed(pages, warnings)
     nodes = node_table(pages) if nodes is None else nodes
-    items = stored(rulesets.list_items(nodes, usable, parts.where("field = 'bookList'")), "items")
-    values = rulesets.field_values(nodes, usable, items, parts.where("field <> 'bookList'"))
+    items = stored(rulesets.list_items(nodes, usable, compiled.parts.where("field = 'bookList'")), "items")
+    values = rulesets.field_values(nodes, usable, items, compiled, without="bookList")
+    values = stored(values, "values") if with_vars else values
     based = values.join(pages.select("page_id", "url"), "page_id")
     address = F.col("field").isin("bookUrl", "coverUrl")
     value = F.when(address, first_line_address(F.col("values"), F.col("url"))).otherwise(rulesets.joined_value(F.col("values")))
-    books = rulesets.wide(based, ["page_id", "source_id", "item"], BOOK_FIELDS, value)
-    return books.where("name <> ''"), warnings
+    books = rulesets.wide(based, ["page_id", "source_id", "item"], BOOK_FIELDS, value).where("name <> ''")
+    return _with_variables(books, values, ["page_id", "source_id", "item"]) if with_vars else books, warnings
 
 
 def search_all(
@@ -109,7 +123,7 @@ def init_reroot(nodes: DataFrame, pages: DataFrame, parts: DataFrame) -> DataFra
     ``init`` names a node set or a JSON path; where it finds nothing, or only has side effects, the
     fields start at the page itself.
     """
-    roots = rulesets.list_items(nodes, pages, parts.withColumn("reverse", F.lit(False)))
+    roots = rulesets.list_items(nodes, pages, parts.withColumn("reverse", F.lit(False)).where("hook IS NULL"))
     is_path = (F.col("dialect") == "json") | ((F.size("path") > 0) & ~F.col("body").rlike(r"^(?:class|id|tag|text|children)(?:\.|$)"))
     is_json = web_trim(F.col("html")).rlike(r"^[\[{]")
     paths = broadcast_if_small(parts.where(is_path).select("source_id", "path"))
@@ -125,16 +139,23 @@ def init_reroot(nodes: DataFrame, pages: DataFrame, parts: DataFrame) -> DataFra
     return found.unionByName(whole).withColumn("item", F.lit(0).cast("bigint"))
 
 
-def extract_book_info(pages: DataFrame, rule_fields: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def extract_book_info(
+    pages: DataFrame, rule_fields: DataFrame, nodes: DataFrame | None = None, variables: DataFrame | None = None, with_vars: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """``pages``: page_id, source_id, url, html → (info, warnings).
 
     info: page_id, source_id, toc_url (the page itself when no rule finds one), name, author, intro, cover_url.
+    ``variables`` (source_id, url, vars): what the search wrote for the book of that address, at most one row a
+    book. ``with_vars`` adds vars: those, and what the detail rules write.
     """
     rules = rule_fields.where("grp = 'ruleBookInfo'").where(F.col("field").isin("init", *INFO_FIELDS))
-    parts, errors = rulesets.compile_rules(rules)
+    compiled = rulesets.compile_rules(rules)
     nodes = node_table(pages) if nodes is None else nodes
-    starts = init_reroot(nodes, pages, parts.where("field = 'init'"))
-    values = rulesets.field_values(nodes, pages, starts, parts.where("field <> 'init'"))
+    starts = init_reroot(nodes, pages, compiled.parts.where("field = 'init'"))
+    if variables is not None:
+        starts = known_variables(starts.join(pages.select("page_id", "url"), "page_id"), variables, ["source_id", "url"]).drop("url")
+    values = rulesets.field_values(nodes, pages, starts, compiled, without="init")
+    values = stored(values, "values") if with_vars else values
     based = values.join(pages.select("page_id", "url"), "page_id")
     address = F.col("field").isin("tocUrl", "coverUrl")
     value = F.when(address, first_line_address(F.col("values"), F.col("url"))).otherwise(rulesets.joined_value(F.col("values")))
@@ -144,7 +165,8 @@ def extract_book_info(pages: DataFrame, rule_fields: DataFrame, nodes: DataFrame
         F.when(F.coalesce("tocUrl", F.lit("")) != "", F.col("tocUrl")).otherwise(F.col("url")).alias("toc_url"),
         *[F.coalesce(f, F.lit("")).alias(a) for f, a in (("name", "name"), ("author", "author"), ("intro", "intro"), ("coverUrl", "cover_url"))],
     )
-    return info, _warnings(errors)
+    info = _with_variables(info, values, ["page_id", "source_id"]) if with_vars else info
+    return info, _warnings(compiled.errors)
 
 
 def explore_page(
@@ -160,10 +182,11 @@ def explore_page(
 
 def next_links(pages: DataFrame, rule_fields: DataFrame, grp: str, field: str, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(page_id, source_id, url, next_url of pages whose next-page rule finds another address; warnings)."""
-    parts, errors = rulesets.compile_rules(rule_fields.where((F.col("grp") == grp) & (F.col("field") == field)))
+    compiled = rulesets.compile_rules(rule_fields.where((F.col("grp") == grp) & (F.col("field") == field)))
     starts = pages.select(
         "page_id", "source_id", F.lit(0).cast("bigint").alias("item"), F.lit(0).alias("node_id"), F.col("html").alias("json")
     ).withColumn("json", F.when(web_trim(F.col("json")).rlike(r"^[\[{]"), F.col("json")))
-    values = rulesets.field_values(nodes, pages, starts, parts).join(pages.select("page_id", "url"), "page_id")
+    values = rulesets.field_values(nodes, pages, starts, compiled).join(pages.select("page_id", "url"), "page_id")
+    values = values.where(F.col("field") == field)
     found = values.select("page_id", "source_id", "url", first_line_address(F.col("values"), F.col("url")).alias("next_url"))
-    return found.where((F.col("next_url") != "") & (F.col("next_url") != F.col("url"))), _warnings(errors)
+    return found.where((F.col("next_url") != "") & (F.col("next_url") != F.col("url"))), _warnings(compiled.errors)

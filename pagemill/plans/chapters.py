@@ -33,20 +33,32 @@ def _chain(pages: DataFrame, links: DataFrame, seeds: DataFrame, cap: int) -> Da
     return T.page_chain(links_, starts, cap).join(known, "url").select("seed.source_id", "seed.key", "page_no", "page_id")
 
 
-def extract_toc(pages: DataFrame, rule_fields: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _known(items: DataFrame, chain: DataFrame, variables: DataFrame | None, key: str) -> DataFrame:
+    """Items with the variables of the book or chapter whose chain their page belongs to (the first by key)."""
+    if variables is None:
+        return items
+    owned = chain.groupBy("page_id", "source_id").agg(F.min("key").alias(key)).join(variables.select("source_id", key, "vars"), ["source_id", key])
+    return items.join(owned.select("page_id", "source_id", "vars"), ["page_id", "source_id"], "left")
+
+
+def extract_toc(
+    pages: DataFrame, rule_fields: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, variables: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``pages``: page_id, source_id, url, html; ``seeds``: source_id, book_key, url → (chapter list, warnings).
 
-    Later pages of a list are found through the captured corpus; a missing one ends the list.
+    Later pages of a list are found through the captured corpus; a missing one ends the list. ``variables``
+    (source_id, book_key, vars): what earlier jobs wrote for the book, at most one row a book.
     """
     nodes = node_table(pages) if nodes is None else nodes
     rules = rulesets.with_defaults(rule_fields, "ruleToc", TOC_DEFAULTS, "chapterList")
-    parts, errors = rulesets.compile_rules(rules.where(F.col("field").isin("chapterList", *TOC_FIELDS)))
+    compiled = rulesets.compile_rules(rules.where(F.col("field").isin("chapterList", *TOC_FIELDS)))
     onward, warnings = next_links(pages, rule_fields, "ruleToc", "nextTocUrl", nodes)
-    warnings = _warnings(errors).unionByName(warnings)
+    warnings = _warnings(compiled.errors).unionByName(warnings)
     chain = _chain(pages, onward, without_failed(seeds, warnings).withColumnRenamed("book_key", "key"), T.MAX_TOC_PAGES)
     listed = pages.join(chain.select("page_id").dropDuplicates(), "page_id", "left_semi")
-    items = stored(rulesets.list_items(nodes, listed, parts.where("field = 'chapterList'")), "items")
-    values = rulesets.field_values(nodes, listed, items, parts.where("field <> 'chapterList'")).join(pages.select("page_id", "url"), "page_id")
+    items = rulesets.list_items(nodes, listed, compiled.parts.where("field = 'chapterList'"))
+    items = stored(_known(items, chain, variables, "book_key"), "items")
+    values = rulesets.field_values(nodes, listed, items, compiled, without="chapterList").join(pages.select("page_id", "url"), "page_id")
     value = F.when(F.col("field") == "chapterUrl", first_line_address(F.col("values"), F.col("url"))).otherwise(
         rulesets.joined_value(F.col("values"))
     )
@@ -60,25 +72,30 @@ def extract_toc(pages: DataFrame, rule_fields: DataFrame, seeds: DataFrame, node
     return T.clean_toc(stored(rows, "toc")), warnings
 
 
-def content_pages(pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``chapters``: source_id, chapter_key, url → (source_id, chapter_key, page_no, page_url, values, raw; warnings)."""
-    parts, errors = rulesets.compile_rules(rule_fields.where("grp = 'ruleContent' AND field = 'content'"))
+def content_pages(
+    pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame, nodes: DataFrame, variables: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``chapters``: source_id, chapter_key, url → (source_id, chapter_key, page_no, page_url, values, raw; warnings).
+
+    ``variables`` (source_id, chapter_key, vars): what earlier jobs wrote for the chapter, at most one row each.
+    """
+    compiled = rulesets.compile_rules(rule_fields.where("grp = 'ruleContent' AND field = 'content'"))
     onward, warnings = next_links(pages, rule_fields, "ruleContent", "nextContentUrl", nodes)
-    warnings = _warnings(errors).unionByName(warnings)
+    warnings = _warnings(compiled.errors).unionByName(warnings)
     chain = _chain(pages, onward, without_failed(chapters, warnings).withColumnRenamed("chapter_key", "key"), T.MAX_CONTENT_PAGES)
     used = pages.join(chain.select("page_id").dropDuplicates(), "page_id", "left_semi")
     starts = used.select(
         "page_id", "source_id", F.lit(0).cast("bigint").alias("item"), F.lit(0).alias("node_id"),
         F.when(web_trim(F.col("html")).rlike(r"^[\[{]"), F.col("html")).alias("json"),
     )
-    values = rulesets.field_values(nodes, used, starts, parts)
+    values = rulesets.field_values(nodes, used, _known(starts, chain, variables, "chapter_key"), compiled).where("field = 'content'")
     return chain.join(values, ["page_id", "source_id"]).join(pages.select("page_id", F.col("url").alias("page_url")), "page_id").select(
         "source_id", F.col("key").alias("chapter_key"), "page_no", "page_url", "values", F.array_join("values", "\n").alias("raw")
     ), warnings
 
 
 def content_by_kind(
-    pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame, kinds: DataFrame, nodes: DataFrame | None = None
+    pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame, kinds: DataFrame, nodes: DataFrame | None = None, variables: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(source_id, chapter_key, kind, text, links ARRAY<STRUCT<url,name>>; warnings).
 
@@ -95,7 +112,7 @@ def content_by_kind(
         "source_id", F.when(downloads, "ruleContent").otherwise(F.col("grp")).alias("grp"),
         F.when(downloads, "content").otherwise(F.col("field")).alias("field"), "rule",
     )
-    found, warnings = content_pages(pages, ruled, chapters, nodes)
+    found, warnings = content_pages(pages, ruled, chapters, nodes, variables)
     parts = found.join(typed, "source_id").withColumn(
         "chapter_key", F.struct("source_id", "chapter_key")
     )
