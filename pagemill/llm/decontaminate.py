@@ -1,13 +1,14 @@
 """Benchmark decontamination: suffix arrays over shards of documents, searched for every test suffix.
 
 A shard is a slice of documents in one task. Its suffixes, cut to the window length, are sorted; every
-window of the test items is binary-searched in them, which gives all places where it occurs. Overlapping
-windows of one item join to the longest verbatim match.
+window of the test items is binary-searched in them, which gives all places where it occurs. Windows whose
+places in the document and in the item advance together join to the longest verbatim match.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .batches import apart, map_texts, slices, texts
 
 WINDOW = 10
@@ -38,14 +40,14 @@ class TestIndex:
     def __init__(self, items: list[tuple[object, str | None]], window: int) -> None:
         self.window = window
         numbers: dict[bytes, int] = {}
-        held: dict[tuple[int, ...], set] = {}
+        held: dict[tuple[int, ...], dict] = {}
         for item, text in items:
             own = [numbers.setdefault(w, len(numbers) + 1) for w in words(text)]
             for start in range(max(1, len(own) - window + 1) if own else 0):
-                held.setdefault(tuple(own[start : start + window]), set()).add(item)
+                held.setdefault(tuple(own[start : start + window]), {}).setdefault(item, []).append(start)
         self.numbers = numbers
         self.windows = sorted(held)
-        self.items = [sorted(held[w]) for w in self.windows]
+        self.items = [held[w] for w in self.windows]  # each item that holds a window, with its places there
         self.sizes = np.array([len(w) for w in self.windows], dtype=np.int64)
         self.shortest = min(map(len, self.windows), default=window)
         self.keys = np.array([_key(w, window) for w in self.windows], dtype=f"S{4 * window}")
@@ -83,22 +85,26 @@ def _key(window: tuple[int, ...], length: int, fill: int = 0) -> bytes:
     return b"".join(n.to_bytes(4, "big") for n in (*window, *[fill] * (length - len(window))))
 
 
-def _chunks(benchmark: DataFrame, window: int, limit: int) -> list[TestIndex]:
-    found, held, size = [], [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
+def _chunks(benchmark: DataFrame, window: int, limit: int) -> Iterator[TestIndex]:
+    """The test items in chunks, one at a time; rows of one id must follow each other."""
+    held, size, some = [], 0, False
+    for row in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():
+        if size >= limit and row.item_id != held[-1][0]:
+            yield TestIndex(held, window)
+            held, size, some = [], 0, True
         held.append((row.item_id, row.text))
         size += max(1, len(words(row.text)) - window + 1)
-        if size >= limit:
-            found.append(TestIndex(held, window))
-            held, size = [], 0
-    return [*found, TestIndex(held, window)] if held or not found else found
+    if held or not some:
+        yield TestIndex(held, window)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, chunk: int = CHUNK_WINDOWS) -> DataFrame:
     """Add to the kept columns of ``docs`` (default: ``doc_id``) what they share with ``benchmark``.
 
     ``n_words`` is the number of words; ``matches`` lists (item_id, start, size) in words: each longest
-    run of overlapping windows of one item. An item shorter than a window, but not empty, is one window.
+    stretch that is also a stretch of the item, of a window at least and not inside a longer one. An item
+    shorter than a window, but not empty, is one window. More items than a chunk holds make several passes,
+    each written to the shared folder before the next one's index is built.
     Null and empty texts have no words and no matches, and so have all texts when the benchmark is empty.
     A repeated item_id counts once; a null item_id is left out. Repeated documents are handled each.
     """
@@ -123,7 +129,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | Non
         if out is None:
             out = map_texts(docs, work, "n_words bigint, matches array<struct<item_id: string, start: bigint, size: bigint>>", [*dict.fromkeys([*keep, "text"])])
         else:
-            out = _again(out, work)
+            out = _again(stored(out, "matches"), work)
     return out.withColumn("matches", F.col("matches").cast(f"array<struct<item_id: {key}, start: bigint, size: bigint>>"))
 
 
@@ -149,20 +155,33 @@ def _by_row(places: np.ndarray, window: np.ndarray, starts: np.ndarray) -> list[
 
 
 def _joined(found: list[tuple[int, int]], index: TestIndex) -> list[dict]:
-    """Windows of one item that overlap make one match."""
-    open_: dict[object, list[int]] = {}
-    out = []
+    """Windows that follow each other in the document and in an item make one match.
+
+    For each item, the places where its last window ends there are kept with the document's place where
+    the match began. A match that ends inside one that goes on, or began later than it, is not given.
+    """
+    size_of, out = index.sizes, []
+    going: dict[object, tuple[int, int, dict[int, int]]] = {}  # item: last place, window size, {place in item: begin}
+
+    def end(item: object, at: int, size: int, begins: dict[int, int], kept: int | None) -> None:
+        begin = min(begins.values())
+        if kept is None or begin < kept:
+            out.append({"item_id": item, "start": begin, "size": at + size - begin})
+
     for start, window in found:
-        size = int(index.sizes[window])
-        for item in index.items[window]:
-            run = open_.get(item)
-            if run and start < run[1]:
-                run[1] = max(run[1], start + size)
-            else:
-                if run:
-                    out.append({"item_id": item, "start": run[0], "size": run[1] - run[0]})
-                open_[item] = [start, start + size]
-    out += [{"item_id": item, "start": a, "size": b - a} for item, (a, b) in open_.items()]
+        size = int(size_of[window])
+        for item, places in index.items[window].items():
+            before = going.get(item)
+            follows = before is not None and before[0] == start - 1
+            begins = {p: before[2].get(p - 1, start) if follows else start for p in places}
+            if before is not None:
+                gone = before[2] if not follows else {p: b for p, b in before[2].items() if p + 1 not in begins}
+                if gone:
+                    on = [b for p, b in before[2].items() if follows and p + 1 in begins]
+                    end(item, before[0], before[1], gone, min(on, default=None))
+            going[item] = (start, size, begins)
+    for item, (at, size, begins) in going.items():
+        end(item, at, size, begins, None)
     return sorted(out, key=lambda m: (m["start"], m["item_id"]))
 
 

@@ -4,7 +4,8 @@ All of it is native expressions. A long token whose characters look like draws f
 encoding's alphabet is a secret: a chi-squared test of uniform use, a runs test of values above and below
 the middle, and a serial-correlation test of neighbours must all fail to reject that. Words pass such
 tests by chance, the more easily the shorter they are. So the bound on the combined p-value is set for each
-encoding and length class where the estimated share of words among the accepted tokens is small enough.
+encoding and length class where the estimated share of words among the accepted tokens is small enough; where
+the high p-values give no sign of random tokens, none is accepted.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ ALPHABETS = {
 # Accepted share of false discoveries, and bins of p-values in which they are estimated.
 FALSE_SHARE = 0.05
 BINS = 20
+# Standard errors that count as chance, and the smallest bound.
+CHANCE = 1.64
+LEAST_BOUND = 0.01
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -135,23 +139,35 @@ def length_class(n: Column) -> Column:
 def bounds(tested: DataFrame) -> DataFrame:
     """(encoding, class, bound): the smallest p-value accepted in each encoding and length class.
 
-    Random tokens spread evenly over all p-values, words crowd near 0. Those above one half estimate how
-    many random ones each bin holds; a bound is accepted if the rest above it is a FALSE_SHARE of all there.
-    The table has BINS rows an encoding and class at most, however many tokens there are.
+    Random tokens spread evenly over all p-values; those of words crowd near 0 and thin out above. So the
+    highest quarter estimates how many random ones there are, if the quarter below it holds no more than
+    chance allows. A bound up to one half is accepted if the tokens above it that this estimate does not
+    explain are a FALSE_SHARE of all there, within the estimate's own error. A class without such a bound, or
+    without any token in the highest quarter, is left out: nothing of it is accepted. The table has one row
+    an encoding and class at most, however many tokens there are.
     """
     binned = tested.select("encoding", length_class(F.col("n_chars")).alias("class"), F.least(F.floor(F.col("p_value") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     counted = binned.groupBy("encoding", "class", "bin").agg(F.count("*").alias("n"))
+
+    def between(low: int, high: int) -> Column:
+        return F.sum(F.when((F.col("bin") >= low) & (F.col("bin") < high), F.col("n")).otherwise(0))
+
     grouped = counted.groupBy("encoding", "class").agg(
-        (F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)) * 2).alias("random"), F.collect_list(F.struct("bin", "n")).alias("bins")
+        between(BINS * 3 // 4, BINS).alias("top"), between(BINS // 2, BINS * 3 // 4).alias("middle"), F.collect_list(F.struct("bin", "n")).alias("bins")
     )
+    flat = F.col("middle") - F.col("top") <= CHANCE * F.sqrt(F.col("middle") + F.col("top"))
 
     def above(b: Column) -> Column:
         return F.aggregate("bins", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["bin"] >= b, x["n"]).otherwise(0))
 
-    rest = lambda b: above(b) - F.col("random") * (BINS - b) / BINS
-    good = F.filter(F.sequence(F.lit(0), F.lit(BINS // 2)), lambda b: (above(b) > 0) & (rest(b) <= FALSE_SHARE * above(b)))
+    def unexplained(b: Column) -> Column:
+        part = (BINS - b) / BINS
+        return above(b) - 4 * F.col("top") * part - CHANCE * 4 * F.sqrt(F.col("top")) * part
+
+    good = F.filter(F.sequence(F.lit(0), F.lit(BINS // 2)), lambda b: (above(b) > 0) & (unexplained(b) <= FALSE_SHARE * above(b)))
+    found = grouped.where(flat & (F.col("top") > 0)).withColumn("good", good).where(F.size("good") > 0)
     # A bound of 0 would accept what the tests reject outright.
-    return grouped.select("encoding", "class", F.greatest(F.array_min(good).cast("double") / BINS, F.lit(0.01)).alias("bound")).where("bound is not null")
+    return found.select("encoding", "class", F.greatest(F.array_min("good").cast("double") / BINS, F.lit(LEAST_BOUND)).alias("bound"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
+from itertools import pairwise
 
 from pagemill.llm import secrets
 from pagemill.llm.queries import QUERIES
@@ -54,3 +57,83 @@ def test_random_tokens_and_words(spark):
     found = {r.doc_id for r in secrets.scan(docs).collect() if r.spans}
     assert len(found & set(range(200))) >= 170
     assert len(found & set(range(200, 400))) <= 10
+
+
+def plain_p_value(token):
+    """The battery in plain Python: (encoding, characters, p-value)."""
+    if re.fullmatch("[0-9]+", token):
+        encoding = "dec"
+    elif re.fullmatch("[0-9a-f]+|[0-9A-F]+", token):
+        encoding = "hex"
+    else:
+        encoding = "base32" if re.fullmatch("[A-Z2-7]+=*", token) else "base64"
+    alphabet = secrets.ALPHABETS[encoding]
+    plain = token.lower() if encoding == "hex" else token.replace("-", "+").replace("_", "/").rstrip("=")
+    values = [alphabet.index(c) for c in plain if c in alphabet]
+    n, k = len(plain), len(alphabet)
+
+    def tail(z):
+        t = 1 / (1 + 0.2316419 * abs(z))
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return min(1.0, 2 * math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly)
+
+    chi = max(k * sum(plain.count(c) ** 2 for c in alphabet) / n - n, 0.0)
+    cube = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    uniform = tail(cube) / 2 if cube >= 0 else 1 - tail(cube) / 2
+    high = [v >= k / 2 for v in values]
+    runs = 1 + sum(a != b for a, b in pairwise(high))
+    expected = 2 * sum(high) * (n - sum(high)) / n + 1
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    middle = (k - 1) / 2
+    power = sum((v - middle) ** 2 for v in values)
+    along = sum((a - middle) * (b - middle) for a, b in pairwise(values))
+    tests = [uniform, tail((runs - expected) / math.sqrt(spread)) if spread > 0 else 0.0, tail(along / power * math.sqrt(n)) if power > 0 else 0.0]
+    return encoding, n, min(1.0, 3 * min(tests))
+
+
+def plain_random_spans(texts):
+    """Spans of tokens that look random, with bounds counted in plain Python."""
+    tested = []
+    for row, text in enumerate(texts):
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text or ""):
+            if re.search("[0-9]|[a-z].*[A-Z].*[a-z].*[A-Z]", m[0]):
+                encoding, n, p = plain_p_value(m[0])
+                tested.append((row, m.start(), m.end(), (encoding, math.floor(2 * math.log2(n))), p))
+    limit = {}
+    for kind in {t[3] for t in tested}:
+        bins = Counter(min(int(p * 20), 19) for *_, k, p in tested if k == kind)
+        above = [sum(c for b, c in bins.items() if b >= low) for low in range(21)]
+        top, middle = above[15], above[10] - above[15]
+        good = [b for b in range(11) if above[b] and above[b] - 4 * top * (20 - b) / 20 - 1.64 * 4 * math.sqrt(top) * (20 - b) / 20 <= 0.05 * above[b]]
+        if top and middle - top <= 1.64 * math.sqrt(middle + top) and good:
+            limit[kind] = max(good[0] / 20, 0.01)
+    out = {row: [] for row in range(len(texts))}
+    for row, start, stop, kind, p in tested:
+        free = not any(a < stop and start < b for a, _, b, _ in base_spans(texts[row]))
+        if free and kind in limit and p >= limit[kind]:
+            out[row].append(("random", start, stop))
+    return out
+
+
+def test_random_spans_equal_plain_python(spark):
+    draw = random.Random(9)
+    pieces = ["the", "And", "er1", "tion", "in", "Of", "2024", "-", "_"]
+    texts = []
+    for i in range(400):
+        letters = secrets.ALPHABETS[draw.choice(["base64", "hex", "base32", "dec"])]
+        token = "".join(draw.choices(letters, k=draw.randrange(18, 60))) if i % 2 else "".join(draw.choices(pieces, k=draw.randrange(6, 16)))
+        texts.append(draw.choice(["x {} y", "{}", "secret = {}", "é {}, {}"]).replace("{}", token))
+    texts += [None, "", "token: " + "Ab1" * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind == "random"] for r in secrets.scan(docs).collect()}
+    want = plain_random_spans(texts)
+    assert got == want and sum(map(len, want.values())) > 50
+
+
+def test_a_class_without_random_tokens_accepts_nothing(spark):
+    rows = [("base64", 40, p / 1000) for p in range(0, 450, 3)] + [("hex", 40, 0.001)] * 50
+    tested = spark.createDataFrame(rows, "encoding string, n_chars int, p_value double")
+    assert secrets.bounds(tested).collect() == []
+    words = ["".join(random.Random(i).choices(["the", "And", "er1", "tion", "Of"], k=13)) for i in range(300)]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    assert sum(len(r.spans) for r in secrets.scan(docs).collect()) <= 3
