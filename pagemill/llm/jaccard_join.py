@@ -36,6 +36,8 @@ PAGE = 1 << 14
 # Members that one block compares with a leader, and blocks of columns their overlaps are counted in.
 BLOCK = 400
 COLUMN_BLOCKS = 4
+# How many times more leaders each further round has.
+STEP = 16
 # Largest table, as estimated, that is sent to every executor; larger ones are joined by a shuffle.
 SMALL = 6 << 20
 # Bytes of text turned into arrays at once.
@@ -307,6 +309,21 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int, steps: Br
     return stored(ordered.mapInArrow(compare, "a bigint, b bigint"), "alike")
 
 
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) once more links join the groups that ``labels`` names; only groups with new links are worked on."""
+    if labels is None:
+        return components(links)
+    one, two = (labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")) for end in ("a", "b"))
+    between = links.join(one, "a", "left").join(two, "b", "left")
+    between = stored(between.select("a", "b", F.coalesce("a_label", "a").alias("a_label"), F.coalesce("b_label", "b").alias("b_label")), "links")
+    named = components(between.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+    ends = between.select(F.col("a").alias("node")).union(between.select(F.col("b").alias("node"))).distinct()
+    fresh = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    named = named.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    every = labels.unionByName(fresh).join(named, "label", "left")
+    return stored(every.select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def alike_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``, which needs ``doc_id`` (bigint) and ``text``.
 
@@ -322,7 +339,7 @@ def alike_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     reps = sets.where("n_shingles > 0").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"))
     shared = _shared_columns(_columns(reps.where("rep is not null")))
     shared = stored(shared.join(shared.groupBy("rep").agg(F.count("*").alias("central")), "rep"), "shingle-columns")
-    labels, links, tested, first, last = None, None, None, 0, 1
+    labels, tested, first, last = None, None, 0, 1
     while True:
         pairs, largest = _round(shared, labels, first, last, percent)
         if not largest:
@@ -332,12 +349,12 @@ def alike_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
             pairs = pairs.join(known, ["leader", "rep"], "left_anti")
         pairs = stored(pairs, "pairs")
         if not pairs.isEmpty():
-            more = _links(docs, pairs, size, percent, steps)
-            links, tested = (more, pairs) if links is None else (links.union(more), tested.union(pairs))
-            labels = components(links)
+            links, tested = _links(docs, pairs, size, percent, steps), pairs if tested is None else tested.union(pairs)
+            if not links.isEmpty():
+                labels = _joined(labels, links)
         if last >= largest:
             break
-        first, last = last, 4 * last
+        first, last = last, STEP * last
     smallest = sets.where("n_shingles > 0").groupBy("signature").agg(F.min("doc_id").alias("rep"))
     named = smallest.withColumn("component_id", F.col("rep"))
     if labels is not None:
