@@ -131,35 +131,33 @@ def extract_templates(spark, sf):
 
 VARIABLES = {
     "bookList": "tag.nav@tag.li", "name": 'tag.a@text@put:{w:"tag.a@text", h:tag.a@href}', "author": "@get:{h}",
-    "intro": '@put:{both:"{{@get:{w}}}:@get:{h}"}w=@get:{w} both=@get:{both} none=@get:{none}', "kind": "@get:{none}||tag.a@text",
+    "intro": '@put:{both:"@get:{w}-@get:{h}"}w=@get:{w} both=@get:{both} none=@get:{none}', "kind": "@get:{none}||tag.a@text",
     "bookUrl": "/b@get:{h}",
 }
 
 
 @query(
     "extract_variables",
-    f"""SELECT page_id, source_id, item, {WORD} AS name, {HREF} AS author, 'w=' || {WORD} || ' both=' || {WORD} || ':' || {HREF} || ' none=' AS intro,
+    f"""SELECT page_id, source_id, item, {WORD} AS name, {HREF} AS author, 'w=' || {WORD} || ' both=' || {WORD} || '-' || {HREF} || ' none=' AS intro,
                '' AS kind, origin || {sql_encode(f"'/b' || {HREF}")} AS "bookUrl" FROM ({ITEMS}) WHERE {WORD} <> ''""",
 )
 def extract_variables(spark, sf):
     """Variables one rule writes and others read, in the order of what they need."""
     pages = _pages(spark, sf)
-    rules = VARIABLES | {"intro": VARIABLES["intro"].replace("{{@get:{w}}}", "@get:{w}")}
-    books, _ = B.extract_book_list(pages, _rules(spark, pages, "ruleSearch", rules))
+    books, _ = B.extract_book_list(pages, _rules(spark, pages, "ruleSearch", VARIABLES))
     return books.select("page_id", "source_id", "item", "name", "author", "intro", "kind", "bookUrl")
 
 
 @query(
     "extract_variables_flush",
     f"""SELECT source_id || chr(10) || origin || {sql_encode(f"'/b' || {HREF}")} AS book_key, v.name AS name, v.value AS value FROM (
-          SELECT source_id, origin, href, unnest([{{'name': 'w', 'value': {WORD}}}, {{'name': 'h', 'value': {HREF}}}, {{'name': 'both', 'value': {WORD} || ':' || {HREF}}}]) AS v
+          SELECT source_id, origin, href, unnest([{{'name': 'w', 'value': {WORD}}}, {{'name': 'h', 'value': {HREF}}}, {{'name': 'both', 'value': {WORD} || '-' || {HREF}}}]) AS v
           FROM ({ITEMS}) WHERE {WORD} <> '') WHERE v.value <> '' AND length(v.value) <= 2000""",
 )
 def extract_variables_flush(spark, sf):
     """What an item's rules wrote, filed under its own book."""
     pages = _pages(spark, sf)
-    rules = VARIABLES | {"intro": VARIABLES["intro"].replace("{{@get:{w}}}", "@get:{w}")}
-    books, _ = B.extract_book_list(pages, _rules(spark, pages, "ruleSearch", rules), with_vars=True)
+    books, _ = B.extract_book_list(pages, _rules(spark, pages, "ruleSearch", VARIABLES), with_vars=True)
     return library.item_var_flush(books.select("source_id", "name", F.col("bookUrl").alias("book_url"), "vars"))
 
 

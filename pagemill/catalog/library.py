@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cookies, library
+from ..operators import cache, cookies, library
 from ..operators.throttle import login_throttle as throttle
 from ..session import cut_lineage
 from ..sources import backup, exports
@@ -639,3 +639,46 @@ def import_backup(spark, sf):
     }
     _, counts = backup.import_backup(held, docs, NOW)
     return counts
+
+
+# --- keyed cache: purchases write, errors delete, the other events read -----------------------------
+CACHE = """
+    e AS (SELECT user_id % 20 AS key, event_id, event_type, epoch_us(ts) // 1000 AS "at", CAST((event_id % 3) * 3600000 AS BIGINT) AS ttl_ms FROM events),
+    w AS (SELECT key, "at", event_id AS seq, ttl_ms, CASE WHEN event_type = 'purchase' THEN 'v' || CAST(event_id AS VARCHAR) END AS value,
+                 CAST("at" AS HUGEINT) * 1000000000000 + event_id AS place FROM e WHERE event_type IN ('purchase', 'error'))"""
+
+
+def _cache_log(spark, sf):
+    e = table(spark, sf, "events").select(
+        (F.col("user_id") % 20).alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"),
+        ((F.col("event_id") % 3) * 3_600_000).cast("bigint").alias("ttl_ms"), "event_type",
+    )
+    writes = e.where(F.col("event_type").isin("purchase", "error")).withColumn(
+        "value", F.when(F.col("event_type") == "purchase", F.concat(F.lit("v"), "seq"))
+    )
+    return writes.drop("event_type"), e.where(~F.col("event_type").isin("purchase", "error")).drop("ttl_ms")
+
+
+@query(
+    "cache_lookup",
+    f"""WITH {CACHE.strip()}
+        SELECT r.key, r."at", r.event_id AS seq, r.event_type, CASE WHEN w.value IS NOT NULL AND (w.ttl_ms = 0 OR r."at" < w."at" + w.ttl_ms) THEN w.value END AS cached
+        FROM (SELECT *, CAST("at" AS HUGEINT) * 1000000000000 + event_id AS place FROM e WHERE event_type NOT IN ('purchase', 'error')) r
+        ASOF LEFT JOIN w ON r.key = w.key AND r.place >= w.place""",
+)
+def cache_lookup(spark, sf):
+    writes, reads = _cache_log(spark, sf)
+    return cache.cache_lookup(writes, reads)
+
+
+@query(
+    "cache_compact",
+    f"""WITH {CACHE.strip()}, n AS (SELECT max("at") AS now FROM e)
+        SELECT key, arg_max("at", place) AS "at", max(seq) FILTER (place = top) AS seq, arg_max(ttl_ms, place) AS ttl_ms, max(value) FILTER (place = top) AS value
+        FROM (SELECT w.*, max(place) OVER (PARTITION BY key) AS top FROM w), n GROUP BY key, now
+        HAVING max(value) FILTER (place = top) IS NOT NULL AND (arg_max(ttl_ms, place) = 0 OR now < arg_max("at", place) + arg_max(ttl_ms, place))""",
+)
+def cache_compact(spark, sf):
+    writes, reads = _cache_log(spark, sf)
+    now = writes.select("at").union(reads.select("at")).agg(F.max("at").alias("now"))
+    return cache.cache_compact(writes, F.lit(now.first().now)).select("key", "at", "seq", "ttl_ms", "value")

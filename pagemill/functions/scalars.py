@@ -174,3 +174,28 @@ def mime_type(url: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
     last = F.regexp_extract(url, r"^[^?#]*/([^/?#]*)", 1)
     return F.try_element_at(table, F.lower(F.regexp_extract(last, r"\.([^.]*)$", 1)))
+
+
+def random_uuid() -> Column:
+    """A version 4 identifier, another one in every row."""
+    return F.uuid()
+
+
+def sorted_values(values: Column) -> Column:
+    """A list in the order of its texts; nulls last."""
+    return F.array_sort(values)
+
+
+def reversed_text(c: Column) -> Column:
+    """The code points of a text from the last to the first."""
+    return F.reverse(c)
+
+
+def to_simplified(c: Column) -> Column:
+    """As it is: the text helper of this name is documented as a pass-through."""
+    return c
+
+
+def to_traditional(c: Column) -> Column:
+    """As it is, like ``to_simplified``."""
+    return c

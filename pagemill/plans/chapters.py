@@ -20,8 +20,8 @@ TEXT, AUDIO, IMAGE, FILE = 0, 1, 2, 3  # kinds of sources
 # ----------------------------------------------------------------------------------------------
 
 
-def _chain(pages: DataFrame, links: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
-    """``seeds``: source_id, key, url → source_id, key, page_no, url, page_id."""
+def _chain(pages: DataFrame, links: DataFrame, seeds: DataFrame, cap: int, field: str) -> tuple[DataFrame, DataFrame]:
+    """``seeds``: source_id, key, url → (source_id, key, page_no, url, page_id; warnings of sources with chains that go on beyond the cap)."""
     at = F.concat_ws("\n", "source_id", "url")
     known = pages.select(at.alias("url"), F.col("page_id"))
     hops = pages.select("page_id", "source_id", "url").join(links.select("page_id", "next_url"), "page_id", "left").select(
@@ -30,7 +30,13 @@ def _chain(pages: DataFrame, links: DataFrame, seeds: DataFrame, cap: int) -> Da
     # The link rules run once; the rounds of the chain read their result.
     links_ = stored(hops, "links")
     starts = seeds.select(F.struct("source_id", "key").alias("seed"), at.alias("url"))
-    return T.page_chain(links_, starts, cap).join(known, "url").select("seed.source_id", "seed.key", "page_no", "page_id")
+    chain = T.page_chain(links_, starts, cap)
+    ends = chain.where(F.col("page_no") == cap - 1).join(links_, "url").where("next_url is not null").select("seed", F.col("next_url").alias("url"))
+    onward = ends.join(known.select("url"), "url", "left_semi").join(chain.select("seed", "url"), ["seed", "url"], "left_anti")
+    cut = onward.select("seed.source_id").dropDuplicates().select(
+        "source_id", F.lit(field).alias("field"), F.lit(f"chains are cut after {cap} pages").alias("message"), F.lit(False).alias("fatal")
+    )
+    return chain.join(known, "url").select("seed.source_id", "seed.key", "page_no", "page_id"), cut
 
 
 def _known(items: DataFrame, chain: DataFrame, variables: DataFrame | None, key: str) -> DataFrame:
@@ -42,19 +48,22 @@ def _known(items: DataFrame, chain: DataFrame, variables: DataFrame | None, key:
 
 
 def extract_toc(
-    pages: DataFrame, rule_fields: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, variables: DataFrame | None = None
+    pages: DataFrame, rule_fields: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, variables: DataFrame | None = None,
+    max_pages: int = T.MAX_TOC_PAGES,
 ) -> tuple[DataFrame, DataFrame]:
     """``pages``: page_id, source_id, url, html; ``seeds``: source_id, book_key, url → (chapter list, warnings).
 
-    Later pages of a list are found through the captured corpus; a missing one ends the list. ``variables``
-    (source_id, book_key, vars): what earlier jobs wrote for the book, at most one row a book.
+    Later pages of a list are found through the captured corpus; a missing one ends the list, and so does
+    ``max_pages``, which the warnings then say. ``variables`` (source_id, book_key, vars): what earlier jobs wrote
+    for the book, at most one row a book.
     """
     nodes = node_table(pages) if nodes is None else nodes
     rules = rulesets.with_defaults(rule_fields, "ruleToc", TOC_DEFAULTS, "chapterList")
     compiled = rulesets.compile_rules(rules.where(F.col("field").isin("chapterList", *TOC_FIELDS)))
     onward, warnings = next_links(pages, rule_fields, "ruleToc", "nextTocUrl", nodes)
     warnings = _warnings(compiled.errors).unionByName(warnings)
-    chain = _chain(pages, onward, without_failed(seeds, warnings).withColumnRenamed("book_key", "key"), T.MAX_TOC_PAGES)
+    chain, cut = _chain(pages, onward, without_failed(seeds, warnings).withColumnRenamed("book_key", "key"), max_pages, "nextTocUrl")
+    warnings = warnings.unionByName(cut)
     listed = pages.join(chain.select("page_id").dropDuplicates(), "page_id", "left_semi")
     items = rulesets.list_items(nodes, listed, compiled.parts.where("field = 'chapterList'"))
     items = stored(_known(items, chain, variables, "book_key"), "items")
@@ -73,7 +82,8 @@ def extract_toc(
 
 
 def content_pages(
-    pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame, nodes: DataFrame, variables: DataFrame | None = None
+    pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame, nodes: DataFrame, variables: DataFrame | None = None,
+    max_pages: int = T.MAX_CONTENT_PAGES,
 ) -> tuple[DataFrame, DataFrame]:
     """``chapters``: source_id, chapter_key, url → (source_id, chapter_key, page_no, page_url, values, raw; warnings).
 
@@ -82,7 +92,8 @@ def content_pages(
     compiled = rulesets.compile_rules(rule_fields.where("grp = 'ruleContent' AND field = 'content'"))
     onward, warnings = next_links(pages, rule_fields, "ruleContent", "nextContentUrl", nodes)
     warnings = _warnings(compiled.errors).unionByName(warnings)
-    chain = _chain(pages, onward, without_failed(chapters, warnings).withColumnRenamed("chapter_key", "key"), T.MAX_CONTENT_PAGES)
+    chain, cut = _chain(pages, onward, without_failed(chapters, warnings).withColumnRenamed("chapter_key", "key"), max_pages, "nextContentUrl")
+    warnings = warnings.unionByName(cut)
     used = pages.join(chain.select("page_id").dropDuplicates(), "page_id", "left_semi")
     starts = used.select(
         "page_id", "source_id", F.lit(0).cast("bigint").alias("item"), F.lit(0).alias("node_id"),
@@ -95,7 +106,8 @@ def content_pages(
 
 
 def content_by_kind(
-    pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame, kinds: DataFrame, nodes: DataFrame | None = None, variables: DataFrame | None = None
+    pages: DataFrame, rule_fields: DataFrame, chapters: DataFrame, kinds: DataFrame, nodes: DataFrame | None = None,
+    variables: DataFrame | None = None, max_pages: int = T.MAX_CONTENT_PAGES,
 ) -> tuple[DataFrame, DataFrame]:
     """(source_id, chapter_key, kind, text, links ARRAY<STRUCT<url,name>>; warnings).
 
@@ -112,7 +124,7 @@ def content_by_kind(
         "source_id", F.when(downloads, "ruleContent").otherwise(F.col("grp")).alias("grp"),
         F.when(downloads, "content").otherwise(F.col("field")).alias("field"), "rule",
     )
-    found, warnings = content_pages(pages, ruled, chapters, nodes, variables)
+    found, warnings = content_pages(pages, ruled, chapters, nodes, variables, max_pages)
     parts = found.join(typed, "source_id").withColumn(
         "chapter_key", F.struct("source_id", "chapter_key")
     )
