@@ -223,7 +223,8 @@ def _candidates(ordered: DataFrame, first: int, last: int, percent: int) -> Data
 def _round(shared: DataFrame, labels: DataFrame | None, first: int, last: int, percent: int) -> tuple[DataFrame, int]:
     """The pairs of one round, and the size of the largest open column; a column of one group is closed.
 
-    Members that share most columns lead: in a group of edited copies that is the text they were made from.
+    Members with the fewest rarer shingles of their own before the shared one lead: they are closest to what
+    the column's members have in common, so most of a group of edited copies links to one of them.
     """
     label = F.col("rep") if labels is None else F.coalesce("label", "rep")
     named = shared if labels is None else shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -232,8 +233,9 @@ def _round(shared: DataFrame, labels: DataFrame | None, first: int, last: int, p
     sizes = stored(sizes.select("code", "n"), "open-columns")
     largest = sizes.agg(F.max("n").alias("n")).first().n or 0
     still = named.join(broadcast_if_small(sizes.select("code"), SMALL), "code")
-    ordered = still.select("code", "place", "rep", "label", "central").repartition("code").sortWithinPartitions("code", F.desc("central"), "rep")
-    return _candidates(ordered.drop("central"), first, last, percent), largest
+    position = F.col("place").bitwiseAND(F.lit((1 << 31) - 1))
+    ordered = still.select("code", "place", "rep", "label").repartition("code").sortWithinPartitions("code", position, "rep")
+    return _candidates(ordered, first, last, percent), largest
 
 
 def overlapping(leader: np.ndarray, members: list[np.ndarray], percent: int) -> np.ndarray:
@@ -271,7 +273,7 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int, steps: Br
     """The pairs (a, b) that are alike, by exact overlap. A leader's block has BLOCK members or so."""
     blocks = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = pairs.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    heads = placed.select(F.col("leader").alias("rep"), "leader", "block").distinct()
+    heads = blocks.select(F.col("leader").alias("rep"), "leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     wanted = stored(placed.select("rep", "leader", "block").union(heads), "pair-blocks")
     uses = broadcast_if_small(wanted.groupBy("rep").agg(F.collect_list(F.struct("leader", "block")).alias("uses")), SMALL)
     used = docs.select(F.col("doc_id").alias("rep"), "text").join(uses, "rep")
@@ -338,7 +340,6 @@ def alike_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     sets = _sets(docs, size, percent, steps)
     reps = sets.where("n_shingles > 0").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"))
     shared = _shared_columns(_columns(reps.where("rep is not null")))
-    shared = stored(shared.join(shared.groupBy("rep").agg(F.count("*").alias("central")), "rep"), "shingle-columns")
     labels, tested, first, last = None, None, 0, 1
     while True:
         pairs, largest = _round(shared, labels, first, last, percent)
