@@ -152,7 +152,7 @@ def extract_variables(spark, sf):
     "extract_variables_flush",
     f"""SELECT source_id || chr(10) || origin || {sql_encode(f"'/b' || {HREF}")} AS book_key, v.name AS name, v.value AS value FROM (
           SELECT source_id, origin, href, unnest([{{'name': 'w', 'value': {WORD}}}, {{'name': 'h', 'value': {HREF}}}, {{'name': 'both', 'value': {WORD} || '-' || {HREF}}}]) AS v
-          FROM ({ITEMS}) WHERE {WORD} <> '') WHERE v.value <> '' AND length(v.value) <= 2000""",
+          FROM ({ITEMS}) WHERE {WORD} <> '') WHERE v.value <> '' AND length(v.value) <= 8192""",
 )
 def extract_variables_flush(spark, sf):
     """What an item's rules wrote, filed under its own book."""
