@@ -127,7 +127,7 @@ def test_functions_and_variables_from_search_to_chapters(spark):
         ("ruleBookInfo", "init", '@put:{m:"tag.h1@text"}'), ("ruleBookInfo", "name", "@xpath:count(//li)"), ("ruleBookInfo", "author", "@xpath:normalize-space(//h1)"),
         ("ruleBookInfo", "intro", "@xpath:concat(substring-after(//p,'x'),//li,'+',//none)"), ("ruleBookInfo", "coverUrl", "/c/@get:{bid}/@get:{m}"), ("ruleBookInfo", "tocUrl", "@xpath:string(//a/@href)"),
         ("ruleToc", "chapterList", "tag.li"), ("ruleToc", "chapterName", "{{text}}-@get:{bid}"), ("ruleToc", "chapterUrl", "/ch/{{tag.li@text}}@get:{bid}"), ("ruleToc", "nextTocUrl", "id.n@href"),
-        ("ruleContent", "content", "@get:{bid}: {{tag.p@text}}"),
+        ("ruleContent", "content", "@get:{bid} - {{tag.p@text}}"),
     ]
     given = [(g, f, r) for g, f, r in given if f not in ("intro", "chapterName", "chapterUrl")] + [
         ("ruleBookInfo", "intro", "@xpath:substring-before(//p,';')"), ("ruleToc", "chapterName", "{{tag.body@text}}-@get:{bid}"), ("ruleToc", "chapterUrl", "/ch/@get:{bid}/{{@css:body@text}}"),
@@ -148,7 +148,7 @@ def test_functions_and_variables_from_search_to_chapters(spark):
     kinds = spark.createDataFrame([("s", 0, None)], "source_id string, source_type int, replace_regex string")
     known = spark.createDataFrame([("s", 5, {"bid": "77"})], "source_id string, chapter_key int, vars map<string,string>")
     texts, _ = chapters.content_by_kind(pages, table, keys, kinds, variables=known)
-    assert [r.text.strip() for r in texts.collect()] == ["77: key=v1;rest"]
+    assert [r.text.strip() for r in texts.collect()] == ["77 - key=v1;rest"]
 
 
 def test_programs_are_put_in_order():
