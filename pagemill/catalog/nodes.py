@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import nodes as N
 from ..operators import select as S
+from ..plans.books import node_table
 from .base import query, table, texts
 from .text import sql_trim
 
@@ -17,7 +18,7 @@ def _pages(spark, sf):
 def _selected(spark, sf, pick, kind="text", **more):
     """One row per hit of a selector applied to the whole page, with its value."""
     pages = _pages(spark, sf)
-    nodes = N.html_nodes(pages)
+    nodes = node_table(pages)
     hits = pick(nodes, N.root_context(pages))
     values = S.extract_value(nodes, hits, kind, pages if kind in ("html", "all", "outerHtml") else None)
     return values.select("page_id", F.posexplode("values").alias("pos", "value")).select(
@@ -70,7 +71,7 @@ def html_nodes(spark, sf):
 def select_children(spark, sf):
     """Element children of body that are not advertising, by tag name."""
     pages = _pages(spark, sf)
-    nodes = N.html_nodes(pages)
+    nodes = node_table(pages)
     body = S.select_descendants(nodes, N.root_context(pages), "tag", "body")
     hits = S.select_children(nodes, body).join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"])
     named = hits.where(F.col("tag").isin("nav", "article"))

@@ -97,3 +97,11 @@ def test_all_named_references_are_decoded_once(spark):
     for r in df.select("b", text.decode_entities(F.col("a")).alias("got")).collect():
         assert r["got"] == r["b"]
     assert df.limit(1).select(text.html_to_text(F.lit("<p>caf&eacute;</p>"))).first()[0].strip() == "café"
+
+
+def test_selectors_read_a_stored_node_table(spark, sf):
+    """Each step of a selection reads the node table again; the pages are parsed once, in bounded batches."""
+    for name in ("select_descendants", "select_by_text", "select_xpath_not", "select_css", "select_css_class", "select_children"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan, name
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
