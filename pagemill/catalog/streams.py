@@ -21,9 +21,10 @@ def _folder(spark, name):
 
 
 def _stream(spark, sf, name):
-    """A given table as a stream of its files."""
+    """A given table as a stream of its files; the table is one file or a folder of them."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # As a pattern the path may be that of a file.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _millis(c):
