@@ -80,27 +80,16 @@ def stream_login_throttle(attempts: DataFrame) -> DataFrame:
 def stream_session_expiry(sessions: DataFrame) -> DataFrame:
     """Session stream (token, user_id, at TIMESTAMP, expires_at ms) → rows of sessions past their end.
 
-    Event time decides: a session ends when the watermark reaches its expiry.
+    Event time decides: a session ends when the watermark reaches its expiry. A start that comes while
+    its token's session runs prolongs it; one that comes later is a session of its own. A session that
+    is over at its start ends one millisecond later, one without an end never does.
     """
-    def expire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            user_id, expires_at = state.get
-            state.remove()
-            yield pd.DataFrame({"token": [key[0]], "user_id": [user_id], "expires_at": [expires_at]})
-            return
-        user_id, expires_at = state.get if state.exists else (0, 0)
-        for batch in batches:
-            user_id, expires_at = int(batch["user_id"].iloc[-1]), max(expires_at, int(batch["expires_at"].max()))
-        if expires_at <= state.getCurrentWatermarkMs():
-            state.remove()
-            yield pd.DataFrame({"token": [key[0]], "user_id": [user_id], "expires_at": [expires_at]})
-            return
-        state.update((user_id, expires_at))
-        state.setTimeoutTimestamp(expires_at)
-
-    return sessions.withWatermark("at", "0 seconds").groupBy("token").applyInPandasWithState(
-        expire, "token string, user_id bigint, expires_at bigint", "user_id bigint, expires_at bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    lasts = F.greatest(F.col("expires_at") - F.unix_millis("at"), F.lit(1))
+    running = F.session_window("at", F.concat(lasts, F.lit(" milliseconds")))
+    ended = sessions.where("expires_at is not null").withWatermark("at", "0 seconds").groupBy("token", running.alias("running"))
+    return ended.agg(
+        F.max_by("user_id", F.struct("at", "user_id")).cast("bigint").alias("user_id"), F.max("expires_at").cast("bigint").alias("expires_at")
+    ).select("token", "user_id", "expires_at")
 
 
 def stream_page_extract(pages: DataFrame, rule_fields: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -105,3 +105,57 @@ def test_selectors_read_a_stored_node_table(spark, sf):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" not in plan, name
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_streams_read_a_table_of_several_files(spark, sf, tmp_path):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").where("page_id < 40")
+    pages.repartition(2).write.parquet(f"{tmp_path}/pages.parquet")
+    assert len(QUERIES["stream_page_extract"](spark, str(tmp_path)).select("page_id").distinct().collect()) > 1
+
+
+def test_sessions_end_without_python(spark, tmp_path):
+    from pagemill.catalog.streams import _drain
+    from pagemill.streaming import jobs
+
+    rows = [("a", 1, 0, 600), ("a", 1, 300, 900), ("b", 2, 0, 600), ("c", 3, 100, 5000), ("d", 4, 1000, 1600), ("e", 5, 10, None), ("f", 6, 50, 40)]
+    starts = spark.createDataFrame(rows, "token string, user_id bigint, s int, e int")
+    starts.select("token", "user_id", F.timestamp_seconds("s").alias("at"), (F.col("e") * 1000).cast("bigint").alias("expires_at")).write.parquet(f"{tmp_path}/s")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/s").schema).parquet(f"{tmp_path}/s")
+    ended = jobs.stream_session_expiry(stream)
+    assert "Pandas" not in ended._jdf.queryExecution().analyzed().toString()
+    got = sorted(tuple(r) for r in _drain(spark, ended).collect())
+    assert got == [("a", 1, 900_000), ("b", 2, 600_000), ("f", 6, 40_000)]
+
+
+def test_lists_of_a_backup_meet_in_one_shuffle(spark):
+    from pagemill.sources import backup
+
+    place = "chapter_url string, chapter_name string, chapter_index int, page_index int"
+    book = "owner string, book_key string, source_id string, book_url string"
+    kinds = {
+        "shelf": f"{book}, name string, author string, cover_url string, created_at bigint, updated_at bigint",
+        "progress": f"owner string, book_key string, {place}, updated_at bigint",
+        "bookmarks": f"{book}, id string, {place}, percent double, excerpt string, note string, created_at bigint, updated_at bigint",
+        "notes": f"{book}, id string, {place}, percent double, excerpt string, text string, created_at bigint, updated_at bigint",
+    }
+    lists = {n: spark.createDataFrame([], k) for n, k in kinds.items()}
+    lists["shelf"] = spark.createDataFrame(
+        [("o", "s\nb", "s", "b", "n2", "", "", 2, 2), ("o", "s\na", "s", "a", "n1", "", "", 1, 1), ("p", None, "s", "c", "n3", "", "", None, 1)], kinds["shelf"]
+    )
+    docs = backup.export_backup(**lists, now=1)
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    (row,) = docs.select("owner", "part", F.from_json("doc", "shelf array<struct<name:string>>")["shelf"]["name"].alias("names")).collect()
+    assert tuple(row) == ("o", 0, ["n1", "n2"])
+
+
+def test_a_record_is_read_once_for_all_its_fields(spark):
+    from pagemill.sources import rules
+
+    payload = '{"bookSourceName": " n ", "bookSourceUrl": "https://a.com", "bookSourceGroup": "g", "enabled": "false"}'
+    accepted, rejected = rules.validate_rules(spark.createDataFrame([(0, payload), (1, "[]"), (2, None), (3, '{"bookSourceName": 5}')], "ord int, payload string"))
+    assert [tuple(r)[:6] for r in accepted.collect()] == [(0, "user:https://a.com", "n", "https://a.com", "g", False)]
+    assert sorted(tuple(r) for r in rejected.collect()) == [
+        (1, "row 2", "not an object"), (2, "row 3", "not an object"), (3, "row 4", "bookSourceName is missing")
+    ]
+    assert accepted._jdf.queryExecution().optimizedPlan().toString().lower().count("from_json") <= 2
