@@ -6,6 +6,8 @@ numbered documents, each complete in itself, so no owner is ever gathered whole.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions import let
 from ..functions.text import web_trim
 from ..operators import library
 from ..operators.skew import positions
+from ..session import stored
 
 # --- fixed values -----------------------------------------------------------------------------
 BACKUP_VERSION = 2
@@ -50,39 +53,50 @@ ORDER_BY = {"shelf": "created_at", "progress": "updated_at", "bookmarks": "creat
 _TYPES = {"text": "string", "count": "int", "ratio": "double", "time": "bigint"}
 
 
-def _list_parts(rows: DataFrame, name: str) -> DataFrame:
-    """(owner, part, records): the rows of one list as JSON structs, at most CAPS[name] per part."""
-    stamp = ORDER_BY[name]
-    tie = "id" if "id" in rows.columns else "book_key"
+def _ordered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of one list with ``_order``, their place within an owner; rows without owner or stamp have none."""
     if name == "progress":
         rows = rows.withColumns({
             "source_id": F.regexp_extract("book_key", r"(?s)^(.*?)\n", 1),
             "book_url": F.regexp_extract("book_key", r"(?s)\n(.*)$", 1),
         })
-    placed = positions(rows, ["owner"], F.floor(F.col(stamp) / DAY_MS), [F.col(stamp), F.col(tie)])
+    order = F.struct(F.col(ORDER_BY[name]).alias("stamp"), F.col("id" if "id" in rows.columns else "book_key").alias("tie"))
+    return rows.where(F.col("owner").isNotNull() & F.col(ORDER_BY[name]).isNotNull()).withColumn("_order", order)
+
+
+def _list_parts(rows: DataFrame, name: str, long: DataFrame | None) -> DataFrame:
+    """owner, part, order and record of one list, at most CAPS[name] per part; ``long``: owners with more than that."""
+    parts = rows.withColumn("part", F.lit(0).cast("bigint"))
+    if long is not None:
+        # Few by definition: each has more records than a document takes.
+        owners = F.broadcast(long.select("owner"))
+        day = F.floor(F.col("_order.stamp") / DAY_MS)
+        placed = positions(rows.join(owners, "owner", "left_semi"), ["owner"], day, [F.col("_order.stamp"), F.col("_order.tie")])
+        numbered = placed.withColumn("part", F.floor(F.col("pos") / CAPS[name])).drop("pos")
+        parts = parts.join(owners, "owner", "left_anti").unionByName(numbered)
     record = F.struct(*[F.col(c).cast(_TYPES[kind]).alias(f) for f, c, kind, _, _ in FIELDS[name]])
-    part = F.floor(F.col("pos") / CAPS[name])
-    ordered = F.array_sort(F.collect_list(F.struct("pos", record.alias("r"))))
-    return placed.groupBy("owner", part.alias("part")).agg(
-        F.transform(ordered, lambda x: x["r"]).alias(name)
-    )
+    return parts.select("owner", "part", F.struct(F.col("_order").alias("o"), record.alias("r")).alias(name))
 
 
 def export_backup(
     shelf: DataFrame, progress: DataFrame, bookmarks: DataFrame, notes: DataFrame, now: int, kind: str = "library-backup"
 ) -> DataFrame:
-    """owner, part, doc: documents of all owners."""
-    lists = {"shelf": shelf, "progress": progress, "bookmarks": bookmarks, "notes": notes}
-    joined: DataFrame | None = None
-    for name, rows in lists.items():
-        parts = _list_parts(rows, name)
-        joined = parts if joined is None else joined.join(parts, ["owner", "part"], "full_outer")
-    empty = {n: F.coalesce(F.col(n), F.array().cast(joined.schema[n].dataType)) for n in lists}
+    """owner, part, doc: documents of all owners. Counts first who has more than one document takes."""
+    lists = {n: _ordered(rows, n) for n, rows in {"shelf": shelf, "progress": progress, "bookmarks": bookmarks, "notes": notes}.items()}
+    sizes = [rows.select("owner", F.lit(n).alias("list"), F.lit(CAPS[n]).alias("cap")) for n, rows in lists.items()]
+    long = reduce(DataFrame.unionByName, sizes).groupBy("owner", "list", "cap").agg(F.count("*").alias("n")).where("n > cap")
+    long = stored(long.select("owner", "list"), "long-lists")
+    having = {r["list"] for r in long.select("list").dropDuplicates().collect()}
+    rows = [_list_parts(r, n, long.where(F.col("list") == n) if n in having else None) for n, r in lists.items()]
+    # All lists of a document meet in one shuffle.
+    joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).groupBy("owner", "part").agg(
+        *[F.transform(F.array_sort(F.collect_list(n)), lambda x: x["r"]).alias(n) for n in lists]
+    )
     doc = F.to_json(
         F.struct(
             F.lit(kind).alias("kind"), F.lit(BACKUP_VERSION).alias("version"), F.lit(now).cast("bigint").alias("exportedAt"),
-            F.struct(*[F.size(c).alias(n) for n, c in empty.items()]).alias("counts"),
-            *[c.alias(n) for n, c in empty.items()],
+            F.struct(*[F.size(n).alias(n) for n in lists]).alias("counts"),
+            *[F.col(n) for n in lists],
         )
     )
     return joined.select("owner", "part", doc.alias("doc"))
@@ -185,9 +199,9 @@ def validate_backup(docs: DataFrame, kind: str = "library-backup") -> DataFrame:
 
 
 def _records(docs: DataFrame, name: str, now: int) -> DataFrame:
-    """One list of sound documents as state rows."""
+    """One list of sound documents (owner, and the text of each list) as state rows."""
     schema = ", ".join(f"{f}: {_TYPES[k]}" for f, _, k, _, _ in FIELDS[name])
-    rows = docs.select("owner", F.posexplode(F.from_json(F.get_json_object("doc", f"$.{name}"), f"array<struct<{schema}>>")).alias("at", "r"))
+    rows = docs.select("owner", F.posexplode(F.from_json(name, f"array<struct<{schema}>>")).alias("at", "r"))
 
     def value(f: str, kind: str) -> Column:
         c = F.col(f"r.{f}")
@@ -208,7 +222,9 @@ def import_backup(
 
     Shelf, bookmarks and notes keep what is stored, progress takes what is newer.
     """
-    sound = docs.where(F.size(backup_errors(F.col("doc"), kind)) == 0)
+    # Checked once; each list then reads its own column.
+    texts = [F.get_json_object("doc", f"$.{name}").alias(name) for name in FIELDS]
+    sound = stored(docs.where(F.size(backup_errors(F.col("doc"), kind)) == 0).select("owner", *texts), "sound-backups")
     merged, reports = {}, []
     for name in FIELDS:
         incoming = _records(sound, name, now)
