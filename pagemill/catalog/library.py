@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cache, cookies, library
 from ..operators.throttle import login_throttle as throttle
-from ..session import cut_lineage
+from ..session import stored
 from ..sources import backup, exports
 from .base import query, table
 from .derive import derived, with_tables
@@ -626,9 +626,9 @@ def validate_backup(spark, sf):
 def import_backup(spark, sf):
     """Documents of every owner into a library that has half of it; what was added and kept."""
     state = _state(spark, sf)
-    # Documents normally come from storage; the cut keeps the export from running once per list.
-    docs = cut_lineage(
-        backup.export_backup(**state, now=NOW).select("owner", F.concat_ws("/", "owner", "part").alias("doc_id"), "doc")
+    # Documents normally come from storage.
+    docs = stored(
+        backup.export_backup(**state, now=NOW).select("owner", F.concat_ws("/", "owner", "part").alias("doc_id"), "doc"), "backups"
     )
     shift = F.when(F.col("chapter_index") % 3 == 0, 5).when(F.col("chapter_index") % 3 == 1, 0).otherwise(-5)
     held = {
