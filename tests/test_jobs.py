@@ -55,6 +55,30 @@ def test_merge_equals_the_greedy_walk(spark):
         assert have == greedy(part)
 
 
+def test_merge_sorts_only_the_books_that_lead(spark, monkeypatch):
+    """Texts are aggregated over a few books of a title and author, whatever their number; joined either way."""
+    rng = random.Random(8)
+    rows = [
+        (f"s{i % 9}", "", True, i, rng.choice(["A b", "a B", "C"]), rng.choice(["", "X", "x ", "Y"]), rng.choice(["", "k1", "k2"]), rng.choice(["", "l"]),
+         rng.choice(["", "i"]), rng.choice(["", "c1", "c2"]), rng.choice(["", "p"]), f"u{i}")
+        for i in range(5000)
+    ]
+    # A book that comes twice is two sources; one without an order leads only where all are.
+    rows += [rows[0], ("s0", "", True, None, "C", "Y", "late", "", "", "", "", "u"), ("s0", "", True, None, "D", "", "", "", "", "", "", "u")]
+    df = spark.createDataFrame(rows, BOOK)
+    aggregated, partial = [], merge._partial
+    monkeypatch.setattr(merge, "_partial", lambda leading: (aggregated.append(leading.count()), partial(leading))[1])
+    found = []
+    for limit in (merge.FIRSTS_LIMIT_BYTES, 0):
+        monkeypatch.setattr(merge, "FIRSTS_LIMIT_BYTES", limit)
+        found.append(sorted(merge.merge_books(df).collect(), key=lambda r: (r["name_key"], r["entry_author"])))
+    assert found[0] == found[1] and max(aggregated) <= 7 * 6
+    have = sorted((r["name_key"], r["entry_author"], r["source_count"], r["kind"], r["cover_url"], r["cover_proxy_url"]) for r in found[0] if r["name_key"] != "d")
+    counted = greedy([r if r[3] is not None else (*r[:3], 9999, *r[4:]) for r in rows if r[4] != "D"])
+    assert have == counted
+    assert [(r["source_count"], r["first_ord"], r["name"]) for r in found[0] if r["name_key"] == "d"] == [(1, None, None)]
+
+
 def test_match_chapter(spark):
     chapters = spark.createDataFrame([("k", 0, "第 1 章"), ("k", 1, "第2章"), ("k", 2, "第2 章")], "key string, idx bigint, name string")
     wanted = spark.createDataFrame([("k", "第1章", 9), ("k", "第 2章", 0), ("k", "x", 2), ("k", "", 7), ("none", "y", 0)], "key string, name string, idx int")
