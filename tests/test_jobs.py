@@ -293,3 +293,23 @@ def test_rule_field_cases(spark):
     ]
     lost = quality.var_lineage(df).where("NOT has_put").collect()
     assert [r["key"] for r in lost] == ["lost"]
+
+
+def test_rounds_carry_numbers_of_rules(spark, monkeypatch):
+    """What is the same in all runs of a rule does not go through the rounds; rules told apart stay apart."""
+    html = '<ul><li><a href="/1">one 1</a> <b>x</b></li><li><a href="/2">two 2</a></li></ul>'
+    pages = spark.createDataFrame([(p, s, "https://x.example.com/", html) for p, s in ((1, "s"), (2, "s"), (3, "t"))], "page_id bigint, source_id string, url string, html string")
+    texts = [
+        ("s", "bookList", "tag.li"), ("s", "name", "tag.a@text"), ("s", "name", "tag.a@text"), ("s", "author", r"tag.a@text##\s*\d"), ("s", "kind", "tag.b@text&&tag.a@href"),
+        ("s", "intro", "tag.none@text||tag.a@text"), ("t", "bookList", "tag.li"), ("t", "name", "-tag.a@text##o##0"), ("t", "kind", "tag.b@text"),
+    ]
+    rule_fields = spark.createDataFrame([(s, "ruleSearch", f, r) for s, f, r in texts], "source_id string, grp string, field string, rule string")
+    carried, run_steps = [], select.run_steps
+    monkeypatch.setattr(select, "run_steps", lambda nodes, runs, run, *more: (carried.append(set(run)), run_steps(nodes, runs, run, *more))[1])
+    found, _ = books.extract_book_list(pages, rule_fields)
+    got = sorted(tuple(r[c] for c in ("page_id", "source_id", "item", "name", "author", "kind", "intro", "bookUrl")) for r in found.collect())
+    at = "https://x.example.com"
+    of_s = [("s", 0, "one 1", "one", "x\n/1", "one 1", f"{at}/1"), ("s", 1, "two 2", "two", "/2", "two 2", f"{at}/2")]
+    of_t = [("t", 0, "0ne 1", "", "x", "", f"{at}/1"), ("t", 1, "tw0 2", "", "", "", f"{at}/2")]
+    assert got == [(1, *r) for r in of_s] + [(2, *r) for r in of_s] + [(3, *r) for r in of_t]
+    assert carried[-1] <= {"item", "rule", "alt", "alts", "pick"}
