@@ -8,6 +8,7 @@ from pagemill import hooks
 from pagemill.functions import rulesyntax
 from pagemill.operators import library, merge, nodes, quality, registry, select, skew, throttle, toc
 from pagemill.plans import books, rulesets
+from pagemill.session import BATCH_BYTES, BATCH_ROWS
 from pagemill.sources import backup, rules
 from pagemill.streaming import jobs
 from pagemill.streaming.state import VersionedTable
@@ -313,3 +314,18 @@ def test_rounds_carry_numbers_of_rules(spark, monkeypatch):
     of_t = [("t", 0, "0ne 1", "", "x", "", f"{at}/1"), ("t", 1, "tw0 2", "", "", "", f"{at}/2")]
     assert got == [(1, *r) for r in of_s] + [(2, *r) for r in of_s] + [(3, *r) for r in of_t]
     assert carried[-1] <= {"item", "rule", "alt", "alts", "pick"}
+
+
+def test_pages_reach_python_in_short_batches(spark):
+    """However long a split and its pages are, a worker holds a bounded piece of them."""
+    pages = spark.range(0, 3000, 1, 1).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), F.repeat(F.lit("long "), 4000)).alias("html"))
+    nodes.html_nodes(pages)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    most = pages.mapInArrow(sizes, "n bigint, bytes bigint").agg(F.max("n").alias("n"), F.max("bytes").alias("bytes")).first()
+    assert most["n"] <= BATCH_ROWS and most["bytes"] <= 2 * BATCH_BYTES
