@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import let
-from ..functions.text import web_trim
+from ..functions.text import SPACE_CHARS, web_trim
 from ..operators import library
 from ..operators.skew import positions
 from ..session import stored
@@ -90,7 +90,7 @@ def export_backup(
     rows = [_list_parts(r, n, long.where(F.col("list") == n) if n in having else None) for n, r in lists.items()]
     # All lists of a document meet in one shuffle.
     joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).groupBy("owner", "part").agg(
-        *[F.transform(F.array_sort(F.collect_list(n)), lambda x: x["r"]).alias(n) for n in lists]
+        *[F.transform(F.sort_array(F.collect_list(n)), lambda x: x["r"]).alias(n) for n in lists]
     )
     doc = F.to_json(
         F.struct(
@@ -145,10 +145,48 @@ def _field_error(record: Column, field: str, kind: str, longest: int, required:
 
 
 def _is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    # The schema of a document would be put together from all its records.
+    return F.try_variant_get(v, "$", "struct<kind: variant>").isNotNull()
 
 
-def _list_errors(doc: Column, name: str) -> Column:
+def _plain_type(name: str) -> str:
+    fields = ", ".join(f"{f}: {'string' if kind == 'text' else 'double'}" for f, _, kind, _, _ in FIELDS[name])
+    return f"array<struct<{fields}>>"
+
+
+def _is_plain(doc: Column, values: Column, name: str) -> Column:
+    """Whether a list is sound at first sight: texts are strings, numbers are numbers, all of them in bounds.
+
+    Values are read from the text, which is far cheaper than one by one from the variant; their kinds
+    only the variant knows. A list that is not plain may still be sound.
+    """
+    def odd(record: Column) -> Column:
+        tests = [record.isNull()]
+        for f, _, kind, _, required in FIELDS[name]:
+            v = record[f]
+            found = F.schema_of_variant(v)
+            right = found == "STRING" if kind == "text" else (found == "BIGINT") | (found == "DOUBLE") | found.startswith("DECIMAL")
+            tests.append(v.isNull() | ~right if required else v.isNotNull() & ~F.is_variant_null(v) & ~right)
+        return reduce(lambda a, b: a | b, tests)
+
+    def outside(record: Column) -> Column:
+        tests = []
+        for f, _, kind, longest, required in FIELDS[name]:
+            v = record[f]
+            if kind == "text":
+                tests.append(F.length(v) > longest)
+                if required:
+                    tests.append(F.ltrim(v, F.lit(SPACE_CHARS)) == "")
+            else:
+                tests.append(~v.between(0.0, 1.0 if kind == "ratio" else 1.7e308))
+        return reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests])
+
+    fields = ", ".join(f"{f}: variant" for f, *_ in FIELDS[name])
+    kinds = F.try_variant_get(doc, f"$.{name}", f"array<struct<{fields}>>")
+    return F.coalesce(let(kinds, lambda k: (F.size(k) <= CAPS[name]) & ~F.exists(k, odd)) & ~F.exists(values, outside), F.lit(False))
+
+
+def _list_errors(doc: Column, values: Column, name: str) -> Column:
     none = F.array().cast(f"array<{_ERROR}>")
 
     def of_record(record: Column, idx: Column) -> Column:
@@ -171,7 +209,7 @@ def _list_errors(doc: Column, name: str) -> Column:
         items = F.when(F.schema_of_variant(raw).startswith("ARRAY"), raw.try_cast("array<variant>"))
         return F.when(raw.isNull() | F.is_variant_null(raw), none).otherwise(let(items, of_items))
 
-    return let(F.try_variant_get(doc, f"$.{name}", "variant"), of_raw)
+    return F.when(_is_plain(doc, values, name), none).otherwise(let(F.try_variant_get(doc, f"$.{name}", "variant"), of_raw))
 
 
 def backup_errors(doc: Column, kind: str = "library-backup") -> Column:
@@ -187,7 +225,10 @@ def backup_errors(doc: Column, kind: str = "library-backup") -> Column:
             .when(version.isNull() | F.isnan(version) | (version < 1), "no version")
             .when(version > BACKUP_VERSION, "newer version")
         )
-        lists = F.concat(*[_list_errors(v, name) for name in FIELDS])
+        lists = let(
+            F.from_json(doc, ", ".join(f"{name} {_plain_type(name)}" for name in FIELDS)),
+            lambda values: F.concat(*[_list_errors(v, values[name], name) for name in FIELDS]),
+        )
         return let(head, lambda h: F.when(h.isNotNull(), F.array(_error(None, None, None, h))).otherwise(lists))
 
     return let(F.try_parse_json(doc), of_doc)
@@ -222,9 +263,9 @@ def import_backup(
 
     Shelf, bookmarks and notes keep what is stored, progress takes what is newer.
     """
-    # Checked once; each list then reads its own column.
-    texts = [F.get_json_object("doc", f"$.{name}").alias(name) for name in FIELDS]
-    sound = stored(docs.where(F.size(backup_errors(F.col("doc"), kind)) == 0).select("owner", *texts), "sound-backups")
+    # Checked once and taken apart once; each list then reads its own column.
+    texts = F.json_tuple("doc", *FIELDS).alias(*FIELDS)
+    sound = stored(docs.where(F.size(backup_errors(F.col("doc"), kind)) == 0).select("owner", texts), "sound-backups")
     merged, reports = {}, []
     for name in FIELDS:
         incoming = _records(sound, name, now)

@@ -147,3 +147,27 @@ def test_lists_of_a_backup_meet_in_one_shuffle(spark):
     assert "Join" not in plan and "Window" not in plan
     (row,) = docs.select("owner", "part", F.from_json("doc", "shelf array<struct<name:string>>")["shelf"]["name"].alias("names")).collect()
     assert tuple(row) == ("o", 0, ["n1", "n2"])
+
+
+def test_plain_lists_of_a_backup_are_seen_at_first_sight(spark):
+    from pagemill.sources import backup
+
+    head, place = '{"kind":"library-backup","version":1', '"sourceId":"s","bookUrl":"b"'
+    shelf = head + ',"shelf":[{' + place + ',"name":"n"%s}]}'
+    progress = head + ',"progress":[{' + place + ',"chapterUrl":"/c","chapterIndex":%s}]}'
+    docs = [
+        (0, shelf % ',"author":null,"createdAt":5', True, []), (1, shelf % ',"author":7', False, ["author"]),
+        (2, progress % "3", True, []), (3, progress % '" 3 "', False, []), (4, progress % "-1", False, ["chapterIndex"]),
+        (5, progress % "true", False, []), (6, progress % '["3"]', False, ["chapterIndex"]), (7, progress % "0.5", True, []),
+        (8, shelf % (',"author":"' + "x" * 200 + '"'), True, []), (9, shelf % (',"author":"' + "x" * 200 + ' "'), False, []),
+        (10, shelf % (',"author":"' + "x" * 201 + '"'), False, ["author"]), (11, head + ',"shelf":[null]}', False, ["record"]),
+        (12, (shelf % "").replace('"n"', '"\u3000 "'), False, ["name"]), (13, head + ',"shelf":{}}', False, [None]),
+        (14, head + ',"shelf":null}', False, []), (15, head + ',"shelf":[]}', True, []),
+    ]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id int, doc string")
+    got = df.select(
+        "doc_id", backup.backup_errors(F.col("doc")).alias("e"),
+        *[backup._is_plain(F.try_parse_json("doc"), F.from_json("doc", f"{n} {backup._plain_type(n)}")[n], n).alias(n) for n in ("shelf", "progress")],
+    )
+    found = {r["doc_id"]: (r["shelf"] or r["progress"], [x["field"] for x in r["e"]]) for r in got.collect()}
+    assert found == {i: (plain, fields) for i, _, plain, fields in docs}
