@@ -6,6 +6,8 @@ tasks; ``write_lines`` stores one folder per owner.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,44 +23,83 @@ CSV_HEADERS = "书名,作者,章节,位置,摘录,备注,添加时间"
 FEED_TTL_MS = 30 * 60 * 1000
 # ----------------------------------------------------------------------------------------------
 
-_ORDER = ("source_id", "book_url", "chapter_index", "page_index", "created_at")
-
 
 def _book_heading() -> Column:
     author = web_trim(F.coalesce("book_author", F.lit("")))
     return F.when(author == "", F.col("book_name")).otherwise(F.concat("book_name", F.lit("（"), author, F.lit("）")))
 
 
-def export_bookmarks_md(report: DataFrame, at: int) -> DataFrame:
-    """owner, line_no, line of Markdown tables, one per book heading in first-seen order."""
-    rows = report.withColumn("heading", _book_heading()).withColumn("spot", F.struct(*_ORDER))
-    books = rows.groupBy("owner", "heading").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
-    by_first = Window.partitionBy("owner").orderBy("first", "heading")
-    lines_before = F.coalesce(F.sum("n").over(by_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # Five fixed lines open a book; five more open the document.
-    books = books.withColumn("start", lines_before + (F.row_number().over(by_first) - 1) * 5 + 4)
-    stamp = format_stamp(F.lit(at))
-    totals = books.groupBy("owner").agg(F.sum("n").alias("n"), F.count("*").alias("books"))
-    head = F.array(
-        F.lit(MD_TITLE), F.lit(""), F.concat(F.lit("- 导出时间："), stamp, F.lit("（UTC+8）")),
-        F.concat(F.lit("- 共 "), F.col("n").cast("string"), F.lit(" 条，来自 "), F.col("books").cast("string"), F.lit(" 本书")),
-    )
-    opening = totals.select("owner", F.posexplode(head).alias("line_no", "line"))
-    titles = F.array(F.lit(""), F.concat(F.lit("## "), "heading"), F.lit(""), F.lit(MD_TABLE_HEAD), F.lit(MD_TABLE_RULE))
-    headings = books.select("owner", "start", F.posexplode(titles).alias("i", "line")).select(
-        "owner", (F.col("start") + F.col("i")).alias("line_no"), "line"
+def _book_starts(rows: DataFrame) -> DataFrame:
+    """Per owner, heading and book: n, and ``at``, the line of its first entry; where headings open and documents end.
+
+    A heading may hold several books. One row a book, so an owner's meet in one task.
+    """
+    books = rows.repartition("owner").withColumn(
+        "first", F.min(F.struct("source_id", "book_url", "first")).over(Window.partitionBy("owner", "heading"))
     )
-    cells = [markdown_cell(F.col(c)) for c in ("chapter", "position", "excerpt", "note")]
-    placed = positions(rows, ["owner", "heading"], F.struct("source_id", "book_url", "chapter_index"), [F.col("spot")])
-    entries = placed.join(books.select("owner", "heading", "start"), ["owner", "heading"]).select(
-        "owner", (F.col("start") + 5 + F.col("pos")).alias("line_no"),
-        F.concat(F.lit("| "), F.concat_ws(" | ", *cells, format_stamp(F.col("created_at"))), F.lit(" |")).alias("line"),
+    by_first = Window.partitionBy("owner").orderBy("first", "heading", "source_id", "book_url")
+    so_far = by_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    books = books.withColumns({
+        "opens": (F.row_number().over(by_first) == 1) | ~F.lag("heading").over(by_first).eqNullSafe(F.col("heading")),
+        "ends": F.lead(F.lit(True)).over(by_first).isNull(),
+        "total": F.sum("n").over(so_far),
+    }).withColumn("headings", F.count_if("opens").over(so_far))
+    # Four lines open the document, five more each heading.
+    return books.withColumn("at", 4 + F.col("headings") * 5 + F.col("total") - F.col("n"))
+
+
+def _head_lines(starts: DataFrame, at: int) -> DataFrame:
+    """What stands above the entries: an owner's last book knows the totals, a heading's first one where it opens."""
+    def lines(first: Column, texts: list[Column]) -> Column:
+        return F.array(*[F.struct((first + i).cast("bigint").alias("line_no"), t.alias("line")) for i, t in enumerate(texts)])
+
+    opening = lines(F.lit(0), [
+        F.lit(MD_TITLE), F.lit(""), F.concat(F.lit("- 导出时间："), format_stamp(F.lit(at)), F.lit("（UTC+8）")),
+        F.concat(F.lit("- 共 "), F.col("total").cast("string"), F.lit(" 条，来自 "), F.col("headings").cast("string"), F.lit(" 本书")),
+    ])
+    titles = lines(
+        F.col("at") - 5, [F.lit(""), F.concat(F.lit("## "), "heading"), F.lit(""), F.lit(MD_TABLE_HEAD), F.lit(MD_TABLE_RULE)]
     )
-    out = None
-    for part in (opening, headings, entries):
-        part = part.select("owner", F.col("line_no").cast("bigint").alias("line_no"), "line")
-        out = part if out is None else out.unionByName(part)
-    return out
+    blocks = F.array(F.when(F.col("ends"), opening), F.when(F.col("opens"), titles))
+    return starts.select("owner", F.explode(F.flatten(F.array_compact(blocks))).alias("l")).select("owner", "l.*")
+
+
+def export_bookmarks_md(report: DataFrame, at: int) -> DataFrame:
+    """owner, line_no, line of Markdown tables, one per book heading in first-seen order.
+
+    Rows stay where the report's join on owner, source and address dealt them: counts and positions are
+    taken by book, and only one row a book travels on. Rows without an owner or heading have no line.
+    """
+    rows = report.withColumn("heading", _book_heading())
+    texts = ("chapter", "position", "excerpt", "note")
+    key = ["owner", "source_id", "book_url", "heading"]
+    place = ["chapter_index", "page_index", "created_at"]
+    keyed = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in key])
+
+    def counted(part: DataFrame) -> DataFrame:
+        # Counting reads the texts as well, so that Spark finds one shuffle for counts and lines, not one of other columns for each.
+        has_texts = F.length(F.concat_ws("", *texts)) >= 0
+        return part.groupBy(*key).agg(F.count_if(has_texts).alias("n"), F.min(F.struct(*place)).alias("first"))
+
+    def written(placed: DataFrame) -> DataFrame:
+        cells = [markdown_cell(F.col(c)) for c in texts]
+        return placed.select(
+            "owner", (F.col("at") + F.col("pos")).cast("bigint").alias("line_no"),
+            F.concat(F.lit("| "), F.concat_ws(" | ", *cells, format_stamp(F.col("created_at"))), F.lit(" |")).alias("line"),
+        )
+
+    whole, rest = rows.where(keyed), rows.where(~keyed)
+    starts = _book_starts(counted(whole).unionByName(counted(rest)))
+    def numbered(part: DataFrame, by: list[str]) -> DataFrame:
+        return part.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(*place)) - 1)
+
+    placed = numbered(whole, key).join(starts.where(keyed).select(*key, "at"), key)
+    # Books without a source or address are compared as structs, in which NULLs are equal.
+    loose_key, book = ["owner", "heading", "book"], F.struct("source_id", "book_url").alias("book")
+    named = ~keyed & F.col("owner").isNotNull() & F.col("heading").isNotNull()
+    loose = numbered(rest.where(named).select("*", book), loose_key).drop("source_id", "book_url")
+    found = loose.join(starts.where(named).select("owner", "heading", book, "at"), loose_key)
+    return _head_lines(starts, at).unionByName(written(placed)).unionByName(written(found))
 
 
 def export_bookmarks_csv(report: DataFrame) -> DataFrame:

@@ -171,3 +171,50 @@ def test_plain_lists_of_a_backup_are_seen_at_first_sight(spark):
     )
     found = {r["doc_id"]: (r["shelf"] or r["progress"], [x["field"] for x in r["e"]]) for r in got.collect()}
     assert found == {i: (plain, fields) for i, _, plain, fields in docs}
+
+
+def test_bookmark_lists_are_numbered_by_book(spark):
+    """Books that share a heading, and books without a source, an address, a heading or an owner."""
+    from pagemill.sources import exports
+
+    schema = (
+        "owner string, source_id string, book_url string, book_name string, book_author string, chapter string, position string, "
+        "excerpt string, note string, chapter_index int, page_index int, created_at bigint"
+    )
+    books = [
+        ("u", "s2", "b1", "A", ""), ("u", "s1", "b9", "B", "x"), ("u", "s3", "b0", "A", " "), ("u", None, "b1", "C", None), ("u", "s1", None, "A", ""),
+        ("u", None, None, "C", ""), ("u", "s4", "b", None, "y"), (None, "s1", "b1", "A", ""), ("v", "s1", "b1", "A", ""), ("v", "s1", "b1", "A2", ""),
+    ]
+    rows = [(*b, f"c{i}", "p", f"e{k}", "", i, None if (i + k) % 4 == 0 else 7 - i, 10 * k) for k, b in enumerate(books) for i in (2, 0, 1, 3)]
+    got = exports.export_bookmarks_md(spark.createDataFrame(rows, schema).repartition(5), 0).collect()
+
+    def rank(values):
+        return tuple((v is not None, v if v is not None else 0) for v in values)
+
+    want = []
+    for owner in (None, "u", "v"):
+        mine = [(None if r[3] is None else r[3] + (f"（{r[4].strip()}）" if (r[4] or "").strip() else ""), r) for r in rows if r[0] == owner]
+        spots = {}
+        for heading, r in mine:
+            spots.setdefault(heading, []).append((rank((r[1], r[2], *r[9:])), r))
+        lines = ["# 书签清单", "", "- 导出时间：1970-01-01 08:00（UTC+8）", f"- 共 {len(mine)} 条，来自 {len(spots)} 本书"]
+        for heading in sorted(spots, key=lambda h: (min(s for s, _ in spots[h]), rank((h,)))):
+            lines += ["", None if heading is None else f"## {heading}", "", exports.MD_TABLE_HEAD, exports.MD_TABLE_RULE]
+            for _, r in sorted(spots[heading], key=lambda x: x[0]):
+                lines.append(f"| {r[5]} | p | {r[7]} |  | 1970-01-01 08:00 |" if owner and heading else "gone")
+        want += [(owner, i, line) for i, line in enumerate(lines) if line != "gone"]
+    assert sorted(map(tuple, got), key=rank) == sorted(want, key=rank)
+
+
+def test_bookmarks_are_read_once_for_a_list(spark, sf):
+    """Counting the entries of a book and writing them share the shuffles below."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        out = QUERIES["export_bookmarks_md"](spark, sf)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set(name, before)
+    assert plan.count("FileScan parquet [l_") == 1
