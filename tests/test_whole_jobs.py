@@ -218,3 +218,23 @@ def test_bookmarks_are_read_once_for_a_list(spark, sf):
     finally:
         spark.conf.set(name, before)
     assert plan.count("FileScan parquet [l_") == 1
+
+
+def test_shelves_are_aggregated_as_numbers(spark):
+    from pagemill.operators import merge
+
+    schema = "source_id string, source_name string, ok boolean, ord bigint, name string, author string, book_url string"
+    rows = [
+        ("s1", "", True, 30, "A b", "x", "u1"), ("s2", "", True, 10, "a B", "X", "u2"), ("s3", "", None, 20, "AB", "", "u3"), ("s4", "", True, 5, "ab", "y", "u4"),
+        ("s5", "", False, 1, "ab", "x", "u5"), ("s6", "", True, None, "c", "z", "u6"), ("s7", "", True, None, "ab", "y", "u7"), ("s8", "", True, 1, " ", "", "u8"),
+    ]
+    books = spark.createDataFrame([*rows, rows[0]], schema)
+    kept = [("o", "s1", "u1"), ("o", "s1", "u1"), ("o", "s3", "u3"), ("o", "s7", "u7"), (None, "s2", "u2"), (None, "s1", "u1"), ("p", "s6", "u6"),
+            ("p", "s4", "u4"), ("p", "s7", "u7"), ("p", "s5", "u5"), ("p", "s8", "u8"), ("p", "s1", "u2"), ("q", None, "u1")]
+    out = merge.preferred_source(books, spark.createDataFrame(kept, "owner string, source_id string, book_url string"))
+    assert {tuple(r) for r in out.collect()} == {
+        ("o", "ab", "x", "s1", "u1"), ("o", "ab", "y", "s3", "u3"), (None, "ab", "x", "s2", "u2"),
+        ("p", "c", "z", None, None), ("p", "ab", "y", "s4", "u4"),
+    }
+    assert out.count() == 5
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
